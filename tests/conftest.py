@@ -10,7 +10,7 @@ def make_session():
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master(f"local[{os.environ.get('BENCH_CPUS', '8')}]").appName("wordframe")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
-             .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
+             .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.sql.execution.arrow.pyspark.enabled", "true").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     return spark

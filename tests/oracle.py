@@ -44,7 +44,7 @@ def compare(spark, con, name, function, sql, sf_dir):
     seconds = time.time() - start
     if sql is None:
         return ours.num_rows > 0, f"rows only: {ours.num_rows}", seconds
-    theirs = con.execute(sql).to_arrow_table() if hasattr(con, "to_arrow_table") else con.execute(sql).fetch_arrow_table()
+    theirs = con.sql(sql).to_arrow_table()
     (a, x), (b, y) = rows_of(ours), rows_of(theirs)
     if a != b:
         return False, f"columns {a} vs {b}", seconds
