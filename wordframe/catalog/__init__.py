@@ -1,2 +1,2 @@
 from wordframe.catalog.registry import ORACLES, QUERIES  # noqa: F401
-from wordframe.catalog import models, scans  # noqa: F401
+from wordframe.catalog import models, scalars, scans  # noqa: F401

@@ -3,8 +3,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wordframe.cluster import shared
 from wordframe.functions.numeric import finite
+from wordframe.operators import ngram
 from wordframe.operators.ordered import lag_by_key
 from wordframe.operators.ranking import assign_folds
+from wordframe.operators.spans import piece_counts, piece_pattern
 from wordframe.sources import tables
 
 KEYS = ["item", "zone"]
@@ -46,3 +48,14 @@ def sample(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    "mean_rt"]).filter(F.col("mean_rt") > 0)
         return assign_folds(eligible, KEYS)
     return shared(spark, ("sample", sf_dir), build)
+
+
+PIECE_LETTERS = 4     # piece length cap for the short stimulus words, so that words have several pieces
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bigram scores and piece counts of the stimulus list."""
+    def build():
+        scored = ngram.score(tables.part_regions(spark, sf_dir))
+        return scored.withColumn("n_bpe", piece_counts(scored, piece_pattern(PIECE_LETTERS)).cast("bigint"))
+    return shared(spark, ("scores", sf_dir), build)
