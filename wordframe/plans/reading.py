@@ -7,6 +7,7 @@ from wordframe.operators import ngram
 from wordframe.operators.ordered import lag_by_key
 from wordframe.operators.ranking import assign_folds
 from wordframe.operators.spans import piece_counts, piece_pattern
+from wordframe.operators.states import flatten_profiles, pool, trajectories
 from wordframe.sources import tables
 
 KEYS = ["item", "zone"]
@@ -59,3 +60,14 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         scored = ngram.score(tables.part_regions(spark, sf_dir))
         return scored.withColumn("n_bpe", piece_counts(scored, piece_pattern(PIECE_LETTERS)).cast("bigint"))
     return shared(spark, ("scores", sf_dir), build)
+
+
+def stacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One stack of seven pooled states per region that has all of them."""
+    return shared(spark, ("stacks", sf_dir),
+                  lambda: pool(tables.layer_states(spark, sf_dir)).filter("layers = 7"))
+
+
+def trajectory_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(spark, ("trajectories", sf_dir),
+                  lambda: flatten_profiles(trajectories(stacks(spark, sf_dir)), 6))
