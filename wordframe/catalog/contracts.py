@@ -246,7 +246,7 @@ def v19(spark, sf_dir):
 def v20(spark, sf_dir):
     eligible = tables.table(spark, sf_dir, "labels").filter("quality = 1").select(F.col("doc_id").alias("item"), F.lit(1).cast("bigint").alias("zone")).distinct()
     # Contexts are dropped before their text is split into regions.
-    regions = tables.regions(spark, sf_dir).join(eligible.select("item").distinct(), "item", "left_semi")
+    regions = tables.regions(spark, sf_dir, contexts=eligible)
     return regions.join(eligible.withColumn("eligible", F.lit(True)), KEYS, "left").select(
         *KEYS, "word", F.coalesce("eligible", F.lit(False)).alias("eligible"))
 

@@ -58,3 +58,19 @@ def ordinal(df: DataFrame, keys: list[str], order: list[str], block: Column, out
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
     return (own.withColumn("_rank", F.row_number().over(inside)).join(offsets, [*keys, "_block"])
             .select(*df.columns, (F.col("_rank") + F.col("_before")).cast("bigint").alias(out)))
+
+
+def position_gaps(positions: DataFrame, keys=("item",), zone: str = "zone", block: int = BLOCK) -> DataFrame:
+    """Missing positions inside each context, as inclusive ranges between neighbouring observed positions.
+
+    Blocks see gaps between their own positions; gaps across blocks follow from the first and last position
+    of each non-empty block.
+    """
+    own = positions.select(*keys, zone).withColumn("_block", F.floor((F.col(zone) - 1) / block))
+    inside = Window.partitionBy(*keys, "_block").orderBy(zone)
+    within = own.select(*keys, F.lag(zone).over(inside).alias("_a"), F.col(zone).alias("_b"))
+    edges = own.groupBy(*keys, "_block").agg(F.min(zone).alias("_first"), F.max(zone).alias("_last"))
+    across = edges.select(*keys, F.lag("_last").over(Window.partitionBy(*keys).orderBy("_block")).alias("_a"),
+                          F.col("_first").alias("_b"))
+    return within.unionByName(across).filter(F.col("_b") > F.col("_a") + 1).select(
+        *keys, (F.col("_a") + 1).alias("missing_from"), (F.col("_b") - 1).alias("missing_to"))

@@ -142,11 +142,11 @@ def bucketed(df: DataFrame, value: str, splits: list[float], out: str = "_bucket
     return Bucketizer(splits=splits, inputCol=value, outputCol=out).transform(rows)
 
 
-def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float],
-                    buckets: int = 256) -> DataFrame:
+def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[float] | None = None,
+                    buckets: int = 256, ranks: list[int] | None = None) -> DataFrame:
     """Linearly interpolated quantiles: ``groups``, ``n``, ``quantiles`` (one per entry of ``probs``).
 
-    Each wanted rank is first located in a histogram; only the value counts of those buckets are ordered.
+    With ``ranks`` (0-based) the values at those ranks instead. Each wanted rank is first located in a histogram; only the value counts of those buckets are ordered.
     """
     rows = bucketed(df.select(*groups, F.col(value).cast("double").alias("_v")), "_v", splits_for(
         df.select(F.col(value).cast("double").alias("_v")), "_v", buckets))
@@ -154,9 +154,9 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
     within = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     histogram = by_bucket.select("*", F.coalesce(F.sum("_c").over(within), F.lit(0)).alias("_before"),
                                  F.sum("_c").over(Window.partitionBy(*groups)).alias("n"))
-    positions = F.array(*[F.lit(float(p)) for p in probs])
-    at = (histogram.select("*", F.posexplode(positions).alias("_i", "_p"))
-          .withColumn("_at", F.col("_p") * (F.col("n") - 1))
+    places = [F.lit(float(p)) * (F.col("n") - 1) for p in probs] if probs is not None else [
+        F.lit(float(r)) for r in ranks]
+    at = (histogram.select("*", F.posexplode(F.array(*places)).alias("_i", "_at"))
           .withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))))
           .filter((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c")))
           .select(*groups, "_bucket", "n", "_i", "_at", "_rank", (F.col("_rank") - F.col("_before")).alias("_local")))

@@ -14,9 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def regions(spark, sf_dir):
-    """One row per whitespace-separated word of every whole document."""
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def regions(spark, sf_dir, contexts=None):
+    """One row per whitespace-separated word of every whole document.
+
+    ``contexts`` (a table with ``item``) drops other documents before their text is split.
+    """
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if contexts is not None:
+        documents = documents.join(contexts.select(F.col("item").alias("doc_id")), "doc_id", "left_semi")
+    documents = spread(documents)
     words = F.filter(F.split("text", WORD_GAP), lambda w: w != "")
     return (documents.select(F.col("doc_id").alias("item"), F.posexplode(words).alias("pos", "word"))
             .select("item", (F.col("pos") + 1).cast("bigint").alias("zone"), "word"))
