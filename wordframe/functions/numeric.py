@@ -27,6 +27,11 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation as an aggregate; NULL when either column is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def snap(c: Column, digits: int = 4) -> Column:
     """Round for comparison between engines.
 

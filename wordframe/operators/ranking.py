@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wordframe.cluster import cut
+
 PREFIX_DIGITS = 3            # 4096 buckets per refinement of a hash prefix
 COLLECT_LIMIT = 200_000      # hashes brought to the driver once a prefix is this rare
 
@@ -177,22 +179,31 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
 
 
 def average_ranks(df: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
-    """Add ``rank_<column>``: 1-based ranks with ties averaged.
+    """Add ``rank_<column>``: 1-based ranks with ties averaged. Columns must be double.
 
-    Ranks belong to distinct values, so they are computed on the value counts and joined back; a value
-    held by a large share of the rows is one row of the small side, and adaptive skew handling splits the other.
+    Ranks belong to distinct values, so they are computed on the value counts of all columns at once, and
+    joined back; a value held by a large share of the rows is one row of the small side, and adaptive skew
+    handling splits the other.
     """
-    for c in columns:
-        values = df.filter(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_m"))
-        placed = bucketed(values, "_v", splits_for(df.select(F.col(c).cast("double").alias(c)), c, buckets))
-        totals = placed.groupBy("_bucket").agg(F.sum("_m").alias("_t"))
-        earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)   # at most `buckets` rows
-        offsets = totals.select("_bucket", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
-        inside = Window.partitionBy("_bucket").orderBy("_v")
-        ranks = placed.join(F.broadcast(offsets), "_bucket").select(
-            F.col("_v").alias(c), (F.col("_before") + F.sum("_m").over(inside) - F.col("_m")
-                                   + (F.col("_m") + 1) / 2.0).alias(f"rank_{c}"))
-        df = df.join(ranks, c, "left")
+    probs = [i / buckets for i in range(1, buckets)]
+    row = df.agg(*[F.percentile_approx(c, probs, 20 * buckets).alias(c) for c in columns]).first()
+    splits = [[float("-inf"), *sorted(set(row[c] or [0.0])), float("inf")] for c in columns]
+    placed = Bucketizer(splitsArray=splits, inputCols=columns, outputCols=[f"_b{i}" for i in range(len(columns))],
+                        handleInvalid="keep").transform(df.select(*columns))
+    cells = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("c"), F.col(f"_b{i}").alias("b"), F.col(c).alias("v")))
+                      for i, c in enumerate(columns)])
+    values = (placed.select(F.inline(F.filter(cells, lambda z: z.isNotNull()))).groupBy("c", "b", "v")
+              .agg(F.count("*").alias("m")))
+    inside = Window.partitionBy("c", "b").orderBy("v")
+    local = values.select("*", F.sum("m").over(inside).alias("upto"), F.sum("m").over(Window.partitionBy("c", "b")).alias("t"))
+    totals = values.groupBy("c", "b").agg(F.sum("m").alias("t"))       # at most columns x buckets rows
+    earlier = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("c", "b", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("before"))
+    ranks = cut(local.join(F.broadcast(offsets), ["c", "b"]).select(
+        "c", "v", (F.col("before") + F.col("upto") - F.col("m") + (F.col("m") + 1) / 2.0).alias("rank")))
+    for i, c in enumerate(columns):
+        side = ranks.filter(F.col("c") == c).select(F.col("v").alias(c), F.col("rank").alias(f"rank_{c}"))
+        df = df.join(side, c, "left")
     return df
 
 

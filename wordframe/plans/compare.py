@@ -3,7 +3,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wordframe.functions.numeric import ratio
+from wordframe.functions.numeric import ratio, safe_corr
 from wordframe.operators.ranking import exact_quantiles
 
 PROFILE = [0.5, 0.05, 0.95]
@@ -64,7 +64,7 @@ def residual_profile(df: DataFrame, y: str, prediction: str) -> DataFrame:
     r = df.select(y, prediction, (F.col(y) - F.col(prediction)).alias("residual"))
     moments = r.agg(F.count("*").alias("n"), F.avg("residual").alias("mean"), F.stddev_samp("residual").alias("sd"),
                     F.min("residual").alias("minimum"), F.max("residual").alias("maximum"),
-                    F.corr(y, prediction).alias("correlation"))
+                    safe_corr(F.col(y), F.col(prediction)).alias("correlation"))
     quantiles = exact_quantiles(r, [], "residual", PROFILE)
     return moments.join(quantiles, "n").select(
         "*", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("median", "p05", "p95"))]).drop("quantiles")

@@ -1,6 +1,7 @@
 """Correlations of profiles and summaries with residuals, with false-discovery control per family."""
 from pyspark.sql import DataFrame, Window, functions as F
 
+from wordframe.functions.numeric import safe_corr
 from wordframe.functions.statistics import correlation_p
 from wordframe.operators.ranking import average_ranks
 
@@ -21,7 +22,7 @@ def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], method: str)
     source = lambda c: F.col(f"rank_{c}") if method == "spearman" else F.col(c).cast("double")
     row = df.agg(F.count("*").alias("n"), *[F.min(source(c)).alias(f"lo_{i}") for i, c in enumerate(names)],
                  *[F.max(source(c)).alias(f"hi_{i}") for i, c in enumerate(names)],
-                 *[F.corr(source(a), source(b)).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)]).first()
+                 *[safe_corr(source(a), source(b)).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)]).first()
     constant = {c: row[f"lo_{i}"] == row[f"hi_{i}"] for i, c in enumerate(names)}
     out = []
     for i, (a, b) in enumerate(pairs):
