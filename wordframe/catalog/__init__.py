@@ -1,2 +1,2 @@
 from wordframe.catalog.registry import ORACLES, QUERIES  # noqa: F401
-from wordframe.catalog import models, scalars, scans, vectors, contracts, sequences, aggregates  # noqa: F401
+from wordframe.catalog import models, scalars, scans, vectors, contracts, sequences, aggregates, evaluation  # noqa: F401

@@ -110,3 +110,15 @@ def window_of(idx: Column, n: Column, window: int, stride: int) -> dict[str, Col
     begin = F.greatest(F.lit(0), end - window)
     return {"begin": begin.cast("bigint"), "end": end.cast("bigint"), "target_start": target.cast("bigint"),
             "local": (idx - begin).cast("bigint")}
+
+
+def position_controls(counts: DataFrame, window: int = 1024, stride: int = 256) -> DataFrame:
+    """Position of a region in words, in pieces, and in its scoring window: item, zone and four columns."""
+    placed = exclusive_prefix(counts.select("item", "zone", "n_bpe"), {"before": "n_bpe"})
+    sized = placed.join(counts.groupBy("item").agg(F.sum("n_bpe").alias("n")), "item")
+    own = F.sequence(F.col("before"), F.col("before") + F.col("n_bpe") - 1)
+    local = F.transform(own, lambda i: window_of(i, F.col("n"), window, stride)["local"].cast("double"))
+    mean = F.aggregate(local, F.lit(0.0), lambda s, v: s + v) / F.col("n_bpe") / F.lit(float(window))
+    return sized.select("item", "zone", F.log1p(F.col("zone").cast("double")).alias("log_zone"),
+                        F.log1p(F.col("before").cast("double")).alias("log_before"), mean.alias("local")).withColumn(
+        "local_squared", F.col("local") * F.col("local"))
