@@ -95,14 +95,18 @@ def profile_shape(profile: Column) -> dict[str, Column]:
     return {"roughness": rough / whole, "centre": centre / whole, "peak_share": F.array_max(profile) / whole}
 
 
+def contrasts(h: Column, against: dict[str, Column]) -> dict[str, Column]:
+    """Cosine and relative distance of the final state to the states at the given 0-based layers."""
+    final = at(h, F.size(h) - 1)
+    pairs = F.transform(F.array(*[i.cast("int") for i in against.values()]), lambda i: F.struct(
+        cosine_distance(final, at(h, i)).alias("cosine"), relative_distance(final, at(h, i)).alias("relative")))
+    return {f"{name}_{k}": pairs[j][k] for j, name in enumerate(against) for k in ("cosine", "relative")}
+
+
 def displacement(h: Column) -> dict[str, Column]:
     """Final state against the input, L/3 and 2L/3 states."""
     blocks = F.size(h) - 1
-    final, out = at(h, blocks), {}
-    for name, i in {"input": F.lit(0), "early": F.floor(blocks / 3), "middle": F.floor(blocks * 2 / 3)}.items():
-        out[f"{name}_cosine"] = cosine_distance(final, at(h, i))
-        out[f"{name}_relative"] = relative_distance(final, at(h, i))
-    return out
+    return contrasts(h, {"input": F.lit(0), "early": F.floor(blocks / 3), "middle": F.floor(blocks * 2 / 3)})
 
 
 def curvature(h: Column) -> dict[str, Column]:

@@ -50,24 +50,21 @@ def previous_relations(stacks: DataFrame, depths: list[int], origin: str | None
     window) only predecessors inside the window count. Regions with fewer than two predecessors drop out.
     """
     picked = stacks.select("item", "zone", *([origin] if origin else []),
-                           *[vectors.at(F.col("h"), F.lit(d)).alias(f"v{i}") for i, d in enumerate(depths)])
-    names = [f"v{i}" for i in range(len(depths))]
-    lagged = lag_by_key(picked, names, lags=(1, 2, 3), prefix={1: "b1_", 2: "b2_", 3: "b3_"})
+                           F.array(*[vectors.at(F.col("h"), F.lit(d)) for d in depths]).alias("v"))
+    lagged = lag_by_key(picked, ["v"], lags=(1, 2, 3), prefix={1: "b1_", 2: "b2_", 3: "b3_"})
     if origin:
-        for k in (1, 2, 3):
-            inside = F.col("zone") - k >= F.col(origin)
-            lagged = lagged.withColumns({f"b{k}_{n}": F.when(inside, F.col(f"b{k}_{n}")) for n in names})
-    lagged = lagged.filter(F.col("b1_v0").isNotNull() & F.col("b2_v0").isNotNull())
-    out = []
-    for reference in ("previous", "two_back", "recent"):
-        for i, n in enumerate(names):
-            one, two, three = F.col(f"b1_{n}"), F.col(f"b2_{n}"), F.col(f"b3_{n}")
-            mean2 = F.zip_with(one, two, lambda x, y: (x + y) / 2)
-            mean3 = F.zip_with(F.zip_with(one, two, lambda x, y: x + y), three, lambda x, y: (x + y) / 3)
-            target = {"previous": one, "two_back": two,
-                      "recent": F.when(three.isNull(), mean2).otherwise(mean3)}[reference]
-            out.append(vectors.cosine_distance(F.col(n), target).alias(f"{reference}_{i}"))
-    related = lagged.select("item", "zone", *out)
-    last = len(names) - 1
-    return related.select("*", *[(F.col(f"{r}_{last}") - F.col(f"{r}_0")).alias(f"{r}_change")
-                                 for r in ("previous", "two_back", "recent")])
+        lagged = lagged.withColumns({f"b{k}_v": F.when(F.col("zone") - k >= F.col(origin), F.col(f"b{k}_v")) for k in (1, 2, 3)})
+    lagged = lagged.filter(F.col("b1_v").isNotNull() & F.col("b2_v").isNotNull())
+
+    def combined(a, b, divisor):
+        return F.zip_with(a, b, lambda x, y: F.zip_with(x, y, lambda p, r: (p + r) / divisor))
+    one, two, three = F.col("b1_v"), F.col("b2_v"), F.col("b3_v")
+    sums = combined(one, two, F.lit(1.0))
+    recent = F.when(three.isNull(), combined(one, two, F.lit(2.0))).otherwise(combined(sums, three, F.lit(3.0)))
+    distances = {n: F.zip_with("v", ref, vectors.cosine_distance)
+                 for n, ref in (("previous", one), ("two_back", two), ("recent", recent))}
+    related = lagged.select("item", "zone", *[d.alias(n) for n, d in distances.items()])
+    last = len(depths) - 1
+    return related.select(
+        "item", "zone", *[F.col(n)[i].alias(f"{n}_{i}") for n in distances for i in range(len(depths))],
+        *[(F.col(n)[last] - F.col(n)[0]).alias(f"{n}_change") for n in distances])

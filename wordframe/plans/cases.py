@@ -67,10 +67,7 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {**vectors.displacement(h), **vectors.curvature(h), **vectors.norm_dynamics(h)}
     for m in ("cosine", "relative_l2"):
         columns.update({f"{m}_{n}": c for n, c in vectors.profile_shape(F.col(m)).items()})
-    final = vectors.at(h, F.lit(BLOCKS))
-    for k, layer in ((0, 1), (16, 3), (64, 5)):
-        columns[f"context{k}_cosine"] = vectors.cosine_distance(final, vectors.at(h, F.lit(layer)))
-        columns[f"context{k}_relative"] = vectors.relative_distance(final, vectors.at(h, F.lit(layer)))
+    columns.update(vectors.contrasts(h, {"context0": F.lit(1), "context16": F.lit(3), "context64": F.lit(5)}))
     for l, depth in enumerate(DEPTHS):
         for d in range(WIDTH):
             columns[f"hidden_{l}_{d}"] = h[depth][d]

@@ -100,12 +100,11 @@ def training_rows(df: DataFrame, folds: list[int], fold: str = "fold") -> DataFr
 
 def training_medians(df: DataFrame, columns: list[str], folds: list[int], fold: str = "fold") -> DataFrame:
     """Median of each column over the rows outside each fold: one row per fold."""
-    out = None
-    for c in columns:
-        m = exact_quantiles(training_rows(df.select(c, fold), folds, fold), ["outer"], c, [0.5]).select(
-            F.col("outer").alias(fold), F.col("quantiles")[0].alias(f"median_{c}"))
-        out = m if out is None else out.join(m, fold)
-    return out
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
+    rows = training_rows(df.select(fold, F.inline(cells)), folds, fold)
+    medians = exact_quantiles(rows, ["outer", "c"], "v", [0.5], buckets=128 * len(columns))
+    return medians.groupBy(F.col("outer").alias(fold)).agg(*[
+        F.max(F.when(F.col("c") == c, F.col("quantiles")[0])).alias(f"median_{c}") for c in columns])
 
 
 def subgroups(df: DataFrame, y: str, baseline: str, variants: dict[str, str], masks: dict[str, Column]) -> DataFrame:
@@ -121,15 +120,12 @@ def subgroups(df: DataFrame, y: str, baseline: str, variants: dict[str, str], ma
 
 def training_diagnostics(df: DataFrame, columns: list[str], folds: list[int], probs: list[float], fold: str = "fold") -> DataFrame:
     """Distribution of each feature over the training rows of each fold."""
-    out = None
-    for c in columns:
-        rows = training_rows(df.select(F.col(c).cast("double").alias(c), fold), folds, fold)
-        moments = rows.groupBy("outer").agg(F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), F.min(c).alias("minimum"), F.max(c).alias("maximum"))
-        q = exact_quantiles(rows, ["outer"], c, probs)
-        one = moments.join(q, "outer").select(F.col("outer").alias("fold"), F.lit(c).alias("feature"), "n", "mean", "sd", "minimum",
-                                              "maximum", "quantiles")
-        out = one if out is None else out.unionByName(one)
-    return out
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
+    rows = training_rows(df.select(fold, F.inline(cells)), folds, fold)
+    moments = rows.groupBy("feature", "outer").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
+                                                   F.min("value").alias("minimum"), F.max("value").alias("maximum"))
+    quantiles = exact_quantiles(rows, ["feature", "outer"], "value", probs, buckets=128 * len(columns))
+    return moments.join(quantiles, ["feature", "outer"]).withColumnRenamed("outer", "fold")
 
 
 def training_correlations(moments: dict, names: list[str], controls: list[str], families: dict[str, list[str]]) -> list[tuple]:

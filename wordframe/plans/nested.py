@@ -91,10 +91,13 @@ def plain_problem(df: DataFrame, columns: list[str], y: str, outer: list[int]) -
 def fitted_problem(df: DataFrame, raw: list[str], y: str, outer: list[int], names: list[str],
                    expand: dict[tuple, Callable]) -> FittedProblem:
     """``expand[o, i](x)`` turns a batch of raw columns into the wide design under training set (o, i)."""
-    y_mean = float(column_means(df, [y])[0])
+    # Columns taken over unchanged are anchored at their means; fitted columns are already near zero.
+    plain = [n for n in names if n in raw]
+    means = dict(zip([*plain, y], column_means(df, [*plain, y])))
+    anchor = np.array([means.get(n, 0.0) for n in names] + [means[y]])
 
     def design(transform, x):
-        return np.column_stack([np.ones(len(x)), transform(x[:, :-1]), x[:, -1] - y_mean])
+        return np.column_stack([np.ones(len(x)), transform(x[:, :-1]) - anchor[:-1], x[:, -1] - anchor[-1]])
 
     def emit(x, _folds, inner):
         for s, o in enumerate(outer):
@@ -109,7 +112,7 @@ def fitted_problem(df: DataFrame, raw: list[str], y: str, outer: list[int], name
             yield f"r:{o}", design(expand[o, None], rows)
 
     cells = cell_moments(df, [*raw, y], emit, inner="inner", outer=len(outer))
-    return FittedProblem(names, np.r_[np.zeros(len(names)), y_mean], outer, cells, raw, expand)
+    return FittedProblem(names, anchor, outer, cells, raw, expand)
 
 
 def tune(problem: Problem, outer: int, columns: list[str], alphas=ALPHAS) -> dict:
@@ -191,16 +194,19 @@ def training_sets(outer: list[int]) -> list[tuple[int, int | None]]:
 
 
 def set_knots(df: DataFrame, columns: list[str], outer: list[int], fold: str = "fold", inner: str = "inner") -> dict:
-    """Quantile knots of each column under every training set: {(outer, inner): [knots per column]}."""
+    """Quantile knots of each column under every training set: {(outer, inner): [knots per column]}.
+
+    All columns and sets go through one selection; what is collected is one row per (set, column).
+    """
     sets = training_sets(outer)
     member = F.array(*[F.when((F.col(fold) != o) & (F.lit(True) if i is None else F.col(inner)[outer.index(o)] != i), F.lit(k))
                        for k, (o, i) in enumerate(sets)])
-    knots = {s: [] for s in sets}
-    for c in columns:
-        rows = df.select(F.col(c).cast("double").alias(c), F.explode(F.filter(member, lambda m: m.isNotNull())).alias("set"))
-        for row in exact_quantiles(rows, ["set"], c, KNOT_PROBS).collect():      # one row per training set
-            knots[sets[row["set"]]].append([float(v) for v in row["quantiles"]])
-    return knots
+    cells = F.array(*[F.struct(F.lit(j).alias("c"), F.col(c).cast("double").alias("v")) for j, c in enumerate(columns)])
+    rows = df.select(F.filter(member, lambda m: m.isNotNull()).alias("sets"), F.inline(cells)).select(
+        "c", "v", F.explode("sets").alias("set"))
+    found = {(r["set"], r["c"]): [float(v) for v in r["quantiles"]]
+             for r in exact_quantiles(rows, ["set", "c"], "v", KNOT_PROBS, buckets=128 * len(columns)).collect()}
+    return {s: [found[k, j] for j in range(len(columns))] for k, s in enumerate(sets)}
 
 
 def spline_names(column: str) -> list[str]:
