@@ -144,7 +144,7 @@ VIEWS["region_lag"] = "SELECT *, lag(word) OVER (PARTITION BY item ORDER BY zone
     f"regexp_matches({w}, '{p}')::DOUBLE AS {'prev_' if w == 'prev_word' else ''}{n}" for w in ("word", "prev_word")
     for n, p in _FLAGS.items()) + " FROM region_lag GROUP BY ALL")
 def p13(spark, sf_dir):
-    lagged = ordered.lag_by_key(tables.regions(spark, sf_dir), ["word"])
+    lagged = tables.region_pairs(spark, sf_dir)
     flags = {**text.surface_flags(F.col("word")), **text.surface_flags(F.col("prev_word"), "prev_")}
     return lagged.groupBy(*[c.alias(n) for n, c in flags.items()]).agg(F.count("*").alias("n"))
 

@@ -87,7 +87,7 @@ _SHAPE = {"surprisal": "-log2(b.p)", "entropy_bits": "s.entropy_bits", "target_l
     f"""{q(f"coalesce({e}, 'nan'::DOUBLE)")} AS {n}""" for n, e in _SHAPE.items()) +
     " FROM word_lag l LEFT JOIN bigram_ranked b USING (prev_word, word) LEFT JOIN bigram_shape s USING (prev_word)")
 def r01(spark, sf_dir):
-    scored = ngram.score(tables.shared_regions(spark, sf_dir))
+    scored = ngram.score(tables.region_pairs(spark, sf_dir))
     return scored.select(*KEYS, *[snap(F.col(c)).alias(c) for c in _SHAPE])
 
 
@@ -126,7 +126,7 @@ VIEWS["region_folds"] = "SELECT item, zone, (ntile(10) OVER (ORDER BY md5('2026:
 
 @query("w06_balanced_folds", "SELECT item, zone, fold FROM region_folds")
 def w06(spark, sf_dir):
-    return ranking.assign_folds(tables.shared_regions(spark, sf_dir).select(*KEYS), KEYS)
+    return ranking.assign_folds(tables.region_keys(spark, sf_dir), KEYS)
 
 
 VIEWS["tokens"] = "SELECT f.item, f.zone, f.first + k AS idx, f.n FROM (SELECT *, unnest(range(0, n_bpe)) AS k FROM first_piece) f"

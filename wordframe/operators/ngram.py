@@ -6,6 +6,7 @@ successors occur c times — which stays small even for a predecessor that holds
 """
 from pyspark.sql import DataFrame, Window, functions as F
 
+from wordframe.cluster import cut
 from wordframe.operators.ordered import lag_by_key
 
 SHAPE = ["target_log_rank", "top10_mass", "top_margin", "collision"]
@@ -43,14 +44,19 @@ def distributions(bigrams: DataFrame, vocabulary: int, k: float) -> DataFrame:
 
 
 def score(regions: DataFrame, k: float = 0.5, keys=("item",)) -> DataFrame:
-    """Surprisal, entropy and distribution shape of every region; NaN at the first region of a context."""
-    lagged = lag_by_key(regions, ["word"], keys=keys)
+    """Surprisal, entropy and distribution shape of every region; NaN at the first region of a context.
+
+    A table that already carries ``prev_word`` is used as it is. Successor counts are written once: they are
+    read twice, and each recomputation would pass over all tokens.
+    """
+    kept = [c for c in regions.columns if c != "prev_word"]
+    lagged = regions if "prev_word" in regions.columns else lag_by_key(regions, ["word"], keys=keys)
     vocabulary = regions.select("word").distinct().count()
-    bigrams = bigram_counts(lagged)
+    bigrams = cut(bigram_counts(lagged))
     # The spectrum meets the bigram table first, so a frequent predecessor joins once per successor, not per token.
     scored = bigrams.join(distributions(bigrams, vocabulary, k), ["prev_word", "c"]).drop("c")
     joined = lagged.join(scored, ["prev_word", "word"], "left")
     nan = F.lit(float("nan"))
     columns = ["surprisal", "entropy_bits", *SHAPE]
-    return joined.select(*regions.columns, *[
+    return joined.select(*kept, *[
         F.when(F.col("prev_word").isNull(), nan).otherwise(F.col(c)).alias(c) for c in columns])

@@ -28,6 +28,22 @@ def regions(spark, sf_dir, contexts=None):
             .select("item", (F.col("pos") + 1).cast("bigint").alias("zone"), "word"))
 
 
+def region_pairs(spark, sf_dir):
+    """``regions`` with the previous word. Neighbours share a document row, so no window or shuffle is needed."""
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = documents.select(F.col("doc_id").alias("item"), F.filter(F.split("text", WORD_GAP), lambda w: w != "").alias("w"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("w", 1, F.size("w")))
+    zipped = F.arrays_zip(F.col("w"), F.slice(before, F.lit(1), F.size("w")))
+    rows = words.filter(F.size("w") > 0).select("item", F.posexplode(zipped).alias("pos", "z"))
+    return rows.select("item", (F.col("pos") + 1).cast("bigint").alias("zone"), F.col("z")["w"].alias("word"),
+                       F.col("z")["1"].alias("prev_word"))
+
+
+def region_keys(spark, sf_dir):
+    """Keys of ``regions``, written once for jobs that scan them several times."""
+    return shared(spark, ("region_keys", sf_dir), lambda: regions(spark, sf_dir).select("item", "zone"))
+
+
 def langs(spark, sf_dir):
     """``regions`` with the language of the document."""
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
