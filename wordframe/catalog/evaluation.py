@@ -4,13 +4,14 @@ from pyspark.sql import functions as F
 from wordframe.catalog.contracts import VIEWS, both_predictions, joined
 from wordframe.catalog.registry import q, query
 from wordframe.catalog.sequences import counted
-from wordframe.cluster import remember, shared
+from wordframe.cluster import cut, remember, shared
 from wordframe.functions import basis
 from wordframe.functions.layers import layer_names, third_names
 from wordframe.functions.numeric import snap
-from wordframe.operators import spans
+from wordframe.operators import ngram, ranking, spans
 from wordframe.operators.ranking import exact_quantiles
 from wordframe.plans import cases, compare, linear, nested, reading, representation
+from wordframe.sources import tables
 
 KEYS = ["item", "zone"]
 OUTER = cases.OUTER
@@ -358,3 +359,48 @@ def m28(spark, sf_dir):
     matrix = reading.complete(rows, [*cases.CORE, *cases.HISTORY])
     return matrix.select(*KEYS, F.col("word_length").cast("double").alias("word_length"), F.col("lag2_word_length").cast("double").alias("lag2_word_length"),
                          F.col("lag2_n_bpe").cast("double").alias("lag2_n_bpe"), snap(F.col("lag2_surprisal")).alias("lag2_surprisal"), "lag2_available")
+
+
+# The same held-out regression over every region of the corpus: surprisal on word length and log frequency.
+VIEWS["corpus"] = """SELECT l.item, l.zone, f.fold, length(l.word)::DOUBLE AS x, ln(1 + q.count) AS z, -log2(b.p) - 12 AS y FROM word_lag l
+    JOIN bigram_ranked b USING (prev_word, word) JOIN freq q ON q.form = l.word JOIN region_folds f ON f.item = l.item AND f.zone = l.zone"""
+VIEWS["corpus_fold"] = """SELECT fold, count(*) AS n, sum(x) AS x, sum(z) AS z, sum(y) AS y, sum(x * x) AS xx, sum(z * z) AS zz, sum(x * z) AS xz,
+    sum(x * y) AS xy, sum(z * y) AS zy FROM corpus GROUP BY fold"""
+VIEWS["corpus_train"] = """SELECT f.fold, t.n - f.n AS n, (t.x - f.x) / (t.n - f.n) AS mx, (t.z - f.z) / (t.n - f.n) AS mz, (t.y - f.y) / (t.n - f.n) AS my,
+    (t.xx - f.xx) / (t.n - f.n) AS xx, (t.zz - f.zz) / (t.n - f.n) AS zz, (t.xz - f.xz) / (t.n - f.n) AS xz, (t.xy - f.xy) / (t.n - f.n) AS xy,
+    (t.zy - f.zy) / (t.n - f.n) AS zy FROM corpus_fold f, (SELECT sum(n) n, sum(x) x, sum(z) z, sum(y) y, sum(xx) xx, sum(zz) zz, sum(xz) xz,
+    sum(xy) xy, sum(zy) zy FROM corpus_fold) t"""
+VIEWS["corpus_coef"] = """SELECT fold, mx, mz, my, ((xy - mx * my) * (zz - mz * mz) - (zy - mz * my) * (xz - mx * mz)) / d AS bx,
+    ((zy - mz * my) * (xx - mx * mx) - (xy - mx * my) * (xz - mx * mz)) / d AS bz FROM (SELECT *, (xx - mx * mx) * (zz - mz * mz) - (xz - mx * mz) ** 2 AS d FROM corpus_train)"""
+
+
+def corpus(spark, sf_dir):
+    """Every scored region with its lexical predictors and its fold over the whole corpus."""
+    def build():
+        scored = ngram.score(tables.region_pairs(spark, sf_dir)).select(*KEYS, "word", "surprisal")
+        counts = tables.frequencies(spark, sf_dir).select(F.col("form").alias("word"), F.log1p("count").alias("log_frequency"))
+        rows = scored.join(counts, "word").select(*KEYS, F.length("word").cast("double").alias("word_length"), "log_frequency", "surprisal")
+        return ranking.assign_folds(cut(rows), KEYS).filter("zone > 1")
+    return shared(spark, ("corpus", sf_dir), build)
+
+
+@query("m02_corpus_ols", f"""SELECT c.fold, count(*) AS n, {q('sqrt(avg((y - (my + bx * (x - mx) + bz * (z - mz))) ** 2))', 5)} AS rmse,
+    {q('1 - sum((y - (my + bx * (x - mx) + bz * (z - mz))) ** 2) / (count(*) * var_pop(y))', 5)} AS r2 FROM corpus c JOIN corpus_coef k ON c.fold = k.fold GROUP BY c.fold""")
+def m02_corpus(spark, sf_dir):
+    """Held-out OLS over all regions: one pass of moments, ten small solves, one projection."""
+    predicted, _ = linear.cross_validate(corpus(spark, sf_dir), {"full": ["word_length", "log_frequency"]}, "surprisal")
+    rmse, r2 = linear.metrics(F.col("surprisal"), F.col("full_prediction"))
+    return predicted.groupBy("fold").agg(F.count("*").alias("n"), snap(rmse, 5).alias("rmse"), snap(r2, 5).alias("r2"))
+
+
+@query("m13_corpus_ridge")
+def m13_corpus(spark, sf_dir):
+    """Nested ridge over all regions: 50 cells of moments from one scan serve 25 penalties in 60 training sets."""
+    rows = shared(spark, ("corpus_inner", sf_dir), lambda: ranking.assign_inner_folds(corpus(spark, sf_dir), KEYS, OUTER))
+    columns = ["word_length", "log_frequency"]
+    problem = nested.plain_problem(rows, columns, "surprisal", OUTER)
+    tuned, models = nested.nested_ridge(problem, {"ridge": columns})
+    predicted = nested.predict(rows, problem, models)
+    error = F.col("surprisal") - F.col("ridge_prediction")
+    alphas = spark.createDataFrame([(o, t["alpha"]) for o, t in tuned["ridge"].items()], "fold int, alpha double")
+    return predicted.groupBy("fold").agg(F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse")).join(F.broadcast(alphas), "fold")

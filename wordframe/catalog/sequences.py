@@ -29,9 +29,11 @@ def piece_table(spark, sf_dir):
 
 
 def counted(spark, sf_dir):
-    """Regions with their piece counts."""
-    r = tables.regions(spark, sf_dir)
-    return r.withColumn("n_bpe", spans.piece_counts(r).cast("bigint"))
+    """Piece count of every region, written once for the windows and prefixes built on it."""
+    def build():
+        r = tables.regions(spark, sf_dir)
+        return r.select(*KEYS, spans.piece_counts(r).cast("bigint").alias("n_bpe"))
+    return shared(spark, ("piece_counts", sf_dir), build)
 
 
 @query("r02_pieces", 'SELECT item, zone, piece, text, start, stop AS "end" FROM pieces')
