@@ -13,8 +13,8 @@ SHAPE = ["target_log_rank", "top10_mass", "top_margin", "collision"]
 
 
 def bigram_counts(lagged: DataFrame) -> DataFrame:
-    return (lagged.filter(F.col("prev_word").isNotNull()).groupBy("prev_word", "word")
-            .agg(F.count("*").alias("c")))
+    """(prev_word, word) → count; a NULL predecessor counts the words that open a context."""
+    return lagged.groupBy("prev_word", "word").agg(F.count("*").alias("c"))
 
 
 def distributions(bigrams: DataFrame, vocabulary: int, k: float) -> DataFrame:
@@ -46,13 +46,14 @@ def distributions(bigrams: DataFrame, vocabulary: int, k: float) -> DataFrame:
 def score(regions: DataFrame, k: float = 0.5, keys=("item",)) -> DataFrame:
     """Surprisal, entropy and distribution shape of every region; NaN at the first region of a context.
 
-    A table that already carries ``prev_word`` is used as it is. Successor counts are written once: they are
-    read twice, and each recomputation would pass over all tokens.
+    A table that already carries ``prev_word`` is used as it is. Successor counts are written once: they
+    also give the vocabulary, and each recomputation would pass over all tokens.
     """
     kept = [c for c in regions.columns if c != "prev_word"]
     lagged = regions if "prev_word" in regions.columns else lag_by_key(regions, ["word"], keys=keys)
-    vocabulary = regions.select("word").distinct().count()
-    bigrams = cut(bigram_counts(lagged))
+    counts = cut(bigram_counts(lagged))
+    vocabulary = counts.select("word").distinct().count()
+    bigrams = counts.filter(F.col("prev_word").isNotNull())
     # The spectrum meets the bigram table first, so a frequent predecessor joins once per successor, not per token.
     scored = bigrams.join(distributions(bigrams, vocabulary, k), ["prev_word", "c"]).drop("c")
     joined = lagged.join(scored, ["prev_word", "word"], "left")

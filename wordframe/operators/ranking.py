@@ -47,14 +47,24 @@ def hash_cuts(df: DataFrame, shuffles: list[Shuffle]) -> dict[str, list[str]]:
     Each pass counts rows per (shuffle, longer prefix) among the prefixes still in question. The driver
     holds counts of at most 4096 buckets per open prefix and, at the end, a bounded set of hashes.
     """
-    entries = F.array(*[F.when(s.member, F.struct(F.lit(s.name).alias("s"), s.hash.alias("h"))) for s in shuffles])
-    hashed = df.select(F.explode(F.filter(entries, lambda e: e.isNotNull())).alias("e")).select("e.s", "e.h")
+    def entries(value, open_prefixes=None):
+        """Rows (s, value of the hash) of all shuffles, restricted to the open prefixes before anything is exploded."""
+        cells = []
+        for s in shuffles:
+            member = s.member
+            if open_prefixes is not None:
+                mine = sorted(p for n, p, _ in open_prefixes if n == s.name)
+                if not mine:
+                    continue
+                member = member & F.substring(s.hash, 1, len(mine[0])).isin(mine)
+            cells.append(F.when(member, F.struct(F.lit(s.name).alias("s"), value(s.hash).alias("p"))))
+        return df.select(F.explode(F.filter(F.array(*cells), lambda e: e.isNotNull())).alias("e")).select("e.s", "e.p")
 
-    def counts(rows, digits):
-        table = rows.groupBy("s", F.substring("h", 1, digits).alias("p")).count().toPandas()
-        return {key: int(c) for *key, c in table.itertuples(index=False) for key in [tuple(key)]}
+    def counts(digits, open_prefixes=None):
+        table = entries(lambda h: F.substring(h, 1, digits), open_prefixes).groupBy("s", "p").count().toPandas()
+        return {(s, p): int(c) for s, p, c in table.itertuples(index=False)}
 
-    found = counts(hashed, PREFIX_DIGITS)
+    found = counts(PREFIX_DIGITS)
     totals = {s.name: 0 for s in shuffles}
     for (name, _), c in found.items():
         totals[name] += c
@@ -79,18 +89,15 @@ def hash_cuts(df: DataFrame, shuffles: list[Shuffle]) -> dict[str, list[str]]:
                     break
                 search.rank -= c
         open_prefixes = sorted({(name, s.prefix, s.width) for (name, _), s in searches.items()})
-        wanted = F.broadcast(df.sparkSession.createDataFrame(
-            [(n, p) for n, p, _ in open_prefixes], "s string, p string"))
-        near = (hashed.withColumn("p", F.substring("h", 1, digits)).join(wanted, ["s", "p"], "left_semi"))
         if sum(w for *_, w in open_prefixes) <= COLLECT_LIMIT or digits >= 30:
             break
         digits += PREFIX_DIGITS
-        found = counts(near.select("s", "h"), digits)
+        found = counts(digits, open_prefixes)
     # A hash is 32 digits long: equal hashes are one key, so counting them first bounds what is collected.
-    table = near.groupBy("s", "p", "h").count().toPandas()
+    table = entries(lambda h: h, open_prefixes).groupBy("s", "p").count().toPandas()
     groups = {}
-    for s, p, h, c in table.itertuples(index=False):
-        groups.setdefault((s, p), []).append((h, int(c)))
+    for s, h, c in table.itertuples(index=False):
+        groups.setdefault((s, h[:digits]), []).append((h, int(c)))
     cuts = {s.name: [] for s in shuffles}
     for (name, _), search in sorted(searches.items(), key=lambda kv: kv[0]):
         rank = search.rank
@@ -123,9 +130,10 @@ def assign_inner_folds(df: DataFrame, keys: list[str], outer: list[int], folds:
     cols = [F.col(k) for k in keys]
     shuffles = [Shuffle(str(o), order_hash(seed + o, *cols), folds, F.col(fold) != o) for o in outer]
     cuts = hash_cuts(df.select(*keys, fold), shuffles)
-    parts = [F.when(F.col(fold) == o, F.lit(-1)).otherwise(fold_column(s.hash, cuts[s.name]))
-             for o, s in zip(outer, shuffles)]
-    return df.withColumn(out, F.array(*parts))
+    # Hashes are columns of their own: inside the conditional each comparison would hash again.
+    hashed = df.withColumns({f"_h{o}": s.hash for o, s in zip(outer, shuffles)})
+    parts = [F.when(F.col(fold) == o, F.lit(-1)).otherwise(fold_column(F.col(f"_h{o}"), cuts[str(o)])) for o in outer]
+    return hashed.select(*df.columns, F.array(*parts).alias(out))
 
 
 def splits_for(df: DataFrame, value: str, buckets: int = 256) -> list[float]:
