@@ -1,7 +1,6 @@
 """Solvers from moments against direct fits, and leakage tests: held-out rows must not move training results."""
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from wordframe.functions.basis import KNOT_PROBS, spline_batch
 from wordframe.operators.ranking import assign_inner_folds

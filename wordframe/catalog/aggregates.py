@@ -5,7 +5,7 @@ from wordframe.catalog.contracts import VIEWS, both_predictions, joined
 from wordframe.catalog.registry import q, query
 from wordframe.functions import text
 from wordframe.functions.numeric import ratio, snap
-from wordframe.operators import contracts, ordered
+from wordframe.operators import ordered
 from wordframe.operators.ranking import exact_quantiles
 from wordframe.plans import compare, correlation, linear, reading
 from wordframe.sources import tables

@@ -7,8 +7,7 @@ from wordframe.catalog.scans import fresh, shared_analysis
 from wordframe.functions import text
 from wordframe.functions.numeric import finite, same, snap
 from wordframe.operators import contracts as c
-from wordframe.operators import joins, ngram, ordered, ranking, spans
-from wordframe.operators import states as state_ops
+from wordframe.operators import joins, ordered, ranking
 from wordframe.plans import linear, reading
 from wordframe.sources import files, tables
 

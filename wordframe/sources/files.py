@@ -3,7 +3,6 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordframe.operators.ranking import order_hash  # noqa: F401  (same key text as the folds)
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
