@@ -2,6 +2,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from wordframe import catalog
 from tests.oracle import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ def con():
     return connect(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, con, name):
     ok, note, _ = compare(spark, con, name, entry.queries()[name], entry.oracle_sql().get(name), SF)
     assert ok or (name in MAY_BE_EMPTY and note.startswith("rows 0")), note

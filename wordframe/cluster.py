@@ -9,10 +9,16 @@ _MEMO = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only where none is set."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A session on ``local[...]`` runs in one process, so there a temporary folder may stand in, as in tests. On a
+    cluster a folder of one machine would lose rows silently; a missing setting is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOT:
         _LOCAL_ROOT[app] = tempfile.mkdtemp(prefix="spark-")
