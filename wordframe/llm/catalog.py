@@ -1,6 +1,7 @@
 """Queries of the subpackage, one per operator, and their oracle SQL where SQL can say the same."""
-from wordframe.llm import mixing, sharding
+from wordframe.llm import language, mixing, near_dedup, sharding
 
 QUERIES = {f.__name__: f for f in (
-    mixing.op4_pfair_mix, sharding.op6_hilbert_shards)}
+    near_dedup.op2_order_minhash, mixing.op4_pfair_mix, sharding.op6_hilbert_shards,
+    language.op8_rank_order_profiles)}
 ORACLES = {}
