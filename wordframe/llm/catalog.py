@@ -1,7 +1,7 @@
 """Queries of the subpackage, one per operator, and their oracle SQL where SQL can say the same."""
-from wordframe.llm import language, mixing, near_dedup, sharding
+from wordframe.llm import decontamination, html_text, language, mixing, near_dedup, sharding
 
 QUERIES = {f.__name__: f for f in (
-    near_dedup.op2_order_minhash, mixing.op4_pfair_mix, sharding.op6_hilbert_shards,
-    language.op8_rank_order_profiles)}
-ORACLES = {}
+    near_dedup.op2_order_minhash, html_text.op3_tag_ratio_extraction, mixing.op4_pfair_mix, sharding.op6_hilbert_shards,
+    language.op8_rank_order_profiles, decontamination.op9_fm_decontamination)}
+ORACLES = {"op9_fm_decontamination": decontamination.ORACLE}
