@@ -36,7 +36,7 @@ ARTICLE = frozenset("article main".split())
 class _Line:
     __slots__ = ("parts", "tags", "inside", "outside", "heading")
 
-    def __init__(self, inside: bool, hidden: bool, heading: bool):
+    def __init__(self, inside: int, hidden: bool, heading: bool):
         self.parts, self.tags, self.inside, self.outside, self.heading = [], 0, inside, hidden, heading
 
 
@@ -47,7 +47,7 @@ class _Events(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[_Line] = []
         self.open: list[tuple[str, bool, bool]] = []        # tag, hides, holds the article
-        self.hiding = self.holding = 0
+        self.hiding = self.holding = self.articles = 0
         self.line = None
 
     def _next(self):
@@ -55,7 +55,7 @@ class _Events(HTMLParser):
 
     def _now(self) -> _Line:
         if self.line is None:
-            self.line = _Line(self.holding > 0, self.hiding > 0, any(t in ("h1", "h2") for t, _, _ in self.open[-3:]))
+            self.line = _Line(self.articles if self.holding else 0, self.hiding > 0, any(t in ("h1", "h2") for t, _, _ in self.open[-3:]))
             self.lines.append(self.line)
         return self.line
 
@@ -87,6 +87,7 @@ class _Events(HTMLParser):
             elif name == "hidden" or name == "aria-hidden" and value == "true":
                 hides = True
         holds = tag in ARTICLE
+        self.articles += holds and not self.holding         # numbers the outermost article or main elements
         self.open.append((tag, hides, holds))
         self.hiding += hides
         self.holding += holds
@@ -121,9 +122,9 @@ def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 def main_text(html: str | None) -> str:
     """Blocks of the article, white space inside each as one space, joined by a line break.
 
-    Lines of hidden elements and of parts named as boilerplate never count. If the page marks an article, its lines
-    are the region. Otherwise lines are kept whose smoothed text-to-tag ratio reaches the threshold, and short lines
-    between or beside kept ones in the same cluster (headings, list items) with them.
+    Lines of hidden elements and of parts named as boilerplate never count. Of the others, lines whose smoothed
+    text-to-tag ratio reaches the threshold form the content clusters. A cluster in an article element stands for that
+    whole element, short lines included; without such an element the clusters and the headings right above them count.
     """
     if not html:
         return ""
@@ -138,11 +139,13 @@ def main_text(html: str | None) -> str:
                 lines.append((text, line.tags, line.inside, line.heading))
     if not lines:
         return ""
-    marked = np.array([x[2] for x in lines])
-    ratios = np.array([len(text) / (1 + tags) for text, tags, _, _ in lines])
-    smooth = smoothed(ratios)
-    region = marked if marked.any() else smooth >= min(THRESHOLD * smooth.std(), smooth.max())
-    if not marked.any():                                    # a heading right above the region belongs to it
+    smooth = smoothed(np.array([len(text) / (1 + tags) for text, tags, _, _ in lines]))
+    region = smooth >= min(THRESHOLD * smooth.std(), smooth.max())
+    inside = np.array([x[2] for x in lines])
+    articles = np.unique(inside[region & (inside > 0)])
+    if len(articles):
+        region = np.isin(inside, articles)
+    else:
         for i in range(len(lines) - 2, -1, -1):
             if lines[i][3] and region[i + 1]:
                 region[i] = True
