@@ -1,9 +1,9 @@
 """Queries of the subpackage, one per operator, and their oracle SQL where SQL can say the same."""
-from wordframe.llm import (decontamination, fingerprints, html_text, language, licenses, mixing, near_dedup, secrets,
-                           sharding)
+from wordframe.llm import (decontamination, fingerprints, html_text, language, licenses, line_dedup, mixing, near_dedup,
+                           secrets, sharding)
 
 QUERIES = {f.__name__: f for f in (
     licenses.op1_sentence_rules, near_dedup.op2_order_minhash, html_text.op3_tag_ratio_extraction,
-    mixing.op4_pfair_mix, sharding.op6_hilbert_shards, fingerprints.op7_content_defined_chunks,
+    mixing.op4_pfair_mix, line_dedup.op5_simhash_lines, sharding.op6_hilbert_shards, fingerprints.op7_content_defined_chunks,
     language.op8_rank_order_profiles, decontamination.op9_fm_decontamination, secrets.op10_linked_credentials)}
 ORACLES = {"op1_sentence_rules": licenses.ORACLE, "op9_fm_decontamination": decontamination.ORACLE}
