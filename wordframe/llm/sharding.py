@@ -68,11 +68,12 @@ def curve_position(df: DataFrame, dimensions: list[str], name: str, bits: int =
     top = (1 << bits) - 1
     shares = [i / top for i in range(1, top)]
     cuts = df.agg(*[F.percentile_approx(s, shares, ACCURACY).alias(f"d{i}") for i, s in enumerate(scales)]).first()
-    cells = []
-    for i, s in enumerate(scales):
-        borders = F.array(*[F.lit(float(b)) for b in sorted(set(cuts[i] or []))]).cast("array<double>")
-        cells.append(F.when(s.isNull(), F.lit(0)).otherwise(
-            1 + F.size(F.filter(borders, lambda b, s=s: b < s))).cast("int"))
+
+    def cell(value, borders):
+        below = F.filter(F.array(*[F.lit(float(b)) for b in sorted(set(borders or []))]).cast("array<double>"), lambda b: b < value)
+        return F.when(value.isNull(), F.lit(0)).otherwise(1 + F.size(below)).cast("int")
+
+    cells = [cell(s, cuts[i]) for i, s in enumerate(scales)]
 
     @F.pandas_udf("long")
     def index(*columns: pd.Series) -> pd.Series:
