@@ -1,6 +1,7 @@
 """Contracts on planted rows, sheet aggregation, exact joins, and write-once files."""
 import math
 
+import numpy as np
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
@@ -43,21 +44,26 @@ def test_complete_cases_count_overlapping_reasons(spark):
 
 
 def test_sheet_means_keep_skips_apart(spark):
-    rows = [("a", "1-1", 0, "100", "150"), ("b", "1-1", 1, ".", "200"), ("a", "1-2", 1, "80", "90"), ("b", "1-2", 0, "120", "160"), ("a", "2-1", 1, ".", ".")]
+    rng = np.random.default_rng(5)
+    rows = [(f"p{p}", f"w{w}", int(rng.integers(0, 2)), str(rng.choice([".", "", "0", "212.5", "340", "95"])), ".") for p in range(6) for w in range(8)]
     df = spark.createDataFrame(rows, "pp string, id string, skip int, gaze string, total string")
     gaze = text.valid_duration(F.col("gaze"))
     out = {r.id: (r.g, r.n) for r in df.groupBy("id").agg(F.avg(gaze).alias("g"), F.count(gaze).alias("n")).collect()}
-    assert out == {"1-1": (100.0, 1), "1-2": (100.0, 2), "2-1": (None, 0)}
-    ids = df.withColumn("word", F.when(F.col("pp") == "b", "other").otherwise("w"))
-    assert sorted(r.id for r in contracts.inconsistent_identity(ids, ["id"], ["word"]).collect()) == ["1-1", "1-2"]
+    for w in range(8):
+        values = [float(r[3]) for r in rows if r[1] == f"w{w}" and r[3] not in (".", "", "0")]
+        assert out[f"w{w}"][1] == len(values) and (not values or out[f"w{w}"][0] == pytest.approx(sum(values) / len(values)))
+    ids = df.withColumn("word", F.when((F.col("pp") == "p3") & F.col("id").isin("w1", "w5"), "other").otherwise("w"))
+    assert sorted(r.id for r in contracts.inconsistent_identity(ids, ["id"], ["word"]).collect()) == ["w1", "w5"]
 
 
-def test_exact_merge_reports_misaligned_rows(spark):
-    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c")], REGIONS)
-    features = spark.createDataFrame([(1, 2, "B", 5.0), (1, 1, "a", 4.0)], REGIONS + ", f double")
+def test_exact_merge_reports_every_violation_once(spark):
+    rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (1, 4, "d"), (1, 5, None)], REGIONS)
+    features = spark.createDataFrame([(1, 2, "B", 5.0), (1, 1, "a", 4.0), (1, 4, "d", 1.0), (1, 4, "d", 2.0), (1, 5, "e", 9.0)], REGIONS + ", f double")
     merged, bad = joins.merge_exact(rows, features, ["f"])
     assert [(r.zone, r.f) for r in merged.collect()] == [(1, 4.0)]
-    assert sorted((r.zone, r.found) for r in bad.collect()) == [(2, "B"), (3, None)]
+    assert sorted((r.zone, r.reason) for r in bad.collect()) == [(2, "other_word"), (3, "missing"), (4, "duplicate"), (5, "other_word")]
+    with pytest.raises(ValueError):
+        contracts.assert_empty(bad, "merge")
 
 
 def test_ambiguous_and_phrase_forms_have_no_count(spark):
@@ -93,3 +99,30 @@ def test_manifest_and_fingerprint(spark, tmp_path):
     a, b = (files.fingerprint(d, ["id", "x"]).first() for d in (df, df.repartition(9).orderBy(F.desc("id"))))
     assert a == b and a != files.fingerprint(df.withColumn("x", F.lit(0)), ["id", "x"]).first()
     assert a != files.fingerprint(df.union(df.limit(1)), ["id", "x"]).first()
+
+
+def test_fingerprints_keep_fields_apart(spark):
+    a = spark.createDataFrame([("a\x1fb", "c"), (None, "x")], "p string, q string")
+    b = spark.createDataFrame([("a", "b\x1fc"), ("", "x")], "p string, q string")
+    marks = [tuple(files.fingerprint(d, ["p", "q"]).first()) for d in (a, b, a.limit(1), b.limit(1))]
+    assert len(set(marks)) == 4
+    assert tuple(files.fingerprint(a.limit(0), ["p", "q"]).first()) == (0, "0", "0", "0", "0")
+
+
+def test_manifest_has_whole_odd_paths(spark, tmp_path):
+    deep = tmp_path / "with blank & 100%"
+    for _ in range(5):
+        deep = deep / ("d" * 200)
+    deep.mkdir(parents=True)
+    (deep / "x=1 é.txt").write_text("deep")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        assert [r.path for r in files.manifest(spark, root).collect()] == [str((deep / "x=1 é.txt").relative_to(tmp_path))]
+
+
+def test_provenance_of_files_and_folders(spark, tmp_path):
+    df = spark.range(50).select("id", F.col("id").cast("string").alias("s"))
+    df.repartition(4).write.parquet(str(tmp_path / "many.parquet"))
+    df.limit(7).coalesce(1).write.parquet(str(tmp_path / "parts"))
+    next((tmp_path / "parts").glob("part-*")).rename(tmp_path / "one.parquet")
+    rows = {r.table: r for r in files.provenance(spark, str(tmp_path), {"many": ["id", "s"], "one": ["id", "s"]}, {"k": "v"}).collect()}
+    assert rows["many"].n == 50 and rows["one"].n == 7 and rows["one"].files == 1 and rows["many"].files >= 4 and rows["many"].bytes > 0

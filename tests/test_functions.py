@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wordframe.functions import basis, layers, numeric, statistics, text, vectors
 from wordframe.operators import ngram, spans, states
-from wordframe.plans import compare, correlation, nested
+from wordframe.plans import compare, correlation, selection
 
 
 def one(spark, **columns):
@@ -23,12 +23,20 @@ def stack(rows):
 
 
 def test_distances_and_curvature(spark):
-    r = one(spark, c=vectors.cosine_distance(doubles([3, 4]), doubles([0, 5])), d=vectors.relative_distance(doubles([3, 4]), doubles([0, 5])))
-    assert (r.c, r.d) == (pytest.approx(0.2), pytest.approx(math.sqrt(10) / 5))
-    straight = [[1 + i, 2] for i in range(7)]
-    turning = straight[:3] + [[3, 3], [3, 4], [2, 4], [1, 4]]
-    a, b = (one(spark, **vectors.curvature(stack(s))) for s in (straight, turning))
-    assert a.turn_mean == pytest.approx(0, abs=1e-12) and b.turn_mean > 0.1 and a.still_share == 0
+    rng = np.random.default_rng(12)
+    for _ in range(3):
+        a, b = rng.normal(size=(2, 6))
+        r = one(spark, c=vectors.cosine_distance(doubles(a), doubles(b)), d=vectors.relative_distance(doubles(a), doubles(b)))
+        assert r.c == pytest.approx(1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b))
+        assert min(abs(r.d - np.linalg.norm(a - b) / np.linalg.norm(v)) for v in (a, b)) < 1e-9
+    direction = rng.normal(size=4)
+    line = [list(2.0 + direction * t) for t in np.linspace(0, 5, 7)]
+    walk = np.cumsum(rng.normal(size=(7, 4)), axis=0).tolist()
+    still, bent = (one(spark, **vectors.curvature(stack(s))) for s in (line, walk))
+    assert still.turn_mean == pytest.approx(0, abs=1e-6) and still.still_share == 0
+    steps = np.diff(np.array(walk), axis=0)
+    cosine = [(u @ v) / np.linalg.norm(u) / np.linalg.norm(v) for u, v in zip(steps, steps[1:])]
+    assert bent.turn_mean == pytest.approx(np.mean(1 - np.array(cosine))) or bent.turn_mean == pytest.approx(np.mean(np.arccos(cosine)))
 
 
 def test_profiles_match_numpy(spark):
@@ -83,7 +91,7 @@ def test_numbers_and_cells(spark):
     assert [r.w for r in cells.select(text.canonical_cell(F.col("c"), F.col("k")).alias("w")).collect()] == ["8", "8.5", "TRUE", "Hello,"]
     status = spark.createDataFrame([(".",), ("",), (None,), ("0",), ("-3",), ("inf",), ("80",)], "c string")
     assert [r.s for r in status.select(text.duration_status(F.col("c")).alias("s")).collect()] == ["missing"] * 3 + ["invalid"] * 3 + ["valid"]
-    assert one(spark, f=text.strip_outer(F.lit("“long-bearded!”…"))).f == "long-bearded"
+    assert one(spark, f=text.strip_outer(F.lit("(‘up-to-date?’)"))).f == "up-to-date"
     same = numeric.same
     r = one(spark, a=same(F.lit("nan"), F.lit("NaN")), b=same(F.lit("1"), F.lit("1.00000000000001")), c=same(F.lit("x"), F.lit("y")),
             d=same(F.lit(None).cast("string"), F.lit("")), e=same(F.lit("1"), F.lit("1.1")))
@@ -122,7 +130,7 @@ def test_overlap_join_equals_all_pairs(spark):
 
 
 def test_ownership_with_blanks_and_ambiguity(spark):
-    words = ["The ", " long-bearded", 'pouf!" ...he', "cat."]
+    words = ["One ", " re-read", '(sic)  ,so', "it."]
     regions = spark.createDataFrame([(1, i + 1, w) for i, w in enumerate(words)], "item bigint, zone bigint, word string")
     placed = spans.region_spans(regions)
     cut = spans.pieces(placed)
@@ -152,10 +160,15 @@ def test_bigram_shape_equals_the_whole_distribution(spark):
                                    [-np.log2(t), -(p * np.log2(p)).sum(), np.log1p(1 + (p > t).sum()), top[:10].sum(), top[0] - top[1], (p * p).sum()])
 
 
-def test_benjamini_hochberg_known_values(spark):
-    df = spark.createDataFrame([(0, i, p) for i, p in enumerate([.01, .04, .03, .8])], "f int, i int, p double")
-    out = [r.q_value for r in correlation.adjust(df, ["f"], "p", "i").orderBy("i").collect()]
-    np.testing.assert_allclose(out, [.04, .053333333333, .053333333333, .8])
+def test_benjamini_hochberg_by_definition(spark):
+    p = np.random.default_rng(21).uniform(size=40).round(2)
+    df = spark.createDataFrame([(i % 2, i, float(v)) for i, v in enumerate(p)], "f int, i int, p double").repartition(3)
+    got = {r.i: r.q_value for r in correlation.adjust(df, ["f"], "p", "i").collect()}
+    for f in (0, 1):
+        mine = p[f::2]
+        for i, v in zip(range(f, 40, 2), mine):
+            want = min(min(1.0, w * len(mine) / (mine <= w).sum()) for w in mine if w >= v)
+            assert got[i] == pytest.approx(want)
 
 
 def test_student_tail():
@@ -178,13 +191,19 @@ def test_spline_basis_column_and_batch_agree(spark):
     np.testing.assert_allclose(batch[x >= 6], np.repeat(basis.spline_batch(np.array([6.0]), knots), (x >= 6).sum(), 0))
 
 
-def test_selection_rule_and_layout():
-    losses = {"baseline": np.full(5, 10.0), "layer_early": np.full(5, 9.0), "layer_combination": np.full(5, 8.0),
-              "curvature": np.array([5.0, 12, 12, 12, 5])}
-    accepted, best = nested.qualify(losses, ["layer_early", "layer_combination", "curvature"], "baseline")
-    assert best == "layer_combination" and nested.without_duplicate_layers(accepted) == ["layer_combination"]
-    order, n, spline = nested.design_layout(["a", "b"], ["a", "b", "t1", "t2", "t3"], ["e1", "e2", "e3", "e4"], True)
-    assert order == ["a", "b", "e1", "e2", "e3", "e4", "t1", "t2", "t3"] and n == 6 and spline
+def test_selection_rule_by_loops(spark):
+    rng = np.random.default_rng(31)
+    names = ["base", "p", "q", "r", "s"]
+    loss = {(v, o): rng.normal(10 - 0.5 * names.index(v), 1.0, 5).round(3) for v in names for o in range(6)}
+    errors = spark.createDataFrame([(v, o, i, float(x)) for (v, o), xs in loss.items() for i, x in enumerate(xs)], selection.INNER_SCHEMA)
+    got = selection.choices(errors, "base", names[1:], list(range(6)))
+    for o in range(6):
+        base = loss["base", o]
+        want = [v for v in names[1:] if loss[v, o].sum() < base.sum() and (loss[v, o] < base).sum() >= selection.LEAST_WINS]
+        assert got[o].accepted == want
+        assert got[o].best == (min(want, key=lambda v: loss[v, o].sum()) if want else None)
+    assert selection.superseded(["one", "all", "other"], {"all": ["one", "two"]}) == ["all", "other"]
+    assert selection.superseded(["one", "other"], {"all": ["one", "two"]}) == ["one", "other"]
 
 
 def test_concentration_counts_ties_in_proportion(spark):
@@ -194,3 +213,25 @@ def test_concentration_counts_ties_in_proportion(spark):
     df = spark.createDataFrame([(float(a), float(b), float(c)) for a, b, c in zip(y, base, better)], "y double, b double, p double")
     r = compare.concentration(df, "y", "b", {"p": "p", "same": "b"}).orderBy("variant").collect()
     assert r[0].net_gain == pytest.approx(18) and r[0].top_share == pytest.approx(0.5) and r[1].top_share is None
+
+
+def test_residual_profile_with_missing_predictions(spark):
+    df = spark.createDataFrame([(1.0, 0.5), (2.0, None), (3.0, 3.5), (4.0, 3.0)], "y double, p double")
+    r = compare.residual_profile(df, "y", "p").first()
+    assert (r.n, r.undefined, r.minimum, r.maximum, r["median"]) == (3, 1, -0.5, 1.0, 0.5)
+    r = compare.residual_profile(df.filter("p is null"), "y", "p").first()
+    assert (r.n, r.undefined, r["median"]) == (0, 1, None)
+
+
+def test_ranks_refuse_nan_by_name(spark):
+    from wordframe.operators.ranking import exact_quantiles
+    df = spark.createDataFrame([(1.0,), (float("nan"),)], "v double")
+    with pytest.raises(ValueError, match="NaN"):
+        exact_quantiles(df, [], "v", [0.5])
+
+
+def test_pair_counts_leave_out_missing_values(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (2.0, None), (3.0, 1.0), (4.0, 5.0)], "a double, b double")
+    for method in ("pearson", "spearman"):
+        (row,) = correlation.pair_correlations(df, [("a", "b")], method)
+        assert row[3] == 3

@@ -4,7 +4,7 @@ import pytest
 
 from wordframe.functions.basis import KNOT_PROBS, spline_batch
 from wordframe.operators.ranking import assign_inner_folds
-from wordframe.plans import linear, nested, representation
+from wordframe.plans import linear, nested, representation, selection
 
 N, OUTER = 120, [0, 1, 2, 3]
 
@@ -136,18 +136,33 @@ def test_nested_splines_equal_the_loop_and_do_not_leak(spark):
 def test_family_selection_never_reads_outer_targets(spark):
     x, y, folds = data(42)
     df, _ = prepared(spark, x, y, folds)
-    run = lambda d: nested.family_evaluation(nested.plain_problem(d, NAMES, "y", OUTER), NAMES[:2], NAMES[:3],
-                                             {"one": NAMES[3:4], "two": NAMES[4:]}, [.01, 10])
-    tuned, models, selection = run(df)
+    fams = {"one": NAMES[3:4], "two": NAMES[4:]}
+
+    def run(d):
+        problem = nested.plain_problem(d, NAMES, "y", OUTER)
+        tuned, models = nested.nested_ridge(problem, {"core": NAMES[:2], "strong": NAMES[:3], **{f: [*NAMES[:3], *cs] for f, cs in fams.items()}}, [.01, 10])
+        chosen = selection.choices(selection.inner_errors(spark, tuned), "strong", list(fams), OUTER)
+        selection.composed(problem, models, tuned, {"combined": {o: (selection.added(NAMES[:3], c.accepted, fams), "strong") for o, c in chosen.items()}}, [.01, 10])
+        return tuned, models, chosen, nested.fit_audit(problem, {"strong": tuned["strong"]}, [.01, 10])
+    tuned, models, chosen, audit = run(df)
     y2, x2 = y.copy(), x.copy()
     y2[folds == 0] += 1000
     x2[folds == 0] += 1000
     df2, _ = prepared(spark, x2, y2, folds)
-    tuned2, models2, selection2 = run(df2)
-    assert selection[0] == selection2[0]
+    tuned2, models2, chosen2, audit2 = run(df2)
+    assert chosen[0] == chosen2[0]
     for v in ("core", "strong", "one", "two"):
         np.testing.assert_allclose(tuned[v][0]["loss"], tuned2[v][0]["loss"], rtol=1e-6)
     assert all(set(by) == set(OUTER) for by in models.values())
+    for r, r2 in zip(audit, audit2):
+        assert r[:4] == r2[:4]
+        if r[1] == 0:                                       # what the fits of fold 0 saw does not move with its held-out rows
+            np.testing.assert_allclose(r[4], r2[4], rtol=1e-6)
+            np.testing.assert_allclose(r[5], r2[5], rtol=1e-5)
+    train = x[folds != 0][:, :3]
+    whole = next(r for r in audit if r[1] == 0 and r[2] == -1)
+    np.testing.assert_allclose(whole[4], train.mean(0))
+    np.testing.assert_allclose(whole[5], train.std(0))
 
 
 def hidden(seed=3, depths=3, width=5):
@@ -194,14 +209,15 @@ def test_representation_evaluation_covers_every_row_and_ignores_outer_targets(sp
         df, _ = prepared(spark, np.c_[x, h], target, folds, names)
         prob = representation.problem(df, NAMES[:2], NAMES[2:4], {"curvature": NAMES[4:]}, layers, "y", OUTER, 2, True)
         fams = representation.family_columns({"curvature": NAMES[4:]}, 3, 2)
-        tuned, models, selection = representation.evaluate(prob, NAMES[:2], NAMES[2:4], fams, True, [.1, 10.])
+        tuned, models = representation.tuned_variants(prob, NAMES[:2], NAMES[2:4], fams, True, [.1, 10.])
+        combined = representation.selected(prob, selection.inner_errors(spark, tuned), tuned, models, NAMES[:2], fams, [.1, 10.])
         rows = {r.zone: r for r in nested.predict(df, prob, models).collect()}
-        return tuned, selection, rows
-    tuned, selection, rows = run(y)
+        return tuned, combined, rows
+    tuned, combined, rows = run(y)
     y2 = y.copy()
     y2[folds == 0] += 1000
-    _, selection2, rows2 = run(y2)
-    assert selection[0] == selection2[0] and len(rows) == N
+    _, combined2, rows2 = run(y2)
+    assert combined[0] == combined2[0] and len(rows) == N
     predictions = [c for c in rows[0].asDict() if c.endswith("_prediction")]
     assert len(predictions) == 10 and all(np.isfinite(rows[i][c]) for i in range(N) for c in predictions)
     for i in np.flatnonzero(folds == 0):

@@ -103,11 +103,11 @@ def m04(spark, sf_dir):
 _R = "(y - full_prediction)"
 
 
-@query("a11_residual_profile", f"""SELECT count(*) AS n, {q(f'avg({_R})')} AS mean, {q(f'stddev_samp({_R})')} AS sd, {q(f'min({_R})')} AS minimum, {q(f'max({_R})')} AS maximum,
+@query("a11_residual_profile", f"""SELECT count({_R}) AS n, count(*) - count({_R}) AS undefined, {q(f'avg({_R})')} AS mean, {q(f'stddev_samp({_R})')} AS sd, {q(f'min({_R})')} AS minimum, {q(f'max({_R})')} AS maximum,
     {q('corr(y, full_prediction)', 6)} AS correlation, {q(f'quantile_cont({_R}, 0.5)')} AS median, {q(f'quantile_cont({_R}, 0.05)')} AS p05, {q(f'quantile_cont({_R}, 0.95)')} AS p95 FROM heldout""")
 def a11(spark, sf_dir):
     p = compare.residual_profile(both_predictions(spark, sf_dir), "mean_rt", "full_prediction")
-    return p.select("n", *[snap(F.col(c), 6 if c == "correlation" else 4).alias(c) for c in p.columns if c != "n"])
+    return p.select("n", "undefined", *[snap(F.col(c), 6 if c == "correlation" else 4).alias(c) for c in p.columns if c not in ("n", "undefined")])
 
 
 _STAB = "sqrt(avg((y - controls_prediction) ** 2)) AS b, sqrt(avg((y - full_prediction) ** 2)) AS a, count(*) AS n FROM heldout GROUP BY"

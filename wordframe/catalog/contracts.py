@@ -205,17 +205,21 @@ def both_predictions(spark, sf_dir):
         reading.sample(spark, sf_dir), {"controls": ["word_length"], "full": ["word_length", "log_frequency"]}, "mean_rt")[0])
 
 
-@query("v17_recomputed_metrics", "SELECT variant, true AS rmse_matches, true AS r2_matches FROM (VALUES ('controls'), ('full')) t(variant)")
+@query("v17_recomputed_metrics", " UNION ALL ".join(f"""SELECT '{v}' AS variant, {q(f"sqrt(avg((y - {v}_prediction) ** 2))", 3)} AS saved_rmse,
+    {q(f"1 - sum((y - {v}_prediction) ** 2) / (count(*) * var_pop(y))", 5)} AS saved_r2, true AS rmse_matches, true AS r2_matches FROM heldout""" for v in ("controls", "full")))
 def v17(spark, sf_dir):
-    """The saved summary goes through text; metrics recomputed from saved predictions must agree with it."""
-    predictions = both_predictions(spark, sf_dir)
+    """The saved summary goes through text; metrics recomputed from the saved predictions must agree with it."""
     names = {"controls": "controls_prediction", "full": "full_prediction"}
-    path = fresh(spark, "summary")
-    files.write_tsv(linear.metric_table(predictions, "mean_rt", names), path)
-    saved = files.read_tsv(spark, path, "variant string, n string, saved_rmse string, saved_r2 string")
-    again = linear.metric_table(predictions, "mean_rt", names)
+    summary, rows = fresh(spark, "summary"), fresh(spark, "predictions")
+    predictions = both_predictions(spark, sf_dir).select(*KEYS, "mean_rt", *names.values())
+    files.write_tsv(predictions, rows)
+    files.write_tsv(linear.metric_table(predictions, "mean_rt", names), summary)
+    saved = files.read_tsv(spark, summary, "variant string, n string, saved_rmse string, saved_r2 string")
+    back = files.read_tsv(spark, rows, "item bigint, zone bigint, mean_rt double, controls_prediction double, full_prediction double")
+    again = linear.metric_table(back, "mean_rt", names)
     return again.join(saved.drop("n"), "variant").select(
-        "variant", same(F.col("rmse").cast("string"), F.col("saved_rmse"), 1e-9, 1e-9).alias("rmse_matches"),
+        "variant", snap(F.col("saved_rmse").cast("double"), 3).alias("saved_rmse"), snap(F.col("saved_r2").cast("double"), 5).alias("saved_r2"),
+        same(F.col("rmse").cast("string"), F.col("saved_rmse"), 1e-9, 1e-9).alias("rmse_matches"),
         same(F.col("r2").cast("string"), F.col("saved_r2"), 1e-9, 1e-9).alias("r2_matches"))
 
 
@@ -250,16 +254,26 @@ def v20(spark, sf_dir):
         *KEYS, "word", F.coalesce("eligible", F.lit(False)).alias("eligible"))
 
 
-@query("v21_sidecar_agreement")
+@query("v21_sidecar_agreement", """SELECT "check", ok FROM (SELECT count(*) AS n, count(*) FILTER (WHERE word <> upper(word)) AS changed FROM part_regions),
+    (VALUES ('rows'), ('smoke'), ('revision'), ('content')) t("check"), LATERAL (SELECT CASE "check" WHEN 'rows' THEN n = (SELECT count(*) FROM part)
+    WHEN 'content' THEN changed = 0 WHEN 'revision' THEN false ELSE true END AS ok)""")
 def v21(spark, sf_dir):
-    """A table against its provenance record: count, smoke flag, revision and content fingerprint."""
-    table = tables.part_regions(spark, sf_dir)
-    record = files.fingerprint(table, ["item", "zone", "word"]).select(
-        F.col("n").alias("rows"), "h1", F.lit(False).alias("smoke"), F.lit("r1").alias("revision"))
-    now = files.fingerprint(table.withColumn("word", F.upper("word")), ["item", "zone", "word"]).select(F.col("n"), F.col("h1").alias("now_h1"))
+    """A table against the record stored when it was saved: rows, smoke flag, revision, content.
+
+    Between the two the words were changed and the revision moved on, so exactly these two checks must fail.
+    """
+    saved = tables.part_regions(spark, sf_dir)
+    path = fresh(spark, "record")
+    files.write_json(files.fingerprint(saved, [*KEYS, "word"]).withColumns({"smoke": F.lit(False), "revision": F.lit("r1")}), path)
+    record = spark.read.schema("n bigint, h1 string, h2 string, h3 string, h4 string, smoke boolean, revision string").json(path)
+    now = files.fingerprint(saved.withColumn("word", F.upper("word")), [*KEYS, "word"]).select(
+        F.col("n").alias("now_n"), *[F.col(f"h{i}").alias(f"now_h{i}") for i in range(1, 5)], F.lit("r2").alias("now_revision"))
+    content = F.lit(True)
+    for i in range(1, 5):
+        content = content & (F.col(f"h{i}") == F.col(f"now_h{i}"))
     checks = F.array(*[F.struct(F.lit(n).alias("check"), ok.alias("ok")) for n, ok in {
-        "rows": F.col("n") == F.col("rows"), "smoke": ~F.col("smoke"), "revision": F.col("revision") == "r1",
-        "content": F.col("h1") == F.col("now_h1")}.items()])
+        "rows": F.col("n") == F.col("now_n"), "smoke": ~F.col("smoke"), "revision": F.col("revision") == F.col("now_revision"),
+        "content": content}.items()])
     # One-row records meet on a constant key.
     return record.withColumn("k", F.lit(1)).join(now.withColumn("k", F.lit(1)), "k").select(F.inline(checks))
 
@@ -282,7 +296,8 @@ def v22(spark, sf_dir):
 
 @query("j01_merge_exact", f"SELECT a.item, a.zone, a.word, {q('s.surprisal')} AS surprisal, s.n_bpe FROM analysis a JOIN scores s USING (item, zone)")
 def j01(spark, sf_dir):
-    merged, _ = joins.merge_exact(shared_analysis(spark, sf_dir), reading.scores(spark, sf_dir), ["surprisal", "n_bpe"])
+    merged, bad = joins.merge_exact(shared_analysis(spark, sf_dir), reading.scores(spark, sf_dir), ["surprisal", "n_bpe"])
+    c.assert_empty(bad, "regions and scores differ")
     return merged.select(*KEYS, "word", snap(F.col("surprisal")).alias("surprisal"), "n_bpe")
 
 
@@ -379,7 +394,8 @@ def j08(spark, sf_dir):
 @query("j09_stacked_scores", f"""SELECT a.item, a.zone, {q('s.surprisal')} AS surprisal, {q('s.prev_surprisal')} AS prev_surprisal, {q('s.prev_entropy_bits')} AS prev_entropy_bits,
     {q('list_sum(p.c)')} AS total_cosine, {q('a.mean_rt')} AS observed_rt FROM analysis a JOIN lagged_scores s USING (item, zone) JOIN step_profile p USING (item, zone)""")
 def j09(spark, sf_dir):
-    rows, _ = joins.merge_exact(shared_analysis(spark, sf_dir), reading.scores(spark, sf_dir), ["surprisal", "entropy_bits", "n_bpe"])
+    rows, bad = joins.merge_exact(shared_analysis(spark, sf_dir), reading.scores(spark, sf_dir), ["surprisal", "entropy_bits", "n_bpe"])
+    c.assert_empty(bad, "regions and scores differ")
     rows = ordered.lag_by_key(rows, ["surprisal", "n_bpe", "entropy_bits"])
     rows = rows.join(reading.trajectory_table(spark, sf_dir).select(*KEYS, "total_cosine"), KEYS)
     rows = joins.choose_outcome(rows, {"gaze": "mean_rt"}, "gaze")
@@ -404,5 +420,6 @@ def j14(spark, sf_dir):
 @query("j15_frozen_sample", f"SELECT s.item, s.zone, s.word, s.fold, {q('s.mean_rt')} AS observed_rt, {q('c.surprisal')} AS surprisal, c.n_bpe FROM sample s JOIN scores c USING (item, zone)")
 def j15(spark, sf_dir):
     saved = reading.sample(spark, sf_dir).withColumnRenamed("mean_rt", "observed_rt")
-    out = joins.frozen_sample(saved, reading.scores(spark, sf_dir), ["surprisal", "n_bpe"])
+    out, bad = joins.frozen_sample(saved, reading.scores(spark, sf_dir), ["surprisal", "n_bpe"])
+    c.assert_empty(bad, "saved sample and scores differ")
     return out.select(*KEYS, "word", "fold", snap(F.col("observed_rt")).alias("observed_rt"), snap(F.col("surprisal")).alias("surprisal"), "n_bpe")

@@ -10,7 +10,7 @@ from wordframe.functions.layers import layer_names, third_names
 from wordframe.functions.numeric import snap
 from wordframe.operators import ngram, ranking, spans
 from wordframe.operators.ranking import exact_quantiles
-from wordframe.plans import cases, compare, linear, nested, reading, representation
+from wordframe.plans import cases, compare, linear, nested, reading, representation, selection
 from wordframe.sources import tables
 
 KEYS = ["item", "zone"]
@@ -197,53 +197,47 @@ def p21(spark, sf_dir):
     return flat.filter("alpha IS NOT NULL").select("variant", "fold", "alpha", F.posexplode("inner_sse").alias("inner", "sse"))
 
 
-@query("m18_design_layout")
-def m18(spark, sf_dir):
-    strong = [*cases.CORE, *third_names("cosine")]
-    order, linear_count, spline = nested.design_layout(cases.CORE, strong, cases.FAMILIES["trajectory_shape"], True)
-    layout = spark.createDataFrame([(i, c, i >= linear_count and spline) for i, c in enumerate(order)], "position int, name string, splined boolean")
-    means = cases.case(spark, sf_dir).agg(*[F.avg(c).alias(c) for c in order])
-    long = means.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("mean")) for c in order])))
-    return long.join(F.broadcast(layout), "name")
-
-
 @query("m19_inner_tuning")
 def m19(spark, sf_dir):
+    """Penalty and inner errors of each family, with what every fit saw: rows, means, scales and the whole error grid."""
     problem = plain(spark, sf_dir)
     tuned = {f: {o: nested.tune(problem, o, [*cases.CORE, *cs]) for o in OUTER} for f, cs in cases.FAMILIES.items()}
-    return spark.createDataFrame(nested.audit_rows(tuned), nested.AUDIT_SCHEMA)
+    fits = spark.createDataFrame(nested.fit_audit(problem, tuned), nested.FIT_SCHEMA)
+    return fits.join(spark.createDataFrame(nested.audit_rows(tuned), nested.AUDIT_SCHEMA), ["variant", "fold"])
 
 
-def qualification(sse, reference):
-    """Per fold and family: pooled inner error against the reference, inner wins, and whether it qualifies."""
-    base = sse.filter(F.col("variant") == reference).select("fold", "inner", F.col("loss").alias("base"))
-    table = sse.filter(F.col("variant") != reference).join(base, ["fold", "inner"])
-    return table.groupBy("fold", "variant").agg(
-        F.sum("loss").alias("total"), F.sum("base").alias("reference_total"), F.count_if(F.col("loss") < F.col("base")).alias("wins")).withColumn(
-        "accepted", (F.col("total") < F.col("reference_total")) & (F.col("wins") >= 4))
+def family_losses(spark, sf_dir):
+    """Inner errors of the plain controls and of each family on top of them, per outer and inner fold."""
+    def build():
+        problem = plain(spark, sf_dir)
+        variants = {"controls": cases.CORE, **{f: [*cases.CORE, *cs] for f, cs in cases.FAMILIES.items()}}
+        return selection.inner_errors(spark, {v: {o: nested.tune(problem, o, cs) for o in OUTER} for v, cs in variants.items()})
+    return shared(spark, ("family_losses", sf_dir), build)
 
 
-@query("m20_qualification", f"""SELECT fold, variant, {q('sum(loss)', 0)} AS total, count(*) FILTER (WHERE loss < base) AS wins, sum(loss) < sum(base) AND count(*) FILTER (WHERE loss < base) >= 4 AS accepted
-    FROM (SELECT fold, zone % 5 AS inner_fold, 'full' AS variant, sum((y - full_prediction) ** 2) AS loss, sum((y - controls_prediction) ** 2) AS base FROM heldout GROUP BY ALL) GROUP BY fold, variant""")
+@query("m20_qualification")
 def m20(spark, sf_dir):
-    rows = both_predictions(spark, sf_dir)
-    error = lambda p: (F.col("mean_rt") - F.col(p)) * (F.col("mean_rt") - F.col(p))
-    sse = rows.groupBy("fold", (F.col("zone") % 5).alias("inner")).agg(F.array(*[
-        F.struct(F.lit(v).alias("variant"), F.sum(error(f"{v}_prediction")).alias("loss")) for v in ("controls", "full")]).alias("c")).select(
-        "fold", "inner", F.inline("c"))
-    t = qualification(sse, "controls")
-    return t.select("fold", "variant", snap(F.col("total"), 0).alias("total"), "wins", "accepted")
+    """The rule on real inner errors; a test states it again by loops."""
+    return selection.qualification(family_losses(spark, sf_dir), "controls")
 
 
 STRONG = [*cases.CORE, *[n for c in third_names("cosine") for n in nested.spline_names(c)]]
 
 
 def families(spark, sf_dir):
+    """Core, strong, each family on strong, and the variants that inner errors choose per outer fold."""
     def build():
         problem = splined(spark, sf_dir)
-        tuned, models, selection = nested.family_evaluation(problem, cases.CORE, STRONG, cases.FAMILIES)
+        variants = {"core": cases.CORE, "strong": STRONG, **{f: [*STRONG, *cs] for f, cs in cases.FAMILIES.items()}}
+        tuned, models = nested.nested_ridge(problem, variants)
+        chosen = selection.choices(selection.inner_errors(spark, tuned), "strong", list(cases.FAMILIES), OUTER)
+        on = lambda base, pick: {o: selection.added(base, pick(c), cases.FAMILIES) for o, c in chosen.items()}
+        plan = {"best_new": (on(cases.CORE, lambda c: [c.best] if c.best else []), "core"),
+                "combined_new": (on(cases.CORE, lambda c: c.accepted), "core"),
+                "trajectory_combined": (on(STRONG, lambda c: c.accepted), "strong")}
+        selection.composed(problem, models, tuned, {v: {o: (cs, stand_in) for o, cs in by.items()} for v, (by, stand_in) in plan.items()})
         predicted = shared(spark, ("family_predictions", sf_dir), lambda: nested.predict(cases.case(spark, sf_dir), problem, models))
-        return tuned, models, selection, predicted
+        return tuned, models, {o: c.accepted for o, c in chosen.items()}, predicted
     return remember(spark, ("families", sf_dir), build)
 
 
@@ -290,24 +284,26 @@ def representation_run(spark, sf_dir):
         nuisance = [c for c in cases.NUISANCE if c not in baseline]
         prob = representation.problem(rows, [*baseline, *nuisance], trajectory, cases.REPRESENTATION, cases.LAYERS, "y", OUTER, cases.COUNT, True)
         fams = representation.family_columns(cases.REPRESENTATION, len(cases.DEPTHS), cases.COUNT)
-        tuned, models, selection = representation.evaluate(prob, baseline, trajectory, fams, True)
-        fixed_tuned, fixed = representation.fixed_evaluation(prob, [*baseline, *nuisance], trajectory, fams, {o: c for o, _, _, c in selection}, True)
+        tuned, models = representation.tuned_variants(prob, baseline, trajectory, fams, True)
+        errors = selection.inner_errors(spark, tuned)
+        combined = representation.selected(prob, errors, tuned, models, baseline, fams)
+        _, fixed = representation.with_given_families(prob, [*baseline, *nuisance], trajectory, fams, combined, True)
         both = {**models, **{f"fixed_{v}": m for v, m in fixed.items()}}
         predicted = shared(spark, ("representation_predictions", sf_dir), lambda: nested.predict(
             rows.select(*KEYS, "word", "fold", "y", *prob.raw), prob, both).drop(*prob.raw))
-        return tuned, list(models), [f"fixed_{v}" for v in fixed], selection, predicted
+        return tuned, list(models), [f"fixed_{v}" for v in fixed], errors, predicted
     return remember(spark, ("representation", sf_dir), build)
 
 
 def representation_report(spark, sf_dir, fixed):
-    _, names, fixed_names, selection, predicted = representation_run(spark, sf_dir)
+    _, names, fixed_names, errors, predicted = representation_run(spark, sf_dir)
     variants = fixed_names if fixed else names
     baseline = "fixed_baseline_prediction" if fixed else "baseline_prediction"
     report = compare.full_report(predicted, "y", baseline, {v: f"{v}_prediction" for v in variants})
     if fixed:
         return report
-    counts = spark.createDataFrame([(v, sum(v in accepted for _, accepted, _, _ in selection)) for v in variants], "variant string, qualified_folds int")
-    return report.join(F.broadcast(counts), "variant")
+    counts = selection.qualification(errors, "baseline").groupBy("variant").agg(F.count_if("accepted").cast("int").alias("qualified_folds"))
+    return report.join(counts, "variant", "left").fillna(0, ["qualified_folds"])
 
 
 @query("m24_representation_evaluation")
@@ -323,10 +319,10 @@ def m25(spark, sf_dir):
 def lag2_predictions(spark, sf_dir):
     def build():
         problem = splined(spark, sf_dir)
-        _, _, selection, _ = families(spark, sf_dir)
+        _, _, accepted, _ = families(spark, sf_dir)
         lexical = [*STRONG, *cases.LAG2_LEXICAL]
         variants = {"lag2_baseline": {o: lexical for o in OUTER}, "lag2_spillover": {o: [*lexical, *cases.LAG2_SCORES] for o in OUTER},
-                    "lag2_combined": {o: [*lexical, *[c for f in accepted for c in cases.FAMILIES[f]]] for o, accepted, _ in selection}}
+                    "lag2_combined": {o: [*lexical, *[c for f in fs for c in cases.FAMILIES[f]]] for o, fs in accepted.items()}}
         models = {v: {o: nested.refit(problem, o, cs, nested.tune(problem, o, cs)["alpha"]) for o, cs in by.items()} for v, by in variants.items()}
         return nested.predict(cases.case(spark, sf_dir), problem, models)
     return shared(spark, ("lag2_predictions", sf_dir), build)
@@ -351,14 +347,20 @@ def m27(spark, sf_dir):
     return out
 
 
-@query("m28_history_matrix", f"""SELECT a.item, a.zone, length(a.word)::DOUBLE AS word_length, length(c.word)::DOUBLE AS lag2_word_length, c.n_bpe::DOUBLE AS lag2_n_bpe,
-    {q("CASE WHEN isnan(c.surprisal) THEN 0 ELSE c.surprisal END")} AS lag2_surprisal, (NOT isnan(c.surprisal))::INT::DOUBLE AS lag2_available
-    FROM scores a JOIN scores c ON a.item = c.item AND a.zone = c.zone + 2""")
+_HISTORY = {"lag2_word_length": "length(c.word)", "lag2_log_frequency": "ln(1 + f.frequency_count)", "lag2_n_bpe": "c.n_bpe",
+            "lag2_frequency_available": "(f.frequency_count IS NOT NULL)::INT", "lag2_surprisal": "CASE WHEN coalesce(isnan(c.surprisal), true) THEN 0 ELSE c.surprisal END",
+            "lag2_entropy_bits": "CASE WHEN coalesce(isnan(c.entropy_bits), true) THEN 0 ELSE c.entropy_bits END",
+            "lag2_available": "(NOT coalesce(isnan(c.surprisal), true))::INT"}
+
+
+@query("m28_history_matrix", "SELECT a.item, a.zone, length(a.word)::DOUBLE AS word_length, " + ", ".join(
+    f"{q(f'coalesce({e}, 0)') if n in ('lag2_log_frequency', 'lag2_surprisal', 'lag2_entropy_bits') else f'({e})::DOUBLE'} AS {n}" for n, e in _HISTORY.items()) + """
+    FROM scores a LEFT JOIN scores c ON a.item = c.item AND a.zone = c.zone + 2 LEFT JOIN analysis f ON f.item = c.item AND f.zone = c.zone""")
 def m28(spark, sf_dir):
-    rows = cases.history(spark, sf_dir).filter("zone > 2")
-    matrix = reading.complete(rows, [*cases.CORE, *cases.HISTORY])
-    return matrix.select(*KEYS, F.col("word_length").cast("double").alias("word_length"), F.col("lag2_word_length").cast("double").alias("lag2_word_length"),
-                         F.col("lag2_n_bpe").cast("double").alias("lag2_n_bpe"), snap(F.col("lag2_surprisal")).alias("lag2_surprisal"), "lag2_available")
+    """History columns of every region, zero with a flag where there is no region two back."""
+    rows = cases.history(spark, sf_dir)
+    return rows.select(*KEYS, F.col("word_length").cast("double").alias("word_length"), *[
+        snap(F.col(c)).alias(c) if c in ("lag2_log_frequency", "lag2_surprisal", "lag2_entropy_bits") else F.col(c).cast("double").alias(c) for c in _HISTORY])
 
 
 # The same held-out regression over every region of the corpus: surprisal on word length and log frequency.

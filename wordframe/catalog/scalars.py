@@ -122,10 +122,10 @@ VIEWS["lagged_scores"] = """SELECT *, lag(surprisal) OVER w AS prev_surprisal, l
     f"{q(e)} AS {n}" for p in ("", "prev_") for n, e in {
         f"{p}s2": f"{p}surprisal * {p}surprisal", f"{p}h2": f"{p}entropy_bits * {p}entropy_bits",
         f"{p}sh": f"{p}surprisal * {p}entropy_bits", f"{p}p": f"pow(2, -{p}surprisal)"}.items()) +
-    " FROM lagged_scores WHERE zone > 2")
+    " FROM lagged_scores")
 def p11(spark, sf_dir):
     columns = {**nonlinear(""), **nonlinear("prev_")}
-    return lagged_scores(spark, sf_dir).filter("zone > 2").select(
+    return lagged_scores(spark, sf_dir).select(
         "item", "zone", *[snap(c).alias(n) for n, c in columns.items()])
 
 

@@ -1,4 +1,5 @@
 """Scans and sinks (S*)."""
+import json
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -86,7 +87,13 @@ def s05(spark, sf_dir):
 @query("s06_sheet_scan", """SELECT pp_nr, word_id, part, trial, position, cell_type, word_skip::INT AS word_skip,
     try_cast(nullif(gaze_cell, '.') AS DOUBLE) AS gaze, try_cast(nullif(total_cell, '.') AS DOUBLE) AS total FROM sheet""")
 def s06(spark, sf_dir):
-    return tables.sheet(spark, sf_dir).select(
+    """The export is written as delimited text and scanned again, with its missing-value cells."""
+    path = fresh(spark, "sheet")
+    names = ["pp_nr", "word_id", "part", "trial", "position", "cell_type", "word_skip", "gaze_cell", "total_cell"]
+    files.write_tsv(tables.sheet(spark, sf_dir).select(*names), path)
+    back = files.read_tsv(spark, path, "pp_nr string, word_id string, part bigint, trial bigint, position bigint, cell_type string, "
+                                       "word_skip int, gaze_cell string, total_cell string")
+    return back.select(
         "pp_nr", "word_id", "part", "trial", "position", "cell_type", "word_skip",
         F.col("gaze_cell").try_cast("double").alias("gaze"), F.col("total_cell").try_cast("double").alias("total"))
 
@@ -118,16 +125,32 @@ def s09(spark, sf_dir):
     return out.select(F.col("run_id").cast("bigint").alias("run_id"), "model", "item", "zone", "word_length")
 
 
-@query("s10_provenance")
-def s10(spark, sf_dir):
-    return files.provenance(spark, sf_dir, ["documents", "lineitem", "part", "events"],
-                            {"lag": "full table before any filter", "folds": "md5 order, saved", "missing": "never zero"})
+_POLICY = {"lag": "full table before any filter", "folds": "md5 order, saved", "missing": "never zero"}
+# Whole-number and text columns of every given table: both engines write these alike.
+_CONTENT = {
+    "region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "customer": ["c_custkey", "c_name", "c_nationkey"], "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+    "part": ["p_partkey", "p_name", "p_type", "p_size"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus"],
+    "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"],
+    "events": ["event_id", "user_id", "event_type"], "documents": ["doc_id", "text", "lang", "source", "n_chars"],
+    "embeddings": ["vec_id", "label"], "pages": ["page_id", "url", "html"], "benchmark": ["item_id", "text"],
+    "labels": ["doc_id", "quality", "toxic"], "conversations": ["conv_id", "turn", "role", "text"]}
+_PARTS = ", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 16 * i}, 16))::UBIGINT), 0)::VARCHAR AS h{i + 1}" for i in range(4))
+
 
+def _row_hash(columns):
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR, '-') || ':' || coalesce({c}::VARCHAR, '')" for c in columns) + ")"
 
-_SLICES = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT)::VARCHAR AS h{i + 1}" for i in range(4))
+
+@query("s10_provenance", " UNION ALL ".join(
+    f"""SELECT '{t}' AS "table", count(*) AS n, {_PARTS}, '{json.dumps(_POLICY, sort_keys=True)}' AS policy, true AS stored
+    FROM (SELECT {_row_hash(c)} AS h FROM {t})""" for t, c in _CONTENT.items()))
+def s10(spark, sf_dir):
+    """Content and policy of every input table; ``stored`` tells that its files were found and are not empty."""
+    record = files.provenance(spark, sf_dir, _CONTENT, _POLICY)
+    return record.withColumn("stored", F.coalesce((F.col("files") > 0) & (F.col("bytes") > 0), F.lit(False))).drop("files", "bytes")
 
 
-@query("s11_fingerprint", f"""SELECT count(*) AS n, {_SLICES}
-    FROM (SELECT sha256(item || chr(31) || zone || chr(31) || word) AS h FROM regions)""")
+@query("s11_fingerprint", f"SELECT count(*) AS n, {_PARTS} FROM (SELECT {_row_hash(['item', 'zone', 'word'])} AS h FROM regions)")
 def s11(spark, sf_dir):
     return files.fingerprint(tables.regions(spark, sf_dir), ["item", "zone", "word"])

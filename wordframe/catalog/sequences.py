@@ -152,15 +152,6 @@ def w07(spark, sf_dir):
     return token_windows(spark, sf_dir).drop("n")
 
 
-@query("r04_window_coverage", "SELECT item, count(*) AS tokens, count(DISTINCT idx) AS targets, 0::BIGINT AS outside FROM tokens GROUP BY item")
-def r04(spark, sf_dir):
-    """Each token is owned by one window, lies inside it, and windows keep their bounded size."""
-    t = token_windows(spark, sf_dir)
-    inside = (F.col("idx") >= F.col("begin")) & (F.col("idx") < F.col("end")) & (F.col("end") - F.col("begin") <= 1024)
-    per_token = t.groupBy("item", "idx").agg(F.count("*").alias("c"), F.count_if(~inside).alias("o"))
-    return per_token.groupBy("item").agg(F.sum("c").alias("tokens"), F.count("*").alias("targets"), F.sum("o").alias("outside"))
-
-
 @query("w08_global_rank", "SELECT event_id, row_number() OVER (ORDER BY value, event_id) AS rank FROM events")
 def w08(spark, sf_dir):
     events = tables.table(spark, sf_dir, "events").select("event_id", "value")
@@ -222,12 +213,12 @@ def t01(spark, sf_dir):
 
 
 @query("t02_extremes", f"""SELECT item, zone, {q('residual')} AS residual, tail FROM (
-    (SELECT item, zone, residual, 'negative' AS tail FROM joined ORDER BY residual LIMIT 20) UNION ALL
-    (SELECT item, zone, residual, 'positive' AS tail FROM joined ORDER BY residual DESC LIMIT 20))""")
+    (SELECT item, zone, residual, 'negative' AS tail FROM joined ORDER BY residual, item, zone LIMIT 20) UNION ALL
+    (SELECT item, zone, residual, 'positive' AS tail FROM joined ORDER BY residual DESC, item, zone LIMIT 20))""")
 def t02(spark, sf_dir):
     rows = joined(spark, sf_dir).select(*KEYS, "residual")
-    low = rows.orderBy("residual").limit(20).withColumn("tail", F.lit("negative"))
-    high = rows.orderBy(F.desc("residual")).limit(20).withColumn("tail", F.lit("positive"))
+    low = rows.orderBy("residual", *KEYS).limit(20).withColumn("tail", F.lit("negative"))
+    high = rows.orderBy(F.desc("residual"), *KEYS).limit(20).withColumn("tail", F.lit("positive"))
     return low.unionByName(high).withColumn("residual", snap(F.col("residual")))
 
 
@@ -269,10 +260,23 @@ def u02(spark, sf_dir):
                       F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("shared"))
 
 
-@query("u03_row_set_equality", "SELECT count(*) = 0 AS equal FROM (SELECT item, zone, word FROM regions EXCEPT ALL SELECT item, zone, word FROM regions)")
+@query("u03_row_set_equality", " UNION ALL ".join(f"""SELECT '{n}' AS other, (SELECT count(*) FROM part_regions) = (SELECT count(*) FROM ({t})) AND (SELECT count(*)
+    FROM (SELECT item, zone, word FROM part_regions EXCEPT ALL {t})) = 0 AS equal""" for n, t in {
+        "by_name": "SELECT p_partkey // 100 + 1, p_partkey % 100 + 1, p_name FROM part ORDER BY p_name",
+        "of_observations": "SELECT DISTINCT item, zone, word FROM obs", "doubled": "SELECT * FROM (SELECT item, zone, word FROM part_regions UNION ALL SELECT item, zone, word FROM part_regions)",
+        "other_words": "SELECT p_partkey // 100 + 1, p_partkey % 100 + 1, p_type FROM part"}.items()))
 def u03(spark, sf_dir):
-    """Two tables with equal fingerprints hold the same rows; no row is moved to find out."""
+    """Tables with equal fingerprints hold the same rows; no row is moved to find out."""
     from wordframe.sources import files
-    a = files.fingerprint(tables.regions(spark, sf_dir), [*KEYS, "word"])
-    b = files.fingerprint(tables.shared_regions(spark, sf_dir), [*KEYS, "word"])
-    return a.exceptAll(b).agg((F.count("*") == 0).alias("equal"))
+    here = tables.part_regions(spark, sf_dir)
+    part = tables.table(spark, sf_dir, "part")
+    others = {"by_name": here.repartition("word").sortWithinPartitions("word"),
+              "of_observations": tables.observations(spark, sf_dir).select(*KEYS, "word").distinct(), "doubled": here.unionByName(here),
+              "other_words": part.select(*tables.part_key("p_partkey"), F.col("p_type").alias("word"))}
+    mark = files.fingerprint(here, [*KEYS, "word"])
+    out = None
+    for name, table in others.items():
+        there = files.fingerprint(table, [*KEYS, "word"]).withColumn("other", F.lit(name))
+        out = there if out is None else out.unionByName(there)
+    return out.join(F.broadcast(mark.withColumn("equal", F.lit(True))), ["n", "h1", "h2", "h3", "h4"], "left").select(
+        "other", F.coalesce("equal", F.lit(False)).alias("equal"))

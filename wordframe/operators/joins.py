@@ -7,11 +7,19 @@ KEYS = ["item", "zone"]
 
 
 def merge_exact(rows: DataFrame, features: DataFrame, columns: list[str], keys=KEYS, word: str = "word"):
-    """Left-attach ``columns``; returns the merged rows and the misaligned ones (no feature row, or other word)."""
-    side = features.select(*keys, F.col(word).alias("_word"), *columns)
+    """Left-attach ``columns``; returns the merged rows and the violations.
+
+    A row is merged if its key has one feature row with the same word. Other rows are violations, each once, with the
+    word found and a reason: ``missing``, ``duplicate`` (the key has several feature rows) or ``other_word``.
+    Callers that allow none pass the second table to ``contracts.assert_empty``.
+    """
+    side = features.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(word).alias("_word"), *[F.first(c).alias(c) for c in columns])
     joined = rows.drop(*columns).join(side, list(keys), "left")
-    aligned = F.col("_word").eqNullSafe(F.col(word))
-    return joined.filter(aligned).drop("_word"), joined.filter(~aligned).select(*keys, word, F.col("_word").alias("found"))
+    reason = (F.when(F.col("_n").isNull(), "missing").when(F.col("_n") > 1, "duplicate")
+              .when(~F.col("_word").eqNullSafe(F.col(word)), "other_word"))
+    marked = joined.withColumn("reason", reason)
+    return (marked.filter("reason IS NULL").drop("_n", "_word", "reason"),
+            marked.filter("reason IS NOT NULL").select(*keys, word, F.col("_word").alias("found"), "reason"))
 
 
 def lexical_by_code(regions: DataFrame, codes: DataFrame) -> DataFrame:
@@ -67,8 +75,9 @@ def choose_outcome(df: DataFrame, outcomes: dict[str, str], name: str) -> DataFr
     return df.withColumn("observed_rt", F.col(outcomes[name]))
 
 
-def frozen_sample(sample: DataFrame, full: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of a saved sample with features of the full table; outcome and fold come from the sample."""
-    side = full.select(*KEYS, F.col("word").alias("_word"), *columns)
-    joined = sample.select(*KEYS, "word", "fold", "observed_rt").join(side, KEYS, "left")
-    return joined.filter(F.col("_word") == F.col("word")).drop("_word")
+def frozen_sample(sample: DataFrame, full: DataFrame, columns: list[str]):
+    """Rows of a saved sample with features of the full table, and the violations of the exact merge.
+
+    Outcome and fold come from the sample.
+    """
+    return merge_exact(sample.select(*KEYS, "word", "fold", "observed_rt"), full, columns)

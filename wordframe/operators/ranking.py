@@ -137,10 +137,12 @@ def assign_inner_folds(df: DataFrame, keys: list[str], outer: list[int], folds:
 
 
 def splits_for(df: DataFrame, value: str, buckets: int = 256) -> list[float]:
-    """Bucket edges for counting: approximate quantiles, so edges fall where the rows are."""
+    """Bucket edges for counting: approximate quantiles, so edges fall where the rows are. NaN has no rank and is an error."""
     probs = [i / buckets for i in range(1, buckets)]
     row = df.filter(F.col(value).isNotNull()).agg(
-        F.percentile_approx(value, probs, 20 * buckets).alias("q")).first()
+        F.percentile_approx(value, probs, 20 * buckets).alias("q"), F.count_if(F.isnan(value)).alias("nan")).first()
+    if row["nan"]:
+        raise ValueError(f"{row['nan']} values of {value} are NaN: filter them or make them null before ranking")
     edges = sorted(set(row["q"] or []))
     return [float("-inf"), *edges, float("inf")]
 

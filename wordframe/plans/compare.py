@@ -60,13 +60,17 @@ def full_report(df: DataFrame, y: str, baseline: str, variants: dict[str, str])
 
 
 def residual_profile(df: DataFrame, y: str, prediction: str) -> DataFrame:
-    """Mean, sample sd, extremes, quantiles and observed-predicted correlation of the residuals."""
+    """Mean, sample sd, extremes, quantiles and observed-predicted correlation of the residuals.
+
+    ``n`` counts the rows with a residual and ``undefined`` those without one; without any the statistics are null.
+    """
     r = df.select(y, prediction, (F.col(y) - F.col(prediction)).alias("residual"))
-    moments = r.agg(F.count("*").alias("n"), F.avg("residual").alias("mean"), F.stddev_samp("residual").alias("sd"),
+    moments = r.agg(F.count("residual").alias("n"), F.count_if(F.col("residual").isNull()).alias("undefined"),
+                    F.avg("residual").alias("mean"), F.stddev_samp("residual").alias("sd"),
                     F.min("residual").alias("minimum"), F.max("residual").alias("maximum"),
                     safe_corr(F.col(y), F.col(prediction)).alias("correlation"))
-    quantiles = exact_quantiles(r, [], "residual", PROFILE)
-    return moments.join(quantiles, "n").select(
+    quantiles = exact_quantiles(r, [], "residual", PROFILE).select("n", "quantiles")
+    return moments.join(quantiles, "n", "left").select(
         "*", *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("median", "p05", "p95"))]).drop("quantiles")
 
 

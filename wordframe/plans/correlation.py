@@ -15,22 +15,25 @@ def adjust(df: DataFrame, family: list[str], p: str, tie: str) -> DataFrame:
 
 
 def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], method: str) -> list[tuple]:
-    """(x, y, method, n, r, p, status) for all pairs in one aggregate; constant columns have no correlation."""
+    """(x, y, method, n, r, p, status) for all pairs in one aggregate; n counts rows with both values, constant columns have no correlation."""
     names = sorted({c for pair in pairs for c in pair})
     if method == "spearman":
         df = average_ranks(df.select(*[F.col(c).cast("double").alias(c) for c in names]), names)
     source = lambda c: F.col(f"rank_{c}") if method == "spearman" else F.col(c).cast("double")
-    row = df.agg(F.count("*").alias("n"), *[F.min(source(c)).alias(f"lo_{i}") for i, c in enumerate(names)],
+    both = lambda a, b: F.count_if(source(a).isNotNull() & source(b).isNotNull())
+    row = df.agg(*[both(a, b).alias(f"n_{i}") for i, (a, b) in enumerate(pairs)],
+                 *[F.min(source(c)).alias(f"lo_{i}") for i, c in enumerate(names)],
                  *[F.max(source(c)).alias(f"hi_{i}") for i, c in enumerate(names)],
                  *[safe_corr(source(a), source(b)).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)]).first()
     constant = {c: row[f"lo_{i}"] == row[f"hi_{i}"] for i, c in enumerate(names)}
     out = []
     for i, (a, b) in enumerate(pairs):
+        n = int(row[f"n_{i}"])
         if constant[a] or constant[b]:
-            out.append((a, b, method, int(row["n"]), None, None, "undefined_constant"))
+            out.append((a, b, method, n, None, None, "undefined_constant"))
         else:
             r = float(row[f"r_{i}"])
-            out.append((a, b, method, int(row["n"]), r, correlation_p(r, int(row["n"])), "ok"))
+            out.append((a, b, method, n, r, correlation_p(r, n), "ok"))
     return out
 
 

@@ -1,4 +1,4 @@
-"""Nested ridge with training-only preprocessing, and inner-fold selection of feature families.
+"""Nested ridge with training-only preprocessing.
 
 All fits are solved from moments of (outer, inner) cells. For designs that do not depend on the training
 rows, 50 additive cells serve every training set. Splines and principal components do depend on them; then
@@ -140,20 +140,6 @@ def nested_ridge(problem: Problem, variants: dict[str, list[str]], alphas=ALPHAS
     return tuned, models
 
 
-def qualify(losses: dict[str, np.ndarray], names: list[str], reference: str) -> tuple[list[str], str | None]:
-    """Families with lower pooled inner error than the reference and at least four of five inner wins; the best."""
-    base = losses[reference]
-    accepted = [n for n in names if losses[n].sum() < base.sum() and int((losses[n] < base).sum()) >= 4]
-    return accepted, min(accepted, key=lambda n: losses[n].sum()) if accepted else None
-
-
-def without_duplicate_layers(accepted: list[str]) -> list[str]:
-    """Single-layer families give way to their concatenation."""
-    if "layer_combination" not in accepted:
-        return list(accepted)
-    return [n for n in accepted if n not in ("layer_early", "layer_middle", "layer_late")]
-
-
 def predict(df: DataFrame, problem: Problem, models: dict[str, dict[int, dict]], fold: str = "fold",
             suffix: str = "_prediction") -> DataFrame:
     """Held-out prediction of every row under every variant."""
@@ -231,42 +217,27 @@ def spline_problem(df: DataFrame, plain: list[str], splined: list[str], y: str,
     return fitted_problem(df, raw, y, outer, names, expand)
 
 
-def audit_rows(tuned: dict[str, dict[int, dict]]) -> list[tuple]:
-    return [(v, o, t["alpha"], [float(x) for x in t["loss"]]) for v, by in tuned.items() for o, t in sorted(by.items())]
+def fit_audit(problem: Problem, tuned: dict[str, dict[int, dict]], alphas=ALPHAS) -> list[tuple]:
+    """What each fit saw: (variant, fold, inner or -1, rows, training means, training scales, pooled error per penalty).
 
+    Inner rows describe the training part of each inner split, -1 the refit on all training rows of the outer fold.
+    """
+    rows = []
+    for variant, by in tuned.items():
+        for o, t in sorted(by.items()):
+            at = problem.at(t["columns"])
+            for i in (*range(INNER), None):
+                n, mean, s = centered(subset(problem.refit(o) if i is None else problem.train(o, i), at))
+                rows.append((variant, o, -1 if i is None else i, int(round(n)), [float(x) for x in mean[:-1] + problem.anchor[at]],
+                             [float(x) for x in np.sqrt(np.maximum(np.diag(s)[:-1] / n, 0))], [float(x) for x in t["grid"]]))
+    return rows
 
-AUDIT_SCHEMA = "variant string, fold int, alpha double, inner_sse array<double>"
 
+FIT_SCHEMA = "variant string, fold int, inner int, n bigint, mean array<double>, scale array<double>, grid_sse array<double>"
 
-def family_evaluation(problem: Problem, core: list[str], strong: list[str], families: dict[str, list[str]], alphas=ALPHAS):
-    """Core, strong and each family on top of strong; then the inner-selected best and combinations.
 
-    Selection reads inner errors of the outer training set only. Where no family qualifies, the selected
-    variants fall back to core, core and strong.
-    """
-    variants = {"core": core, "strong": strong, **{f: [*strong, *cs] for f, cs in families.items()}}
-    tuned, models = nested_ridge(problem, variants, alphas)
-    for v in ("best_new", "combined_new", "trajectory_combined"):
-        models[v], tuned[v] = {}, {}
-    selection = []
-    for o in problem.outer:
-        accepted, best = qualify({v: tuned[v][o]["loss"] for v in variants}, list(families), "strong")
-        selection.append((o, accepted, best))
-        picks = {"best_new": ([best] if best else [], core, "core"), "combined_new": (accepted, core, "core"),
-                 "trajectory_combined": (accepted, strong, "strong")}
-        for v, (chosen, base, fallback) in picks.items():
-            if not chosen:
-                models[v][o] = models[fallback][o]
-                continue
-            columns = [*base, *[c for f in chosen for c in families[f]]]
-            tuned[v][o] = tune(problem, o, columns, alphas)
-            models[v][o] = refit(problem, o, columns, tuned[v][o]["alpha"])
-    return tuned, models, selection
-
-
-def design_layout(core: list[str], strong: list[str], extra: list[str], spline: bool, with_trajectory: bool = True):
-    """Column order of a design and how many leading columns are linear: splined columns always stay last."""
-    if with_trajectory and spline:
-        return [*strong[:len(core)], *extra, *strong[len(core):]], len(core) + len(extra), True
-    base = strong if with_trajectory else core
-    return [*base, *extra], len(base) + len(extra), False
+def audit_rows(tuned: dict[str, dict[int, dict]]) -> list[tuple]:
+    return [(v, o, t["alpha"], [float(x) for x in t["loss"]]) for v, by in tuned.items() for o, t in sorted(by.items())]
+
+
+AUDIT_SCHEMA = "variant string, fold int, alpha double, inner_sse array<double>"

@@ -1,10 +1,10 @@
 """Delimited text, write-once sinks, result gathering, and content manifests."""
 import json
+import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
-
 def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """Tab-separated text with a declared schema; an empty cell is NULL, 'nan' is NaN where the type is double."""
     return (spark.read.schema(schema).option("sep", "\t").option("header", header).option("quote", '"')
@@ -34,12 +34,12 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Content hash of every file below ``root``, with paths relative to it."""
+    """Content hash of every file below ``root``, with whole paths relative to it, on any file system Spark reads."""
     base = root.rstrip("/")
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base))
-    relative = F.regexp_replace("path", "^file:/+", "/")
-    return files.select(F.substring(relative, len(base) + 2, 4096).alias("path"), "length",
-                        F.sha2("content", 256).alias("sha256"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    plain = re.sub("^file:/+", "/", base)
+    behind = F.length("path") - F.instr("path", F.lit(plain)) - len(plain)
+    return files.select(F.right("path", behind).alias("path"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 def manifest_diff(before: DataFrame, after: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
@@ -62,22 +62,24 @@ def gather(spark: SparkSession, pattern: str, schema: str, path_pattern: str, na
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Order-free fingerprint of a row set: its size and sums of four slices of each row's SHA-256.
+    """Order-free fingerprint of a row set: its size and sums of the four 64-bit parts of each row's SHA-256.
 
-    Sums see duplicates and merge map-side, so no group of rows is ever collected.
+    Each field is written with its length in bytes before it, so no two different rows are written alike. Sums see
+    duplicates and merge map-side, so no group of rows is ever collected.
     """
-    row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns]), 256)
-    slices = [F.conv(F.substring(row, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)") for i in range(4)]
-    return df.agg(F.count("*").alias("n"), *[F.sum(s).cast("string").alias(f"h{i + 1}") for i, s in enumerate(slices)])
-
-
-def provenance(spark: SparkSession, root: str, tables: list[str], policy: dict[str, str]) -> DataFrame:
-    """One record: input files with hashes, row counts, and the policy strings of a run."""
-    hashes = manifest(spark, root)
-    counts = None
-    for t in tables:
-        c = spark.read.parquet(f"{root}/{t}.parquet").agg(F.count("*").alias("rows")).withColumn("path", F.lit(f"{t}.parquet"))
-        counts = c if counts is None else counts.unionByName(c)
-    inputs = hashes.join(counts, "path").agg(
-        F.sort_array(F.collect_list(F.struct("path", "sha256", "rows"))).alias("inputs"))
-    return inputs.select("inputs", F.lit(json.dumps(policy, sort_keys=True)).alias("policy"))
+    text = [F.col(c).cast("string") for c in columns]
+    fields = [F.concat(F.coalesce(F.octet_length(t).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(t, F.lit(""))) for t in text]
+    row = F.sha2(F.concat(*fields), 256)
+    parts = [F.conv(F.substring(row, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    return df.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(p), F.lit(0)).cast("string").alias(f"h{i + 1}") for i, p in enumerate(parts)])
+
+
+def provenance(spark: SparkSession, root: str, tables: dict[str, list[str]], policy: dict[str, str]) -> DataFrame:
+    """One row per table below ``root``, a file or a folder of files: rows, content fingerprint of its columns, files, bytes, policy."""
+    kept = manifest(spark, root).select(F.substring_index(F.substring_index("path", "/", 1), ".parquet", 1).alias("table"), "length")
+    files = kept.groupBy("table").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+    out = None
+    for name, columns in tables.items():
+        one = fingerprint(spark.read.parquet(f"{root}/{name}.parquet"), columns).withColumn("table", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out.join(F.broadcast(files), "table", "left").withColumn("policy", F.lit(json.dumps(policy, sort_keys=True)))
