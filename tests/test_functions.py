@@ -171,6 +171,15 @@ def test_benjamini_hochberg_by_definition(spark):
             assert got[i] == pytest.approx(want)
 
 
+def test_benjamini_hochberg_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(correlation, "BLOCK", 7)
+    p = np.random.default_rng(22).uniform(size=60).round(1)
+    df = spark.createDataFrame([(None if i % 3 else "f", i, float(v)) for i, v in enumerate(p)], "f string, i int, p double")
+    for r in correlation.adjust(df, ["f"], "p", "i").collect():
+        mine = np.array([v for i, v in enumerate(p) if (i % 3 == 0) == (r.f == "f")])
+        assert r.q_value == pytest.approx(min(min(1.0, w * len(mine) / (mine <= w).sum()) for w in mine if w >= r.p))
+
+
 def test_student_tail():
     for t, df, p in [(2.228139, 10, 0.05), (1.959964, 1e7, 0.05), (0.0, 5, 1.0), (12.7062, 1, 0.05), (3.169273, 10, 0.01)]:
         assert statistics.t_two_sided(t, df) == pytest.approx(p, abs=2e-6)

@@ -105,9 +105,9 @@ def test_average_and_global_ranks(spark):
     x = np.r_[np.full(300, 2.0), rng.integers(0, 40, 600)].astype(float)
     y = rng.normal(size=900)
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y))], "id bigint, x double, y double")
-    rows = {r.id: r for r in ranking.average_ranks(df, ["x", "y"], buckets=16).collect()}
+    rows = {r.id: r for r in ranking.average_ranks(df, ["x", "y"]).collect()}
     for i in range(900):
         assert rows[i].rank_x == (x < x[i]).sum() + ((x == x[i]).sum() + 1) / 2
         assert rows[i].rank_y == (y < y[i]).sum() + 1
-    placed = {r.id: r.r for r in ranking.global_rank(df, "x", "id", "r", buckets=16).collect()}
+    placed = {r.id: r.r for r in ranking.global_rank(df, "x", "id", "r").collect()}
     assert [placed[i] for i in np.lexsort((np.arange(900), x))] == list(range(1, 901))

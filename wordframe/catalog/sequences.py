@@ -108,7 +108,7 @@ def w02(spark, sf_dir):
 @query("w03_context_id", "SELECT part, trial, dense_rank() OVER (ORDER BY part, trial) AS item FROM (SELECT DISTINCT part, trial FROM sheet)")
 def w03(spark, sf_dir):
     contexts = tables.sheet(spark, sf_dir).select("part", "trial").distinct()
-    return ordered.ordinal(contexts, [], ["part", "trial"], F.col("part"), "item")
+    return ordered.ranked(contexts, ["part", "trial"], "item").withColumn("item", F.col("item") + 1)
 
 
 @query("w04_prefix_pieces", "SELECT item, zone, first AS before FROM first_piece")

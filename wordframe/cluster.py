@@ -45,12 +45,6 @@ def shared(spark: SparkSession, key: tuple, build) -> DataFrame:
     return _MEMO[full]
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core when a scan has fewer splits than the cluster has cores; otherwise do nothing."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def remember(spark: SparkSession, key: tuple, build):
     """Keep a small driver-side result (moments, coefficients, selections) per application and key."""
     full = (spark.sparkContext.applicationId, "object", *key)

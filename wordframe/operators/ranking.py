@@ -217,17 +217,7 @@ def average_ranks(df: DataFrame, columns: list[str], buckets: int = 256) -> Data
     return df
 
 
-def global_rank(df: DataFrame, value: str, tie: str, out: str, buckets: int = 256) -> DataFrame:
-    """1-based rank over the whole table by (value, tie).
-
-    Blocks follow value buckets; a value so frequent that it is itself a bucket edge is split further
-    by the tie column, so one repeated value does not become one task.
-    """
-    from wordframe.operators.ordered import ordinal
-    numeric = df.withColumns({"_v": F.col(value).cast("double"), "_t": F.col(tie).cast("double")})
-    edges, ties = splits_for(numeric, "_v", buckets), splits_for(numeric, "_t", buckets)
-    placed = bucketed(bucketed(numeric, "_v", edges, "_bv"), "_t", ties, "_bt")
-    edge = F.element_at(F.array(*[F.lit(e) for e in edges]), (F.col("_bv") + 1).cast("int"))
-    block = F.struct(F.col("_bv"), (F.col("_v") > edge).alias("inside"),
-                     F.when(F.col("_v") == edge, F.col("_bt")).otherwise(0.0).alias("sub"))
-    return ordinal(placed, [], ["_v", tie], block, out).drop("_v", "_t", "_bv", "_bt")
+def global_rank(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
+    """1-based rank over the whole table by (value, tie), from ranges of that order; a repeated value is split by the tie."""
+    from wordframe.operators.ordered import ranked
+    return ranked(df, [value, tie], out).withColumn(out, F.col(out) + 1)

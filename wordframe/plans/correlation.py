@@ -3,15 +3,29 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from wordframe.functions.numeric import safe_corr
 from wordframe.functions.statistics import correlation_p
+from wordframe.operators.ordered import BLOCK, ranked
 from wordframe.operators.ranking import average_ranks
 
 
 def adjust(df: DataFrame, family: list[str], p: str, tie: str) -> DataFrame:
-    """Benjamini-Hochberg adjusted p within each family. A family has one row per test."""
-    by_p = Window.partitionBy(*family).orderBy(p, tie)
-    ranked = df.select("*", F.row_number().over(by_p).alias("_r"), F.count("*").over(Window.partitionBy(*family)).alias("_m"))
-    down = Window.partitionBy(*family).orderBy(F.desc("_r"))
-    return ranked.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(down))).drop("_r", "_m")
+    """Benjamini-Hochberg adjusted p within each family. A family has one row per test.
+
+    Ranks come from one order over all families. The running minimum from the largest p down is taken inside blocks of
+    ranks and completed with the minima of the later blocks, so a family of any size is many tasks.
+    """
+    placed = ranked(df, [*family, p, tie], "_at")
+    sizes = placed.groupBy(*[F.col(f).alias(f"_{f}") for f in family]).agg(F.min("_at").alias("_low"), F.count("*").alias("_m"))
+    same = [F.col(f).eqNullSafe(F.col(f"_{f}")) for f in family]
+    rank = F.col("_at") - F.col("_low") + 1
+    rows = placed.join(sizes, same).withColumns({"_r": rank, "_v": F.col(p) * F.col("_m") / rank, "_b": F.floor((rank - 1) / BLOCK)})
+    keys = [f"_{f}" for f in family]
+    inside = Window.partitionBy(*keys, "_b").orderBy(F.desc("_r"))
+    later = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    minima = rows.groupBy(*keys, "_b").agg(F.min("_v").alias("_least")).select(
+        *[F.col(k).alias(f"{k}2") for k in keys], F.col("_b").alias("_b2"), F.min("_least").over(later).alias("_later"))
+    near = rows.withColumn("_here", F.min("_v").over(inside)).join(
+        minima, [F.col(k).eqNullSafe(F.col(f"{k}2")) for k in keys] + [F.col("_b") == F.col("_b2")])
+    return near.select(*df.columns, F.least(F.lit(1.0), "_here", "_later").alias("q_value"))
 
 
 def pair_correlations(df: DataFrame, pairs: list[tuple[str, str]], method: str) -> list[tuple]:

@@ -4,7 +4,7 @@ Every view has the region key ``(item, zone)``: ``item`` is a context, ``zone``
 """
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordframe.cluster import shared, spread
+from wordframe.cluster import shared
 from wordframe.operators.ordered import ordinal
 
 WORD_GAP = r"[ \t\n\r\f]+"
@@ -22,7 +22,6 @@ def regions(spark, sf_dir, contexts=None):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     if contexts is not None:
         documents = documents.join(contexts.select(F.col("item").alias("doc_id")), "doc_id", "left_semi")
-    documents = spread(documents)
     words = F.filter(F.split("text", WORD_GAP), lambda w: w != "")
     return (documents.select(F.col("doc_id").alias("item"), F.posexplode(words).alias("pos", "word"))
             .select("item", (F.col("pos") + 1).cast("bigint").alias("zone"), "word"))
@@ -30,7 +29,7 @@ def regions(spark, sf_dir, contexts=None):
 
 def region_pairs(spark, sf_dir):
     """``regions`` with the previous word. Neighbours share a document row, so no window or shuffle is needed."""
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = documents.select(F.col("doc_id").alias("item"), F.filter(F.split("text", WORD_GAP), lambda w: w != "").alias("w"))
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice("w", 1, F.size("w")))
     zipped = F.arrays_zip(F.col("w"), F.slice(before, F.lit(1), F.size("w")))
@@ -46,7 +45,7 @@ def region_keys(spark, sf_dir):
 
 def langs(spark, sf_dir):
     """``regions`` with the language of the document."""
-    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     words = F.filter(F.split("text", WORD_GAP), lambda w: w != "")
     return documents.select("lang", F.explode(words).alias("word"))
 
