@@ -1,4 +1,6 @@
 """Modelling operators without a closed SQL form, and those SQL can state given their inputs (M*, P14, P21)."""
+import re
+
 from pyspark.sql import functions as F
 
 from wordframe.catalog.contracts import VIEWS, both_predictions, joined
@@ -94,8 +96,64 @@ def splined(spark, sf_dir):
     return remember(spark, ("splined", sf_dir), lambda: nested.spline_problem(cases.case(spark, sf_dir), keep, cases.THIRDS, "y", OUTER))
 
 
-@query("m12_ridge_path")
+# Nested ridge on one and two predictors in closed form: sums per (outer, inner) cell, standardised 2 x 2 systems, 25 penalties.
+VIEWS["rx"] = """SELECT s.item, s.zone, i.outer_fold AS o, i.inner_fold AS i, s.word_length - 5.0 AS x, s.log_frequency - 1.0 AS z, s.mean_rt - 35000.0 AS y
+    FROM sample s JOIN inner_folds i USING (item, zone)"""
+_SUMS = ["n", "x", "z", "y", "xx", "zz", "xz", "xy", "zy", "yy"]
+VIEWS["rcell"] = """SELECT o, i, count(*)::DOUBLE AS n, sum(x) AS x, sum(z) AS z, sum(y) AS y, sum(x * x) AS xx, sum(z * z) AS zz, sum(x * z) AS xz,
+    sum(x * y) AS xy, sum(z * y) AS zy, sum(y * y) AS yy FROM rx GROUP BY o, i"""
+VIEWS["rtotal"] = "SELECT o, " + ", ".join(f"sum({c}) AS {c}" for c in _SUMS) + " FROM rcell GROUP BY o"
+VIEWS["rtrain"] = ("SELECT c.o, c.i, " + ", ".join(f"t.{c} - c.{c} AS {c}" for c in _SUMS) + " FROM rcell c JOIN rtotal t USING (o)"
+                   " UNION ALL SELECT o, -1, " + ", ".join(_SUMS) + " FROM rtotal")
+VIEWS["rmoment"] = """SELECT o, i, n, x / n AS mx, z / n AS mz, y / n AS my, xx / n - (x / n) ** 2 AS vx, zz / n - (z / n) ** 2 AS vz,
+    xz / n - x / n * z / n AS cxz, xy / n - x / n * y / n AS cxy, zy / n - z / n * y / n AS czy FROM rtrain"""
+VIEWS["rfit"] = """SELECT o, i, variant, k, alpha, n, mx, mz, my, vx, vz, CASE WHEN variant = 'one' THEN n * cxy / sqrt(vx) / (n + alpha) / sqrt(vx)
+      ELSE ((n + alpha) * n * cxy / sqrt(vx) - n * r * n * czy / sqrt(vz)) / ((n + alpha) ** 2 - (n * r) ** 2) / sqrt(vx) END AS bx,
+    CASE WHEN variant = 'one' THEN 0.0 ELSE ((n + alpha) * n * czy / sqrt(vz) - n * r * n * cxy / sqrt(vx)) / ((n + alpha) ** 2 - (n * r) ** 2) / sqrt(vz) END AS bz
+    FROM (SELECT *, cxz / sqrt(vx * vz) AS r FROM rmoment), (SELECT unnest(range(0, 25)) AS k), (VALUES ('one'), ('two')) v(variant),
+    LATERAL (SELECT 10.0 ** (-4 + k / 3.0) AS alpha)"""
+VIEWS["rloss"] = """SELECT f.o, f.i, f.variant, f.k, f.alpha, c.yy - 2 * a * c.y - 2 * bx * c.xy - 2 * bz * c.zy + a * a * c.n + 2 * a * (bx * c.x + bz * c.z)
+      + bx * bx * c.xx + 2 * bx * bz * c.xz + bz * bz * c.zz AS loss
+    FROM rfit f JOIN rcell c ON f.o = c.o AND f.i = c.i, LATERAL (SELECT my - bx * mx - bz * mz AS a)"""
+VIEWS["rgrid"] = "SELECT o, variant, k, alpha, sum(loss) AS total FROM rloss GROUP BY ALL"
+VIEWS["rpick"] = "SELECT o, variant, k, alpha FROM (SELECT *, row_number() OVER (PARTITION BY o, variant ORDER BY total, k) AS r FROM rgrid) WHERE r = 1"
+VIEWS["rinner"] = "SELECT l.o AS fold, l.i AS \"inner\", l.variant, l.alpha, l.loss FROM rloss l JOIN rpick p ON l.o = p.o AND l.variant = p.variant AND l.k = p.k"
+for _name in ("rx", "rcell", "rtotal", "rtrain", "rmoment", "rfit", "rloss", "rgrid", "rpick", "rinner"):
+    VIEWS[_name] = VIEWS.pop(_name)
+SMALL = {"one": ["word_length"], "two": ["word_length", "log_frequency"]}
+
+
+def small_problem(spark, sf_dir):
+    """Nested ridge of the held-out sample on one and two predictors, small enough for SQL to state it."""
+    def build():
+        rows = shared(spark, ("sample_inner", sf_dir), lambda: ranking.assign_inner_folds(reading.sample(spark, sf_dir), KEYS, OUTER))
+        return rows, nested.plain_problem(rows, SMALL["two"], "mean_rt", OUTER)
+    return remember(spark, ("small_ridge", sf_dir), build)
+
+
+def small_tuned(spark, sf_dir):
+    rows, problem = small_problem(spark, sf_dir)
+    return {v: {o: nested.tune(problem, o, cs) for o in OUTER} for v, cs in SMALL.items()}
+
+
+@query("m12_ridge_path", f"""SELECT o AS fold, k::INT AS k, {q('alpha', 9)} AS alpha, {q('bx', 4)} AS word_length, {q('bz', 4)} AS log_frequency,
+    {q('my + 35000 - bx * (mx + 5) - bz * (mz + 1)', 2)} AS intercept FROM rfit WHERE i = -1 AND variant = 'two'""")
 def m12(spark, sf_dir):
+    _, problem = small_problem(spark, sf_dir)
+    at = problem.at(SMALL["two"])
+    rows = []
+    for o in OUTER:
+        slopes, intercepts = nested.ridge_path(nested.subset(problem.refit(o), at), nested.ALPHAS)
+        rows += [(o, k, float(a), *[float(v) for v in slopes[:, k]], float(intercepts[k] + problem.anchor[-1] - problem.anchor[at] @ slopes[:, k]))
+                 for k, a in enumerate(nested.ALPHAS)]
+    out = spark.createDataFrame(rows, "fold int, k int, alpha double, word_length double, log_frequency double, intercept double")
+    return out.select("fold", "k", snap(F.col("alpha"), 9).alias("alpha"), snap(F.col("word_length"), 4).alias("word_length"),
+                      snap(F.col("log_frequency"), 4).alias("log_frequency"), snap(F.col("intercept"), 2).alias("intercept"))
+
+
+@query("m12_case_paths")
+def m12_case(spark, sf_dir):
+    """The path of all core predictors of the modelling table."""
     problem = plain(spark, sf_dir)
     at = problem.at(cases.CORE)
     rows = []
@@ -106,6 +164,16 @@ def m12(spark, sf_dir):
     return spark.createDataFrame(rows, "fold int, alpha double, slopes array<double>, intercept double")
 
 
+@query("m13_two_predictors", f"""SELECT s.item, s.zone, s.fold, {q('35000 + f.my + f.bx * (s.word_length - 5 - f.mx) + f.bz * (s.log_frequency - 1 - f.mz)', 3)} AS prediction
+    FROM sample s JOIN rpick p ON p.o = s.fold AND p.variant = 'two' JOIN rfit f ON f.o = p.o AND f.i = -1 AND f.variant = p.variant AND f.k = p.k""")
+def m13_two(spark, sf_dir):
+    """Held-out predictions of the tuned ridge: each row once, from the fit of its own outer fold."""
+    rows, problem = small_problem(spark, sf_dir)
+    _, models = nested.nested_ridge(problem, {"two": SMALL["two"]})
+    out = nested.predict(rows, problem, models)
+    return out.select(*KEYS, "fold", snap(F.col("two_prediction"), 3).alias("prediction"))
+
+
 @query("m13_nested_ridge")
 def m13(spark, sf_dir):
     problem = plain(spark, sf_dir)
@@ -188,8 +256,8 @@ def m17(spark, sf_dir):
     return grid_reports(spark, sf_dir)
 
 
-@query("p21_selected_alphas")
-def p21(spark, sf_dir):
+@query("p21_grid_alphas")
+def p21_grid(spark, sf_dir):
     """Nested fit audits flattened to one row per variant, fold and inner split."""
     _, audits = grid(spark, sf_dir)
     nested_rows = audits.groupBy("variant").agg(F.sort_array(F.collect_list(F.struct("fold", "alpha", "inner_sse"))).alias("folds"))
@@ -197,8 +265,24 @@ def p21(spark, sf_dir):
     return flat.filter("alpha IS NOT NULL").select("variant", "fold", "alpha", F.posexplode("inner_sse").alias("inner", "sse"))
 
 
-@query("m19_inner_tuning")
+@query("m19_inner_tuning", f"""SELECT r.fold, r.variant, r."inner"::INT AS "inner", {q('r.alpha', 9)} AS alpha, {q('r.loss / 1e6', 3)} AS loss_millions,
+    m.n::BIGINT AS n, {q('m.mx + 5', 6)} AS mean_word_length, {q('sqrt(m.vx)', 6)} AS scale_word_length, {q('g.total / 1e6', 3)} AS smallest_grid_millions
+    FROM rinner r JOIN rmoment m ON m.o = r.fold AND m.i = r."inner" JOIN (SELECT o, variant, min(total) AS total FROM rgrid GROUP BY ALL) g ON g.o = r.fold AND g.variant = r.variant""")
 def m19(spark, sf_dir):
+    """Penalty, inner errors, and what each inner fit saw: rows, training mean and scale, and the smallest pooled error of the grid."""
+    _, problem = small_problem(spark, sf_dir)
+    tuned = small_tuned(spark, sf_dir)
+    fits = spark.createDataFrame(nested.fit_audit(problem, tuned), nested.FIT_SCHEMA)
+    errors = selection.inner_errors(spark, tuned)
+    alphas = spark.createDataFrame(nested.audit_rows(tuned), nested.AUDIT_SCHEMA).select("variant", "fold", "alpha")
+    return errors.join(fits, ["variant", "fold", "inner"]).join(alphas, ["variant", "fold"]).select(
+        "fold", "variant", "inner", snap(F.col("alpha"), 9).alias("alpha"), snap(F.col("loss") / 1e6, 3).alias("loss_millions"), "n",
+        snap(F.col("mean")[0], 6).alias("mean_word_length"), snap(F.col("scale")[0], 6).alias("scale_word_length"),
+        snap(F.array_min("grid_sse") / 1e6, 3).alias("smallest_grid_millions"))
+
+
+@query("m19_case_tuning")
+def m19_case(spark, sf_dir):
     """Penalty and inner errors of each family, with what every fit saw: rows, means, scales and the whole error grid."""
     problem = plain(spark, sf_dir)
     tuned = {f: {o: nested.tune(problem, o, [*cases.CORE, *cs]) for o in OUTER} for f, cs in cases.FAMILIES.items()}
@@ -215,9 +299,28 @@ def family_losses(spark, sf_dir):
     return shared(spark, ("family_losses", sf_dir), build)
 
 
-@query("m20_qualification")
+@query("p21_selected_alphas", f"""SELECT variant, fold, {q('alpha', 9)} AS alpha, "inner"::INT AS "inner", {q('loss / 1e6', 3)} AS sse_millions FROM rinner""")
+def p21(spark, sf_dir):
+    """Nested fit audits flattened to one row per variant, fold and inner split."""
+    audits = spark.createDataFrame(nested.audit_rows(small_tuned(spark, sf_dir)), nested.AUDIT_SCHEMA)
+    flat = audits.select("variant", "fold", "alpha", F.posexplode("inner_sse").alias("inner", "sse"))
+    return flat.select("variant", "fold", snap(F.col("alpha"), 9).alias("alpha"), "inner", snap(F.col("sse") / 1e6, 3).alias("sse_millions"))
+
+
+@query("m20_qualification", f"""SELECT a.fold, 'two' AS variant, {q('sum(a.loss) / 1e6', 3)} AS total_millions, {q('sum(b.loss) / 1e6', 3)} AS reference_millions,
+    count(*) FILTER (WHERE a.loss < b.loss) AS wins, sum(a.loss) < sum(b.loss) AND count(*) FILTER (WHERE a.loss < b.loss) >= 4 AS accepted,
+    sum(a.loss) < sum(b.loss) AND count(*) FILTER (WHERE a.loss < b.loss) >= 4 AS best
+    FROM rinner a JOIN rinner b ON a.fold = b.fold AND a."inner" = b."inner" WHERE a.variant = 'two' AND b.variant = 'one' GROUP BY a.fold""")
 def m20(spark, sf_dir):
-    """The rule on real inner errors; a test states it again by loops."""
+    """The rule on the real inner errors of tuned ridge fits."""
+    t = selection.qualification(selection.inner_errors(spark, small_tuned(spark, sf_dir)), "one")
+    return t.select("fold", "variant", snap(F.col("total") / 1e6, 3).alias("total_millions"), snap(F.col("reference_total") / 1e6, 3).alias("reference_millions"),
+                    "wins", "accepted", "best")
+
+
+@query("m20_case_qualification")
+def m20_case(spark, sf_dir):
+    """The rule on the inner errors of all feature families; a test states it again by loops."""
     return selection.qualification(family_losses(spark, sf_dir), "controls")
 
 
@@ -364,8 +467,8 @@ def m28(spark, sf_dir):
 
 
 # The same held-out regression over every region of the corpus: surprisal on word length and log frequency.
-VIEWS["corpus"] = """SELECT l.item, l.zone, f.fold, length(l.word)::DOUBLE AS x, ln(1 + q.count) AS z, -log2(b.p) - 12 AS y FROM word_lag l
-    JOIN bigram_ranked b USING (prev_word, word) JOIN freq q ON q.form = l.word JOIN region_folds f ON f.item = l.item AND f.zone = l.zone"""
+VIEWS["corpus"] = """SELECT l.item, l.zone, (ntile(10) OVER (ORDER BY md5('2026:' || l.item || ':' || l.zone)) - 1)::INT AS fold, length(l.word)::DOUBLE AS x, ln(1 + q.count) AS z, -log2(b.p) - 12 AS y FROM word_lag l
+    JOIN bigram_ranked b USING (prev_word, word) JOIN freq q ON q.form = l.word"""
 VIEWS["corpus_fold"] = """SELECT fold, count(*) AS n, sum(x) AS x, sum(z) AS z, sum(y) AS y, sum(x * x) AS xx, sum(z * z) AS zz, sum(x * z) AS xz,
     sum(x * y) AS xy, sum(z * y) AS zy FROM corpus GROUP BY fold"""
 VIEWS["corpus_train"] = """SELECT f.fold, t.n - f.n AS n, (t.x - f.x) / (t.n - f.n) AS mx, (t.z - f.z) / (t.n - f.n) AS mz, (t.y - f.y) / (t.n - f.n) AS my,
@@ -382,7 +485,7 @@ def corpus(spark, sf_dir):
         scored = ngram.score(tables.region_pairs(spark, sf_dir)).select(*KEYS, "word", "surprisal")
         counts = tables.frequencies(spark, sf_dir).select(F.col("form").alias("word"), F.log1p("count").alias("log_frequency"))
         rows = scored.join(counts, "word").select(*KEYS, F.length("word").cast("double").alias("word_length"), "log_frequency", "surprisal")
-        return ranking.assign_folds(cut(rows), KEYS).filter("zone > 1")
+        return ranking.assign_folds(cut(rows.filter("zone > 1")), KEYS)      # eligible rows first, so that folds are balanced
     return shared(spark, ("corpus", sf_dir), build)
 
 
@@ -395,7 +498,15 @@ def m02_corpus(spark, sf_dir):
     return predicted.groupBy("fold").agg(F.count("*").alias("n"), snap(rmse, 5).alias("rmse"), snap(r2, 5).alias("r2"))
 
 
-@query("m13_corpus_ridge")
+VIEWS["cinner"] = """SELECT c.item, c.zone, c.x, c.z, c.y, o.outer_fold AS o, ntile(5) OVER (PARTITION BY o.outer_fold ORDER BY md5((2026 + o.outer_fold) || ':' || c.item || ':' || c.zone)) - 1 AS i
+    FROM corpus c JOIN (SELECT unnest(range(0, 10))::INT AS outer_fold) o ON c.fold <> o.outer_fold"""
+VIEWS["crx"] = "SELECT item, zone, o, i, x, z, y FROM cinner"
+for _name in ("rcell", "rtotal", "rtrain", "rmoment", "rfit", "rloss", "rgrid", "rpick"):
+    VIEWS[f"c{_name}"] = re.sub(r"\br(x|cell|total|train|moment|fit|loss|grid|pick)\b", r"cr\1", VIEWS[_name])
+
+
+@query("m13_corpus_ridge", f"""SELECT c.fold, count(*) AS n, {q('sqrt(avg((c.y - (f.my + f.bx * (c.x - f.mx) + f.bz * (c.z - f.mz))) ** 2))', 5)} AS rmse, {q('max(p.alpha)', 9)} AS alpha
+    FROM corpus c JOIN crpick p ON p.o = c.fold AND p.variant = 'two' JOIN crfit f ON f.o = p.o AND f.i = -1 AND f.variant = 'two' AND f.k = p.k GROUP BY c.fold""")
 def m13_corpus(spark, sf_dir):
     """Nested ridge over all regions: 50 cells of moments from one scan serve 25 penalties in 60 training sets."""
     rows = shared(spark, ("corpus_inner", sf_dir), lambda: ranking.assign_inner_folds(corpus(spark, sf_dir), KEYS, OUTER))
@@ -405,4 +516,5 @@ def m13_corpus(spark, sf_dir):
     predicted = nested.predict(rows, problem, models)
     error = F.col("surprisal") - F.col("ridge_prediction")
     alphas = spark.createDataFrame([(o, t["alpha"]) for o, t in tuned["ridge"].items()], "fold int, alpha double")
-    return predicted.groupBy("fold").agg(F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse")).join(F.broadcast(alphas), "fold")
+    return predicted.groupBy("fold").agg(F.count("*").alias("n"), snap(F.sqrt(F.avg(error * error)), 5).alias("rmse")).join(
+        F.broadcast(alphas.withColumn("alpha", snap(F.col("alpha"), 9))), "fold")
