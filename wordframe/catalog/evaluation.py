@@ -51,6 +51,35 @@ def m03(spark, sf_dir):
     return report.drop("n").join(F.broadcast(compare.residual_profile(rows, "y", "full_prediction").withColumn("variant", F.lit("full"))), "variant")
 
 
+_WON = """SELECT count(*) FILTER (WHERE a < b) AS w, count(*) AS t FROM (SELECT sqrt(avg((y - controls_prediction) ** 2)) AS b, sqrt(avg((y - full_prediction) ** 2)) AS a
+    FROM heldout GROUP BY {c})"""
+
+
+@query("m03_two_predictors", f"""SELECT 'full' AS variant, n, {q('b', 3)} AS baseline_rmse, {q('a', 3)} AS rmse, {q('1 - a * a / v', 5)} AS r2, {q('b - a', 3)} AS improvement,
+    {q('100 * (b - a) / b', 5)} AS improvement_percent, {q('(b * b - a * a) / v', 5)} AS delta_r2, CASE WHEN b - a > 1e-10 THEN 'improves' WHEN b - a < -1e-10 THEN 'worsens' ELSE 'reference/equivalent' END AS outcome,
+    f.w AS fold_wins, {q('f.w / f.t', 6)} AS fold_win_fraction, c.w AS context_wins, {q('c.w / c.t', 6)} AS context_win_fraction
+    FROM (SELECT count(*) AS n, sqrt(avg((y - controls_prediction) ** 2)) AS b, sqrt(avg((y - full_prediction) ** 2)) AS a, var_pop(y) AS v FROM heldout),
+    ({_WON.format(c='fold')}) f, ({_WON.format(c='item')}) c""")
+def m03_two(spark, sf_dir):
+    """The whole report of the larger model against the smaller one."""
+    t = compare.full_report(both_predictions(spark, sf_dir), "mean_rt", "controls_prediction", {"full": "full_prediction"})
+    digits = {"baseline_rmse": 3, "rmse": 3, "r2": 5, "improvement": 3, "improvement_percent": 5, "delta_r2": 5, "fold_win_fraction": 6, "context_win_fraction": 6}
+    return t.select("variant", "n", "outcome", "fold_wins", "context_wins", *[snap(F.col(c), d).alias(c) for c, d in digits.items()])
+
+
+@query("m05_two_coefficients", f"""SELECT predictor, {q('b', 3)} AS coefficient, {q('se', 3)} AS standard_error, {q('b / se', 5)} AS t_value FROM (
+    SELECT n, my, sy, r, rx, rz, n * sy * sy * (1 - (rx * rx + rz * rz - 2 * r * rx * rz) / (1 - r * r)) / (n - 3) AS s2 FROM (SELECT count(*)::DOUBLE AS n, avg(mean_rt) AS my,
+        stddev_pop(mean_rt) AS sy, corr(word_length, log_frequency) AS r, corr(word_length, mean_rt) AS rx, corr(log_frequency, mean_rt) AS rz FROM sample)),
+    LATERAL (VALUES ('intercept', my, sqrt(s2 / n)), ('word_length', sy * (rx - r * rz) / (1 - r * r), sqrt(s2 / n / (1 - r * r))),
+        ('log_frequency', sy * (rz - r * rx) / (1 - r * r), sqrt(s2 / n / (1 - r * r)))) t(predictor, b, se)""")
+def m05_two(spark, sf_dir):
+    """Standardised coefficients with their errors and t; the p values are checked by a test."""
+    _, rows = linear.describe(reading.sample(spark, sf_dir), SMALL["two"], "mean_rt")
+    out = spark.createDataFrame([r[:4] for r in rows], "predictor string, coefficient double, standard_error double, t_value double")
+    return out.select("predictor", snap(F.col("coefficient"), 3).alias("coefficient"), snap(F.col("standard_error"), 3).alias("standard_error"),
+                      snap(F.col("t_value"), 5).alias("t_value"))
+
+
 @query("m05_coefficients")
 def m05(spark, sf_dir):
     _, rows = linear.describe(cases.case(spark, sf_dir), cases.LEXICAL, "y")
@@ -361,6 +390,44 @@ def component_fit(spark, sf_dir):
         cases.case(spark, sf_dir), cases.LAYERS, OUTER, cases.COUNT))
 
 
+VIEWS["pcov"] = "SELECT o, i, mx + 5 AS mx, mz + 1 AS mz, vx * n / (n - 1) AS a, vz * n / (n - 1) AS b, cxz * n / (n - 1) AS c FROM rmoment"
+VIEWS["peig"] = """SELECT o, i, mx, mz, t.component, t.l AS variance, c / sqrt(c * c + (t.l - a) ** 2) AS u, (t.l - a) / sqrt(c * c + (t.l - a) ** 2) AS w
+    FROM (SELECT *, sqrt(((a - b) / 2) ** 2 + c * c) AS h FROM pcov), LATERAL (VALUES (0, (a + b) / 2 + h), (1, (a + b) / 2 - h)) t(component, l)"""
+VIEWS["pload"] = "SELECT * REPLACE (u * sign(CASE WHEN abs(u) >= abs(w) THEN u ELSE w END) AS u, w * sign(CASE WHEN abs(u) >= abs(w) THEN u ELSE w END) AS w) FROM peig"
+for _name in ("pcov", "peig", "pload"):
+    VIEWS[_name] = VIEWS.pop(_name)
+
+
+def small_components(spark, sf_dir, count):
+    rows, _ = small_problem(spark, sf_dir)
+    return remember(spark, ("small_components", sf_dir, count), lambda: representation.fold_components(rows, [SMALL["two"]], OUTER, count))
+
+
+@query("m22_two_dimensions", f"""SELECT o AS fold, i::INT AS "inner", component::INT AS component, {q('variance', 6)} AS variance, {q('u', 5)} AS loading_x, {q('w', 5)} AS loading_z,
+    {q('mx', 6)} AS mean_x, {q('mz', 6)} AS mean_z FROM pload""")
+def m22_two(spark, sf_dir):
+    """Components of two columns under every training set; the oracle solves the 2 x 2 eigenproblem in closed form."""
+    rows = [(o, -1 if i is None else i, k, float(parts[0].variance[k]), float(parts[0].loadings[0, k]), float(parts[0].loadings[1, k]), *map(float, parts[0].mean))
+            for (o, i), parts in small_components(spark, sf_dir, 2).items() for k in (0, 1)]
+    names = {"variance": 6, "loading_x": 5, "loading_z": 5, "mean_x": 6, "mean_z": 6}
+    out = spark.createDataFrame(rows, "fold int, inner int, component int, " + ", ".join(f"{n} double" for n in names))
+    return out.select("fold", "inner", "component", *[snap(F.col(n), d).alias(n) for n, d in names.items()])
+
+
+@query("m23_two_dimensions", f"""SELECT item, zone, fold, {q('s', 5)} AS score, {q('sqrt((x * x + z * z) / 2)', 5)} AS distance, {q('sqrt(s * s / (variance + 0.1 * variance))', 5)} AS radius,
+    {q('sqrt(greatest(x * x + z * z - s * s, 0) / 2)', 4)} AS residual FROM (SELECT item, zone, fold, variance, word_length - mx AS x, log_frequency - mz AS z,
+        (word_length - mx) * u + (log_frequency - mz) * w AS s FROM sample JOIN pload ON o = fold AND i = -1 AND component = 0)""")
+def m23_two(spark, sf_dir):
+    """Held-out score and typicality under one component of two columns."""
+    rows, _ = small_problem(spark, sf_dir)
+    names, expand = representation.expansion(SMALL["two"], [], [SMALL["two"]], small_components(spark, sf_dir, 1), 1)
+    problem = nested.FittedProblem(names, None, OUTER, {}, SMALL["two"], expand)
+    models = {n: {o: dict(slope=[1.0], intercept=0.0, columns=[n]) for o in OUTER} for n in names}
+    out = nested.predict(rows.select(*KEYS, "fold", *[F.col(c).cast("double").alias(c) for c in SMALL["two"]]), problem, models, suffix="")
+    labels = dict(zip(names, ("score", "distance", "radius", "residual")))
+    return out.select(*KEYS, "fold", *[snap(F.col(n), 4 if label == "residual" else 5).alias(label) for n, label in labels.items()])
+
+
 @query("m22_fold_components")
 def m22(spark, sf_dir):
     rows = [(o, -1 if i is None else i, l, k, float(p.variance[k]), [float(v) for v in p.loadings[:, k]], [float(v) for v in p.mean])
