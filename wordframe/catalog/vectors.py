@@ -134,12 +134,24 @@ VIEWS["stacks"] = """SELECT item, zone, list(v ORDER BY layer) AS h, sum(pieces)
     GROUP BY item, zone HAVING count(*) = 7"""
 
 
-@query("a07_pooled_states", f"""SELECT item, zone, pieces, unnest(range(1, 8))::INT AS layer,
-    {q('unnest(list_transform(h, lambda v: list_sum(v)))')} AS total FROM stacks""")
+VIEWS["all_stacks"] = "SELECT item, zone, list(v ORDER BY layer) AS h, count(*) AS layers, sum(pieces)::BIGINT AS pieces FROM stack_layers GROUP BY item, zone"
+
+
+@query("a07_pooled_states", f"""SELECT item, zone, pieces, layers, unnest(range(1, len(h) + 1))::INT AS layer,
+    {q('unnest(list_transform(h, lambda v: list_sum(v)))')} AS total FROM all_stacks""")
 def a07(spark, sf_dir):
-    pooled = state_ops.pool(tables.layer_states(spark, sf_dir)).filter("layers = 7")
-    rows = pooled.select("item", "zone", "pieces", F.posexplode("h").alias("i", "v"))
-    return rows.select("item", "zone", "pieces", (F.col("i") + 1).alias("layer"), snap(vectors.total(F.col("v"))).alias("total"))
+    """Every region with the layers it has."""
+    pooled = state_ops.pool(tables.layer_states(spark, sf_dir))
+    rows = pooled.select("item", "zone", "pieces", "layers", F.posexplode("h").alias("i", "v"))
+    return rows.select("item", "zone", "pieces", "layers", (F.col("i") + 1).alias("layer"), snap(vectors.total(F.col("v"))).alias("total"))
+
+
+@query("a07_excluded_stacks", """SELECT item, zone, layers, concat_ws(';', CASE WHEN layers < 7 THEN 'missing_layer' END,
+    CASE WHEN len(list_filter(h[1:layers], lambda v: list_dot_product(v, v) = 0)) > 0 OR layers < 4 THEN 'undefined_profile' END) AS reasons
+    FROM all_stacks WHERE reasons <> ''""")
+def a07_excluded(spark, sf_dir):
+    """The regions that later steps leave out, counted with their reasons."""
+    return state_ops.excluded(state_ops.pool(tables.layer_states(spark, sf_dir)), 7)
 
 
 @query("x08_context_contrast", f"""SELECT s.item, s.zone, {q(_cos('s.h[7]', 't.v'))} AS context_cosine, {q(_rel('s.h[7]', 't.v'))} AS context_relative

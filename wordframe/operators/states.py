@@ -1,26 +1,32 @@
 """State tables: pooling pieces into region stacks, and relations between neighbouring regions."""
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from wordframe.functions import vectors
+from wordframe.functions.text import reason_text
 from wordframe.operators.ordered import lag_by_key
 
 
 def pool(states: DataFrame, keys=("item", "zone"), layer: str = "layer", vec: str = "vec") -> DataFrame:
     """Mean vector of the owned pieces at every layer, as one stack per region ordered by layer.
 
-    Dimensions are averaged as separate groups, so partial sums combine before the shuffle and no group
-    holds vectors of all pieces.
+    Partial means are whole vectors, combined before the shuffle, so one row per region, layer and task moves whatever
+    the width. A region keeps the layers it has; ``layers`` counts them and ``excluded`` names what is incomplete.
     """
-    means = (states.select(*keys, layer, F.posexplode(vec).alias("d", "x")).groupBy(*keys, layer, "d")
-             .agg(F.avg("x").alias("x"), F.count("*").alias("pieces")))
-    per_layer = means.groupBy(*keys, layer).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("d", "x"))), lambda s: s["x"]).alias("v"),
-        F.max("pieces").alias("pieces"))
-    return per_layer.groupBy(*keys).agg(
-        F.transform(F.sort_array(F.collect_list(F.struct(layer, "v"))), lambda s: s["v"]).alias("h"),
+    means = states.groupBy(*keys, layer).agg(Summarizer.mean(array_to_vector(F.col(vec))).alias("v"), F.count("*").alias("pieces"))
+    return means.groupBy(*keys).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct(layer, vector_to_array("v").alias("v")))), lambda s: s["v"]).alias("h"),
         F.count("*").alias("layers"), F.sum("pieces").alias("pieces"))
 
 
+def excluded(stacks: DataFrame, layers: int, keys=("item", "zone")) -> DataFrame:
+    """Regions whose stack cannot be used, with all reasons: a layer is missing, or a profile is undefined."""
+    marked = stacks.withColumn("reasons", reason_text({
+        "missing_layer": F.col("layers") < layers, "undefined_profile": vectors.undefined_stack(F.col("h"))}))
+    return marked.filter("reasons <> ''").select(*keys, "layers", "reasons")
+
+
 def trajectories(stacks: DataFrame) -> DataFrame:
     """Stack table with its two distance profiles and their summaries; undefined stacks have no profile."""
     h = F.col("h")

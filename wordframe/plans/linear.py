@@ -2,7 +2,7 @@
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wordframe.functions.numeric import ratio
+from wordframe.functions.numeric import finite, ratio
 from wordframe.functions.statistics import t_two_sided
 from wordframe.operators.moments import by_fold, cell_moments, centered, column_means, subset
 
@@ -64,11 +64,14 @@ def linear_prediction(columns: list[str], name: str):
 
 def apply_models(df: DataFrame, variants: dict[str, tuple[list[str], dict[int, dict]]], fold: str = "fold",
                  suffix: str = "_prediction") -> DataFrame:
-    """Held-out prediction of each row by the model of its fold, for all variants in one projection."""
+    """Held-out prediction of each row by the model of its fold, for all variants in one projection.
+
+    Every row stays. One whose fold has no model gets a null prediction; ``unpredicted`` lists such rows.
+    """
     spark = df.sparkSession
     keep = df.columns
     for name, (columns, fits) in variants.items():
-        df = df.join(F.broadcast(model_table(spark, fits, name, fold)), fold)
+        df = df.join(F.broadcast(model_table(spark, fits, name, fold)), fold, "left")
     return df.select(*keep, *[linear_prediction(columns, name).alias(f"{name}{suffix}")
                               for name, (columns, _) in variants.items()])
 
@@ -120,3 +123,13 @@ def metric_table(df: DataFrame, y: str, predictions: dict[str, str]) -> DataFram
         aggregates.append(F.struct(F.lit(v).alias("variant"), F.count(y).alias("n"), rmse.alias("rmse"),
                                    r2.alias("r2")))
     return df.agg(F.array(*aggregates).alias("rows")).select(F.inline("rows"))
+
+
+def unpredicted(df: DataFrame, keys: list[str], predictions: list[str]) -> DataFrame:
+    """Violations of held-out completeness: keys that occur more than once or lack a finite prediction, with the reason."""
+    bad = F.lit(False)
+    for p in predictions:
+        bad = bad | ~F.coalesce(finite(F.col(p)), F.lit(False))
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(bad).alias("bad"))
+    reason = F.concat_ws(";", F.when(F.col("n") > 1, "repeated"), F.when(F.col("bad") > 0, "no_prediction"))
+    return counts.filter("n > 1 OR bad > 0").select(*keys, reason.alias("reason"))
