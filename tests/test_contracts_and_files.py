@@ -126,3 +126,22 @@ def test_provenance_of_files_and_folders(spark, tmp_path):
     next((tmp_path / "parts").glob("part-*")).rename(tmp_path / "one.parquet")
     rows = {r.table: r for r in files.provenance(spark, str(tmp_path), {"many": ["id", "s"], "one": ["id", "s"]}, {"k": "v"}).collect()}
     assert rows["many"].n == 50 and rows["one"].n == 7 and rows["one"].files == 1 and rows["many"].files >= 4 and rows["many"].bytes > 0
+
+
+def test_cuts_are_released_and_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from wordframe import cluster
+    monkeypatch.setattr(cluster, "_CUTS", {})
+    monkeypatch.setattr(cluster, "_MEMO", {})
+    kept = cluster.shared(spark, ("numbers",), lambda: spark.range(5).toDF("id"))
+    path = cluster._CUTS[spark.sparkContext.applicationId][0]
+    assert kept.count() == 5 and cluster.shared(spark, ("numbers",), lambda: None) is kept
+    assert cluster.release(spark) == 1 and not cluster._MEMO
+    import os
+    assert not os.path.exists(path.removeprefix("file:"))
+
+    class Far:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077", "applicationId": "x",
+                                      "getConf": staticmethod(lambda: type("G", (), {"get": staticmethod(lambda *a: None)}))})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        cluster.checkpoint_root(Far())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOT = {}
 _MEMO = {}
+_CUTS = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -34,6 +35,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/wordframe-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,3 +53,18 @@ def remember(spark: SparkSession, key: tuple, build):
     if full not in _MEMO:
         _MEMO[full] = build()
     return _MEMO[full]
+
+
+def forget() -> None:
+    """Drop everything remembered, so that the next query starts from the tables; call it when a table changed."""
+    _MEMO.clear()
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the cuts that this application has written, on whatever file system they lie; results must be stored before."""
+    paths = _CUTS.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    forget()
+    return len(paths)
