@@ -18,7 +18,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     while True:
         near = (both.join(roots.select(F.col("node").alias("other"), F.col("root").alias("theirs")), "other")
                 .groupBy("node").agg(F.min("theirs").alias("theirs")))
-        lower = roots.join(near, "node").select("node", "root", F.least("root", "theirs").alias("next"))
+        # Written, so that both sides of the next join are dealt anew and a root that many nodes share can be split.
+        lower = cut(roots.join(near, "node").select("node", "root", F.least("root", "theirs").alias("next")))
         jump = lower.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
         after = cut(lower.join(jump, "next").select(
             "node", F.least("next", "beyond").alias("root"), (F.least("next", "beyond") < F.col("root")).alias("moved")))

@@ -12,7 +12,7 @@ from wordframe.llm.ranks import row_hash
 from wordframe.llm.words import mix, runs, text_buffer, words_of
 
 SHINGLE = 5         # words in a k-mer
-SKETCHES = 24       # bands: each holds the two smallest labelled k-mers in the sequence of the text
+SKETCHES = 32       # bands: each holds the two smallest labelled k-mers in the sequence of the text
 SIMILARITY = 0.8    # 1 - word edits / words of the longer text
 RATIO_OCTAVES = 0.5  # shift of the length classes between even and odd bands
 
@@ -254,11 +254,12 @@ def op2_order_minhash(spark, sf_dir):
     """Per document its class (smallest document of the class), the class's size and the links of its text."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found, links = classified(docs)
-    rows = found.select("doc_id", "_key", "_class")
+    rows = cut(found.select("doc_id", "_key", "_class"))
     ends = links.select(F.col("a").alias("_key")).unionByName(links.select(F.col("b").alias("_key")))
     degree = ends.groupBy("_key").agg(F.count("*").alias("n_links"))
-    names = rows.where("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("class_id"),
-                                                                     F.count("*").alias("class_size"))
+    # Written, so that a class that many rows share can be split between tasks of the join.
+    names = cut(rows.where("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("class_id"),
+                                                                         F.count("*").alias("class_size")))
     return (rows.join(names, "_class", "left").join(degree, "_key", "left")
             .select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"),
                     F.coalesce("class_size", F.lit(1)).alias("class_size"),
