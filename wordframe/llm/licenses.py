@@ -60,15 +60,37 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WRAPPED = r"\r?\n[ \t*#/%;-]*([a-z])"               # a line that goes on in small letters
 SENTENCE_END = r"[.?]+[^A-Za-z0-9\s]*\s+|[\r\n]+"
 NOT_WORD = "[^a-z0-9]+"
+MARKS = r"[ \t*#/%;-]*+"                            # indents and comment marks before a line
+# An empty line, unless an address follows, and the line before a list number.
+PARAGRAPH = rf"\r?\n{MARKS}\r?\n(?:{MARKS}\r?\n)*+{MARKS}(?!https?://)|\r?\n(?={MARKS}\(?[0-9]{{1,2}}[.)]\s)"
+LONG_END = r"[.?]+[^A-Za-z0-9\s]*\s+|\x00"          # lines are no ends here
+HEADINGS = 3                                        # lines without a full stop, such as a title, that may stand before a wrapped sentence
+NUMBER = "#"
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the sentences in their order; other sentences are ``-``, and a run of them is one."""
-    joined = F.regexp_replace(F.coalesce(text, F.lit("")), WRAPPED, " $1")
+    """Identifiers of the sentences in their order; other sentences are ``-``, those that are only a list number ``#``.
+
+    A sentence may go on over any lines of its paragraph, whatever their first letters are, if it is then a known one;
+    up to ``HEADINGS`` lines may stand before it. All else is taken apart by lines, unless they go on in small letters.
+    """
     known = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    plain = F.transform(F.split(joined, SENTENCE_END, -1),
-                        lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), NOT_WORD, " ")))
-    return F.transform(F.filter(plain, lambda s: s != ""), lambda s: F.coalesce(F.element_at(known, s), F.lit(UNKNOWN)))
+    plain = lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), NOT_WORD, " "))     # noqa: E731
+    found = lambda s: F.coalesce(F.element_at(known, plain(s)), F.element_at(known, F.regexp_replace(plain(s), "^[0-9]{1,2} ", "")))
+
+    def by_lines(s):
+        lines = F.filter(F.split(F.regexp_replace(s, WRAPPED, " $1"), r"[\r\n]+", -1), lambda x: plain(x) != "")
+        return F.transform(lines, lambda x: F.coalesce(found(x), F.when(F.regexp_like(plain(x), F.lit("^[0-9]{1,2}$")), F.lit(NUMBER)), F.lit(UNKNOWN)))
+
+    def ids(s):
+        out = by_lines(s)
+        for n in range(HEADINGS, 0, -1):
+            head, rest = F.regexp_extract(s, rf"^((?:[^\n]*\n){{{n}}})", 1), F.regexp_replace(s, rf"^(?:[^\n]*\n){{{n}}}", "")
+            out = F.when((head != "") & found(rest).isNotNull(), F.concat(by_lines(head), F.array(found(rest)))).otherwise(out)
+        return F.when(found(s).isNotNull(), F.array(found(s))).when(F.contains(s, F.lit("\n")), out).otherwise(by_lines(s))
+
+    parts = F.split(F.regexp_replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\x00"), F.lit(" ")), PARAGRAPH, "\x00"), LONG_END, -1)
+    return F.flatten(F.transform(F.filter(parts, lambda s: plain(s) != ""), ids))
 
 
 def scanned(df: DataFrame, text: str = "text") -> DataFrame:
@@ -76,14 +98,15 @@ def scanned(df: DataFrame, text: str = "text") -> DataFrame:
 
     ``sequence`` writes identifiers as ``<id>``, with ``<->`` for a stretch of other sentences. The rules are tried in
     their order; each takes all its occurrences, so a long rule wins over its parts. ``n_left`` counts known sentences
-    that no rule took. Missing and empty texts have no sentences and no licence; repeated rows get equal results;
+    that no rule took. List numbers count as sentences and part no known ones. Missing and empty texts have no sentences and no licence; repeated rows get equal results;
     input columns named like the result are replaced.
     """
     ids = df.drop("n_sentences", "n_known", "sequence", "licenses", "n_left").withColumn("_ids", sentence_ids(F.col(f"`{text}`")))
     wrapped = F.array_join(F.transform("_ids", lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     out = (ids.withColumn("n_sentences", F.size("_ids").cast("long"))
-           .withColumn("n_known", F.size(F.filter("_ids", lambda i: i != UNKNOWN)).cast("long"))
-           .withColumn("sequence", F.regexp_replace(wrapped, "(<->)+", "<->")).withColumn("_rest", F.col("sequence")))
+           .withColumn("n_known", F.size(F.filter("_ids", lambda i: ~i.isin(UNKNOWN, NUMBER))).cast("long"))
+           .withColumn("sequence", F.regexp_replace(F.replace(F.regexp_replace(
+               wrapped, f"(?<=[A-Za-z0-9]>)(<{NUMBER}>)+(?=<[A-Z])", ""), F.lit(f"<{NUMBER}>"), F.lit("<->")), "(<->)+", "<->")).withColumn("_rest", F.col("sequence")))
     found = []
     for i, (name, rule) in enumerate(RULES):
         pattern = "".join(f"<{s}>" for s in rule)
