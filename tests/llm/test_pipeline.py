@@ -100,6 +100,14 @@ def test_mixture_follows_the_schedule(spark, stages):
     assert {r["doc_id"] for r in stages["mixing"]} == want
 
 
+def test_mixing_stage_keeps_uneven_sources_whole(spark):
+    sizes = [6000, *[600] * 19, *[1, 3, 20, 150, 2000]]
+    rows = [(i, "t", "en", f"s{s}", 1) for s, n in enumerate(sizes) for i in range(n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r["source"]: r["count"] for r in corpus_pipeline.mix_sources(spark, docs, SF).groupBy("source").count().collect()}
+    assert kept == {f"s{s}": n for s, n in enumerate(sizes)}
+
+
 def test_shards_hold_all_rows(stages):
     rows = stages["sharding"]
     assert sorted(r["doc_id"] for r in rows) == sorted(r["doc_id"] for r in stages["mixing"])
