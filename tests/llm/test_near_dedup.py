@@ -100,6 +100,39 @@ def test_one_document_of_each_group_stays(spark):
     assert kept == sorted(first.values())
 
 
+def test_a_chain_does_not_depend_on_the_smallest_digest(spark):
+    """Neighbours of a chain are alike, others are not."""
+    rng = np.random.default_rng(4)
+    texts, truth = [], []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(100)]
+        for k in range(4):      # neighbours differ in 15 words, others in 30 or more
+            texts.append(" ".join(f"{w}x{i // 15}" if i < 15 * k else w for i, w in enumerate(base)))
+            truth.append(g)
+    order = rng.permutation(len(texts))
+    found, links = N.classified(frame(spark, [texts[i] for i in order]).repartition(4))
+    classes = {}
+    for r in found.collect():
+        classes.setdefault(bytes(r["_class"]), set()).add(truth[order[r["doc_id"]]])
+    assert len(classes) == 60 and all(len(c) == 1 for c in classes.values())
+
+
+def test_members_unlike_the_smallest_digest_are_compared(spark, monkeypatch):
+    """One bucket for all texts: every pair alike must be grouped, whatever its smallest digest is."""
+    monkeypatch.setattr(N, "_sketcher", lambda least: one_bucket)
+    texts = [" ".join(f"g{g}w{i}" + ("x" if i == c else "") for i in range(20)) for g in range(8) for c in range(3)]
+    found, _ = N.classified(frame(spark, texts))
+    classes = {r["doc_id"]: bytes(r["_class"]) for r in found.collect()}
+    assert all((classes[i] == classes[j]) == (i // 3 == j // 3) for i in classes for j in classes)
+
+
+def one_bucket(batches):
+    for batch in batches:
+        n = pa.array([len(t.split()) for t in batch.column("text").to_pylist()], pa.int64())
+        yield pa.record_batch([batch.column("key"), batch.column("owner"), n, pa.array([[1]] * len(batch), pa.list_(pa.int64())),
+                               pa.array([[0] * N.SIGNS] * len(batch), pa.list_(pa.int64()))], names=["key", "owner", "n_words", "buckets", "sign"])
+
+
 def test_odd_and_empty_tables(spark):
     odd = odd_documents(spark)
     found, _ = N.classified(odd)

@@ -1,9 +1,10 @@
 """Near-duplicates by Order MinHash, verified by banded alignment of words."""
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordframe.cluster import cut
@@ -13,26 +14,30 @@ from wordframe.llm.words import mix, runs, text_buffer, words_of
 
 SHINGLE = 5         # words in a k-mer
 SKETCHES = 32       # bands: each holds the two smallest labelled k-mers in the sequence of the text
+SHORT_SHINGLE = 2   # words in a k-mer of the bands for texts with many edits
+SHORT_SKETCHES = 0
+SHORT_TEXT = 0      # texts of so many words at most meet by what is left after deletions: no pair of them is missed
+SIGNS = 4           # longs of one-bit minima of 2-word k-mers, which refuse most unlike pairs of longer texts
+SIGMAS = 4          # deviations granted to them: of the pairs just at the similarity about 3 in 100,000 are refused
 SIMILARITY = 0.8    # 1 - word edits / words of the longer text
-RATIO_OCTAVES = 0.5  # shift of the length classes between even and odd bands
 
 _U = np.uint64
 _MULTIPLIERS = mix(np.arange(1, 65, dtype=np.uint64) * _U(0x9E3779B97F4A7C15)) | _U(1)
 
 
-def _labelled(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _labelled(hashes: np.ndarray, first: np.ndarray, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the occurrence-labelled k-mers of each text, and where each text's begin.
 
-    A text of one to four words is one k-mer.
+    A text of fewer than ``shingle`` words is one k-mer.
     """
     counts = np.diff(first)
-    grams = np.where(counts == 0, 0, np.maximum(1, counts - SHINGLE + 1))
+    grams = np.where(counts == 0, 0, np.maximum(1, counts - shingle + 1))
     start = np.concatenate([[0], np.cumsum(grams)])
     text = np.repeat(np.arange(len(counts)), grams)
     at = np.arange(start[-1]) - start[text] + first[text]
     end = first[1:][text]
     out = np.zeros(len(at), np.uint64)
-    for j in range(SHINGLE):
+    for j in range(shingle):
         there = at + j < end
         word = np.where(there, hashes[np.minimum(at + j, len(hashes) - 1)], _U(0))
         out = out * _U(0xD6E8FEB86659FD93) + word
@@ -48,9 +53,9 @@ def _labelled(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return mix(out + occurrence.astype(np.uint64) * _U(0xA0761D6478BD642F)), start
 
 
-def order_sketches(hashes: np.ndarray, first: np.ndarray, sketches: int = SKETCHES) -> np.ndarray:
+def order_sketches(hashes: np.ndarray, first: np.ndarray, sketches: int = SKETCHES, shingle: int = SHINGLE) -> np.ndarray:
     """One row per text, one 64-bit value per sketch: two smallest k-mers under the sketch's order, in text order."""
-    labelled, start = _labelled(hashes, first)
+    labelled, start = _labelled(hashes, first, shingle)
     full = np.flatnonzero(np.diff(start))
     out = np.zeros((len(first) - 1, sketches), np.uint64)
     if not len(full):
@@ -71,25 +76,81 @@ def order_sketches(hashes: np.ndarray, first: np.ndarray, sketches: int = SKETCH
     return out
 
 
-def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key, owner, text → key, owner, n_words, buckets. A bucket joins a sketch value with a class of lengths."""
-    for batch in batches:
-        data, offsets = text_buffer(batch.column("text"))
-        counts, values = [np.zeros(0, np.int64)], [np.zeros((0, SKETCHES), np.uint64)]
-        for lo, hi in runs(offsets):
-            words = words_of(data, offsets[lo:hi + 1])
-            counts.append(words.counts)
-            values.append(order_sketches(words.hashes, words.first))
-        n = np.concatenate(counts)
-        sketch = np.concatenate(values)
-        octave = np.log2(np.maximum(n, 1))
-        for j in range(SKETCHES):
-            kind = np.floor(octave + RATIO_OCTAVES * (j % 2)).astype(np.int64).astype(np.uint64)
-            sketch[:, j] = mix(sketch[:, j] + kind * _U(0x8CB92BA72F3D8DD7))
-        ends = np.concatenate([[0], np.cumsum(np.where(n > 0, SKETCHES, 0))]).astype(np.int32)
-        buckets = pa.ListArray.from_arrays(pa.array(ends), pa.array(sketch[n > 0].reshape(-1).view(np.int64)))
-        yield pa.record_batch([batch.column("key"), batch.column("owner"), pa.array(n), buckets],
-                              names=["key", "owner", "n_words", "buckets"])
+def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """One row of ``SIGNS`` longs per text: a bit of the smallest labelled 2-word k-mer in each of 64 * SIGNS ranges of hashes."""
+    labelled, start = _labelled(hashes, first, SHORT_SHINGLE)
+    bits = np.zeros((len(first) - 1, 64 * SIGNS), np.uint8)
+    for i in range(len(first) - 1):
+        h = np.sort(labelled[start[i]:start[i + 1]])
+        part = ((h >> _U(32)) * _U(64 * SIGNS) >> _U(32)).astype(np.int64)
+        least = np.concatenate([[True], part[1:] != part[:-1]])[:len(h)]
+        bits[i, part[least]] = (h[least] & _U(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def _agreeing(x: str, y: str, n: Column, least: float) -> Column:
+    """Whether the signatures may be those of a pair alike: an edit touches two k-mers of each text, and every k-mer
+    in one text only changes its bit with probability one half. Short texts are not refused."""
+    grams = 4 * (1 - least) * n
+    share = min(1.0, 4 * (1 - least) / (1 + 2 * (1 - least)))
+    unlike = F.least(grams, F.lit(64.0 * SIGNS * share))
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.sign")[i].bitwiseXOR(F.col(f"{y}.sign")[i])) for i in range(SIGNS)])
+    return (n <= SHORT_TEXT) | (differ <= unlike / 2 + SIGMAS * F.sqrt(unlike / 4) + 1)
+
+
+def _allowed(n: int, least: float) -> int:
+    """Most words to delete from a text of ``n`` so that it meets every text of ``SHORT_TEXT`` words at most with ``least``."""
+    longer = min(SHORT_TEXT, int(n / least + 1e-9)) if least > 0 else SHORT_TEXT
+    return min(n, int((1 - least) * max(n, longer) + 1e-9))
+
+
+def deletions(words: np.ndarray, most: int) -> list[int]:
+    """Hashes of the sequences left after up to ``most`` deletions.
+
+    Two texts within ``most`` edits share one: a replaced word is deleted from both, any other only from one.
+    """
+    found, layer = set(), {tuple(words.tolist())}
+    for k in range(most + 1):
+        found |= layer
+        layer = {t[:i] + t[i + 1:] for t in layer for i in range(len(t))} if k < most else ()
+    rest = np.array([len(t) for t in found], np.uint64)
+    wide = np.zeros((len(found), len(words)), np.uint64)
+    for row, t in zip(wide, found):
+        row[:len(t)] = t
+    for column in wide.T:
+        rest = rest * _U(0xD6E8FEB86659FD93) + column
+    return mix(mix(rest) + _U(0x8CB92BA72F3D8DD7)).view(np.int64).tolist()
+
+
+def _sketcher(least: float):
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """key, owner, text → key, owner, n_words, buckets (sketch values, and what deletions leave of a short text), sign."""
+        for batch in batches:
+            data, offsets = text_buffer(batch.column("text"))
+            counts, values, sizes, signs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, SIGNS), np.int64)]
+            for lo, hi in runs(offsets):
+                words = words_of(data, offsets[lo:hi + 1])
+                long, short = order_sketches(words.hashes, words.first), order_sketches(
+                    words.hashes, words.first, SHORT_SKETCHES, SHORT_SHINGLE) ^ _U(0x5851F42D4C957F2D)
+                both = np.hstack([long, short]).view(np.int64)
+                size = np.where(words.counts > 0, both.shape[1], 0)
+                extra = []
+                for i in np.flatnonzero((words.counts > 0) & (words.counts <= SHORT_TEXT)):
+                    some = deletions(words.hashes[words.first[i]:words.first[i + 1]], _allowed(int(words.counts[i]), least))
+                    extra.append((int(i), some))
+                at = np.concatenate([np.repeat(np.flatnonzero(size), both.shape[1]), *[np.full(len(x), i) for i, x in extra]])
+                flat = np.concatenate([both[size > 0].reshape(-1), *[np.array(x, np.int64) for _, x in extra]])
+                values.append(flat[np.argsort(at, kind="stable")])
+                counts.append(words.counts)
+                signs.append(signatures(words.hashes, words.first))
+                sizes.append(np.bincount(at.astype(np.int64), minlength=hi - lo))
+            ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+            buckets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
+            sign = np.concatenate(signs)
+            sign = pa.ListArray.from_arrays(pa.array(np.arange(len(sign) + 1, dtype=np.int32) * SIGNS), pa.array(sign.reshape(-1)))
+            yield pa.record_batch([batch.column("key"), batch.column("owner"), pa.array(np.concatenate(counts)), buckets, sign],
+                                  names=["key", "owner", "n_words", "buckets", "sign"])
+    return sketch
 
 
 def _reach(ha: np.ndarray, hb: np.ndarray, i: np.ndarray, j: np.ndarray, powers: np.ndarray) -> np.ndarray:
@@ -189,29 +250,50 @@ def _verifier(least: float):
     return verify
 
 
+def _verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
+    with_a = pairs.join(bodies.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(bodies.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
+    return cut(both.select("a", "b", "text_a", "text_b")
+               .mapInArrow(_verifier(least), "a binary, b binary, similarity double"))
+
+
 def near_links(docs: DataFrame, text: str, least: float = SIMILARITY) -> DataFrame:
     """``a, b, similarity``: verified links between different texts, named by their 128-bit digests.
 
-    In each bucket every text is compared with the bucket's smallest digest, so a bucket of n texts costs n - 1
-    comparisons and never n²; the bucket's minimum is taken before the shuffle. Texts that miss a partner in one
-    bucket meet it in the others. Lengths alone refuse a pair before its texts are fetched.
+    First every text is compared with the smallest digest of its bucket and half-octave of lengths, which groups most
+    copies with n - 1 comparisons for n texts. Then every pair that shares a bucket, whose lengths allow a link and
+    that is not yet in one group is compared, so no chain or group depends on that smallest digest: the connected
+    groups are those of all pairs that share a bucket. Pairs inside a group found first are not compared again, so the
+    links hold the groups together and are not all pairs alike. Signatures refuse pairs of the second step that are
+    far from alike, before their texts are fetched.
     """
     body = docs.select(F.unhex(F.md5(text)).alias("key"), row_hash(docs).alias("owner"),
                        F.col(f"`{text}`").alias("text")).where("text is not null")
-    sketches = cut(body.mapInArrow(_sketch_batches, "key binary, owner long, n_words long, buckets array<long>"))
+    sketches = cut(body.mapInArrow(_sketcher(least), "key binary, owner long, n_words long, buckets array<long>, sign array<long>"))
+    texts = sketches.groupBy("key").agg(F.min("owner").alias("owner"))
     rows = sketches.select("key", "n_words", F.explode("buckets").alias("bucket"))
-    least_key = (rows.groupBy("bucket").agg(F.min(F.struct("key", "n_words")).alias("rep"), F.max("key").alias("last"))
-                 .where("rep.key <> last").select("bucket", "rep"))
-    lengths = F.least("n_words", "rep.n_words") >= F.lit(least) * F.greatest("n_words", "rep.n_words") - 1e-9
-    pairs = cut(rows.join(least_key, "bucket").where((F.col("key") != F.col("rep.key")) & lengths)
-                .groupBy(F.col("key").alias("a"), F.col("rep.key").alias("b")).agg(F.count("*").alias("bands")))
-    ends = pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct()
-    owners = sketches.groupBy("key").agg(F.min("owner").alias("owner")).join(ends, "key", "left_semi")
-    bodies = cut(body.join(owners, ["key", "owner"], "left_semi").dropDuplicates(["key", "owner"]).select("key", "text"))
-    with_a = pairs.join(bodies.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(bodies.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    return cut(both.select("a", "b", "text_a", "text_b")
-               .mapInArrow(_verifier(least), "a binary, b binary, similarity double"))
+    # Only buckets of several texts: most hold one.
+    full = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket")
+    rows = cut(rows.join(full, "bucket").distinct().withColumn("kind", F.floor(2 * F.log2(F.col("n_words"))).cast("int")))
+    rep = rows.groupBy("bucket", "kind").agg(F.min(F.struct("key", "n_words")).alias("rep"))
+    fits = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9     # noqa: E731
+    pairs = cut(rows.join(rep, ["bucket", "kind"]).where((F.col("key") != F.col("rep.key")) & fits("n_words", "rep.n_words"))
+                .select(F.col("key").alias("a"), F.col("rep.key").alias("b")).distinct())
+    ends = rows.select("key").distinct()
+    bodies = cut(body.join(texts.join(ends, "key", "left_semi"), ["key", "owner"], "left_semi")
+                 .dropDuplicates(["key", "owner"]).select("key", "text"))
+    first = _verified(pairs, bodies, least)
+    roots = components(first, "a", "b").select(F.col("node").alias("key"), "root")
+    grouped = rows.join(roots, "key", "left").select("bucket", "key", "n_words", F.coalesce("root", "key").alias("root"))
+    several = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
+    signs = sketches.groupBy("key").agg(F.first("sign").alias("sign"))
+    left = cut(grouped.join(several, "bucket").join(signs, "key"))
+    x, y = left.alias("x"), left.alias("y")
+    others = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root"))
+                     & fits(F.col("x.n_words"), F.col("y.n_words"))
+                     & _agreeing("x", "y", F.greatest("x.n_words", "y.n_words"), least))
+              .select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct())
+    return cut(first.unionByName(_verified(cut(others.join(pairs, ["a", "b"], "left_anti")), bodies, least)))
 
 
 def near_classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -224,7 +306,7 @@ def classified(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -
     """The rows of ``docs`` with binary ``_class``, and the verified links.
 
     Equal texts, empty ones too, share a class, and so do texts joined by a chain of links. A missing text has no
-    class (null) and never a copy. Texts of fewer than five words are one k-mer, so only near copies of equal words meet.
+    class (null) and never a copy. Texts of fewer than five words allow no edit, so only those of equal words are near copies.
     """
     links, classes = near_classes(docs, text, least)
     keyed = docs.withColumn("_key", F.unhex(F.md5(F.col(f"`{text}`"))))
@@ -251,7 +333,10 @@ def deduplicated(docs: DataFrame, order: str = "doc_id", text: str = "text", lea
 
 
 def op2_order_minhash(spark, sf_dir):
-    """Per document its class (smallest document of the class), the class's size and the links of its text."""
+    """Per document its class (smallest document of the class), the class's size and ``n_links``.
+
+    ``n_links`` counts the verified links of its text that hold the class together, not all texts alike.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found, links = classified(docs)
     rows = cut(found.select("doc_id", "_key", "_class"))
