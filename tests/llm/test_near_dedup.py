@@ -133,6 +133,53 @@ def one_bucket(batches):
                                pa.array([[0] * N.SIGNS] * len(batch), pa.list_(pa.int64()))], names=["key", "owner", "n_words", "buckets", "sign"])
 
 
+def test_short_texts_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for g in range(60):
+        w = [f"a{rng.integers(400)}" for _ in range(rng.integers(3, N.SHORT_TEXT - 1))]
+        texts.append(" ".join(w))
+        for _ in range(int(rng.integers(1, 3))):
+            i, kind = int(rng.integers(len(w))), int(rng.integers(3))
+            w = w[:i] + ([] if kind == 0 else [f"b{rng.integers(400)}"]) + w[i + (kind < 2):]
+            texts.append(" ".join(w))
+    texts = sorted({t for t in texts if t})
+    parent = list(range(len(texts)))
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    n = 0
+    for i, t in enumerate(texts):
+        for j in range(i):
+            a, b = t.split(), texts[j].split()
+            if max(len(a), len(b)) <= N.SHORT_TEXT and edits(a, b) <= 0.2 * max(len(a), len(b)) + 1e-9:
+                parent[root(i)] = root(j)
+                n += 1
+    found, _ = N.classified(frame(spark, texts))
+    classes = {r["doc_id"]: bytes(r["_class"]) for r in found.collect()}
+    assert n > 40
+    for i in range(len(texts)):
+        for j in range(i):
+            assert (classes[i] == classes[j]) == (root(i) == root(j)), (texts[i], texts[j])
+
+
+def test_pairs_near_the_threshold_are_found(spark):
+    """300 words, 19 % replaced at random places; lengths on both sides of a power of two."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for g in range(150):
+        n = 300 if g % 2 else 256
+        w = [f"g{g}w{i}" for i in range(n)]
+        v = list(w)
+        for i in rng.choice(n, int(0.19 * n) - 1, replace=False):
+            v[i] = f"new{g}x{i}"
+        texts += [" ".join(w), " ".join(v if g % 2 else v[1:])]
+    found, _ = N.classified(frame(spark, texts))
+    classes = {r["doc_id"]: bytes(r["_class"]) for r in found.collect()}
+    assert sum(classes[2 * g] == classes[2 * g + 1] for g in range(150)) >= 147
+
+
 def test_odd_and_empty_tables(spark):
     odd = odd_documents(spark)
     found, _ = N.classified(odd)

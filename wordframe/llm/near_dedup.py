@@ -15,8 +15,8 @@ from wordframe.llm.words import mix, runs, text_buffer, words_of
 SHINGLE = 5         # words in a k-mer
 SKETCHES = 32       # bands: each holds the two smallest labelled k-mers in the sequence of the text
 SHORT_SHINGLE = 2   # words in a k-mer of the bands for texts with many edits
-SHORT_SKETCHES = 0
-SHORT_TEXT = 0      # texts of so many words at most meet by what is left after deletions: no pair of them is missed
+SHORT_SKETCHES = 16
+SHORT_TEXT = 14     # texts of so many words at most meet by what is left after deletions: no pair of them is missed
 SIGNS = 4           # longs of one-bit minima of 2-word k-mers, which refuse most unlike pairs of longer texts
 SIGMAS = 4          # deviations granted to them: of the pairs just at the similarity about 3 in 100,000 are refused
 SIMILARITY = 0.8    # 1 - word edits / words of the longer text
