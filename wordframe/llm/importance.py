@@ -131,7 +131,8 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER,
-             buckets: int = BUCKETS, min_words: int = MIN_WORDS, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
+             buckets: int = BUCKETS, min_words: int = MIN_WORDS, percent: int = PERCENT, seed: int = SEED,
+             keep: list[str] | None = None) -> DataFrame:
     """Add ``n_words``, ``n_features``, ``weight``, ``score`` and ``rank`` to all rows of ``docs``; drawn rows have a rank.
 
     Weight is the importance of the text for the distribution of the n-grams of ``target`` against that of ``docs``,
@@ -139,11 +140,12 @@ def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: s
     floor(``percent`` / 100) part of the rows with at least ``min_words`` words; equal scores go by smaller id, rows
     equal in both by any order. A missing id comes last among equal scores, a missing text has weight 0 and no words.
     Repeated rows are rows of their own. Input columns with one of the five names are replaced. Without target texts
-    every bucket has the same target share; an empty table gives no rows.
+    every bucket has the same target share; an empty table gives no rows. The rows are written twice while they are
+    ranked, so ``keep`` names the input columns that are wanted, the id among them; without it all stay.
     """
     gain = gains(bucket_counts(docs, text, order, buckets), bucket_counts(target, text, order, buckets))
     rows = weighed(docs, gain, text, order)
-    names = [c for c in rows.columns if c not in ("score", "rank")]
+    names = [c for c in rows.columns if c not in ("score", "rank") and (keep is None or c in (*keep, "n_words", "n_features", "weight"))]
     tie = f"tie_{uuid.uuid4().hex[:8]}"                         # lets many equal rows be dealt to many ranges
     rows = cut(rows.select(*[F.col(f"`{c}`") for c in names], (F.col("weight") + gumbel(F.col(f"`{doc_id}`"), seed)).alias("score"),
                            F.monotonically_increasing_id().alias(tie)))
@@ -157,7 +159,7 @@ def resample(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: s
 
 def op13_batch_resampling(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    scored = resample(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    scored = resample(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["doc_id"])
     return scored.select("doc_id", "n_features", "weight", "score", "rank")
 
 
