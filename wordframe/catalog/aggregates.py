@@ -3,10 +3,13 @@ from pyspark.sql import functions as F
 
 from wordframe.catalog.contracts import VIEWS, both_predictions, joined
 from wordframe.catalog.registry import q, query
+from wordframe.cluster import cut
 from wordframe.functions import text
+from wordframe.functions.basis import KNOT_PROBS
 from wordframe.functions.numeric import ratio, snap
 from wordframe.operators import ordered
-from wordframe.operators.ranking import exact_quantiles
+from wordframe.operators.ranking import assign_inner_folds, exact_quantiles
+from wordframe.operators.selection import nested_sets, selected
 from wordframe.plans import compare, correlation, linear, reading
 from wordframe.sources import tables
 
@@ -142,6 +145,36 @@ def a14(spark, sf_dir):
                     *[snap(F.col("quantiles")[i]).alias(n) for i, n in enumerate(("p05", "median", "p95"))])
 
 
+_PRICE = "l_extendedprice * (1 - l_discount)"
+
+
+@query("a11_order_statistics", f"""SELECT r::BIGINT AS rank, v[r + 1] AS value FROM (SELECT list(v ORDER BY v) AS v, count(*) AS n FROM (SELECT {_PRICE} AS v FROM lineitem)),
+    LATERAL (SELECT unnest([0, 1, n // 3, n // 2, n - 2, n - 1]) AS r)""")
+def a11_ranks(spark, sf_dir):
+    """Net prices at given ranks, found digit by digit without ordering the rows."""
+    rows = tables.table(spark, sf_dir, "lineitem").select(F.expr(_PRICE).alias("v"))
+    n = rows.count()
+    ranks = [0, 1, n // 3, n // 2, n - 2, n - 1]
+    _, values = selected(rows, ["v"], ranks=ranks)[None, "v"]
+    return spark.createDataFrame(list(zip(ranks, values)), "rank bigint, value double")
+
+
+_KNOTS = ", ".join(f"{q(f'quantile_cont(x, {p})')} AS k{i}" for i, p in enumerate(KNOT_PROBS))
+VIEWS["nested_sets"] = """SELECT a.item, a.zone, a.outer_fold, i.inner_fold FROM inner_folds a, (SELECT unnest(range(-1, 5))::INT AS inner_fold) i
+    WHERE a.inner_fold <> i.inner_fold"""
+
+
+@query("m14_training_knots", " UNION ALL ".join(f"""SELECT t.outer_fold, t.inner_fold, '{c}' AS feature, count(*) AS n, {_KNOTS}
+    FROM nested_sets t JOIN (SELECT item, zone, {c}::DOUBLE AS x FROM sample) s USING (item, zone) GROUP BY t.outer_fold, t.inner_fold""" for c in _FEATURES))
+def m14_knots(spark, sf_dir):
+    """Spline knots of each feature under all 60 training sets (inner fold -1: the refit), from one set of counts."""
+    rows = cut(assign_inner_folds(reading.sample(spark, sf_dir), KEYS, FOLDS))
+    found = selected(rows, _FEATURES, KNOT_PROBS, **nested_sets(FOLDS, 5))
+    table = [(o, -1 if i is None else i, c, n, *values) for ((o, i), c), (n, values) in found.items()]
+    out = spark.createDataFrame(table, "outer_fold int, inner_fold int, feature string, n bigint, " + ", ".join(f"k{i} double" for i in range(len(KNOT_PROBS))))
+    return out.select("outer_fold", "inner_fold", "feature", "n", *[snap(F.col(f"k{i}")).alias(f"k{i}") for i in range(len(KNOT_PROBS))])
+
+
 VIEWS["train_corr"] = """SELECT o.f AS fold, abs(corr(log_frequency, word_length)) AS fw, abs(corr(prev_log_frequency, word_length)) AS pw, abs(corr(log_frequency, prev_log_frequency)) AS fp,
     abs(corr(log_frequency, prev_word_length)) AS fl, abs(corr(prev_log_frequency, prev_word_length)) AS pl
     FROM sample s JOIN (SELECT unnest(range(0, 10))::INT AS f) o ON s.fold <> o.f GROUP BY o.f"""
@@ -170,22 +203,29 @@ def a16(spark, sf_dir):
     return t.select("variant", snap(F.col("net_gain"), 0).alias("net_gain"), snap(F.col("top_share")).alias("top_share"))
 
 
-VIEWS["med"] = """SELECT o.f AS fold, quantile_cont(word_length::DOUBLE, 0.5) AS ml, quantile_cont(log_frequency, 0.5) AS mf FROM sample s
-    JOIN (SELECT unnest(range(0, 10))::INT AS f) o ON s.fold <> o.f GROUP BY o.f"""
-VIEWS["masked"] = """SELECT h.y, h.controls_prediction AS b, h.full_prediction AS a, unnest(['length', 'frequency', 'letter_a']) AS "group",
-    unnest([s.word_length > ml, s.log_frequency > mf, contains(s.word, 'a')]) AS level FROM heldout h JOIN sample s USING (item, zone) JOIN med ON med.fold = h.fold"""
+VIEWS["scored_sample"] = "SELECT s.*, c.surprisal, c.n_bpe FROM sample s JOIN scores c USING (item, zone)"
+VIEWS["med"] = """SELECT o.f AS fold, quantile_cont(word_length::DOUBLE, 0.5) AS ml, quantile_cont(log_frequency, 0.5) AS mf, quantile_cont(surprisal, 0.5) AS ms
+    FROM scored_sample s JOIN (SELECT unnest(range(0, 10))::INT AS f) o ON s.fold <> o.f GROUP BY o.f"""
+VIEWS["masked"] = """SELECT h.y, h.controls_prediction AS b, h.full_prediction AS a,
+    unnest(['single_piece', 'punctuation', 'above_train_median_length', 'above_train_median_frequency', 'above_train_median_surprisal']) AS "group",
+    unnest([s.n_bpe = 1, regexp_matches(s.word, '[,.!?;:]'), s.word_length > ml, s.log_frequency > mf, s.surprisal > ms]) AS level
+    FROM heldout h JOIN scored_sample s USING (item, zone) JOIN med ON med.fold = h.fold"""
 
 
 @query("a17_subgroups", f"""SELECT "group", level, 'full' AS variant, count(*) AS n, {q('sqrt(avg((y - b) ** 2))')} AS baseline_rmse, {q('sqrt(avg((y - a) ** 2))')} AS rmse,
-    {q('sqrt(avg((y - b) ** 2)) - sqrt(avg((y - a) ** 2))')} AS improvement FROM masked GROUP BY "group", level""")
+    {q('sqrt(avg((y - b) ** 2)) - sqrt(avg((y - a) ** 2))')} AS improvement,
+    {q('100 * (sqrt(avg((y - b) ** 2)) - sqrt(avg((y - a) ** 2))) / sqrt(avg((y - b) ** 2))')} AS improvement_percent FROM masked GROUP BY "group", level""")
 def a17(spark, sf_dir):
-    rows = both_predictions(spark, sf_dir)
-    medians = compare.training_medians(rows, ["word_length", "log_frequency"], FOLDS)
+    """Errors inside and outside five groups of regions; medians are those of the training rows of each region's fold."""
+    scores = reading.scores(spark, sf_dir).select(*KEYS, "surprisal", "n_bpe")
+    rows = both_predictions(spark, sf_dir).join(scores, KEYS)
+    columns = {"length": "word_length", "frequency": "log_frequency", "surprisal": "surprisal"}
+    medians = compare.training_medians(rows, list(columns.values()), FOLDS)
     marked = rows.join(F.broadcast(medians), "fold")      # one row per fold
     t = compare.subgroups(marked, "mean_rt", "controls_prediction", {"full": "full_prediction"}, {
-        "length": F.col("word_length") > F.col("median_word_length"),
-        "frequency": F.col("log_frequency") > F.col("median_log_frequency"), "letter_a": F.col("word").contains("a")})
-    return t.select("group", "level", "variant", "n", *[snap(F.col(c)).alias(c) for c in ("baseline_rmse", "rmse", "improvement")])
+        "single_piece": F.col("n_bpe") == 1, "punctuation": F.col("word").rlike("[,.!?;:]"),
+        **{f"above_train_median_{n}": F.col(c) > F.col(f"median_{c}") for n, c in columns.items()}})
+    return t.select("group", "level", "variant", "n", *[snap(F.col(c)).alias(c) for c in ("baseline_rmse", "rmse", "improvement", "improvement_percent")])
 
 
 VIEWS["quart"] = "SELECT quantile_cont(abs(residual), 0.25) AS lo, quantile_cont(abs(residual), 0.75) AS hi FROM joined"
@@ -211,10 +251,10 @@ def a19(spark, sf_dir):
 @query("a19_third_distributions", " UNION ALL ".join(f"SELECT '{t}' AS third, " + ", ".join(
     f"{q(f'quantile_cont({t}_mean_cosine, {p})')} AS q{i}" for i, p in enumerate((0, .25, .5, .75, 1))) + " FROM joined" for t in ("early", "middle", "late")))
 def a19_thirds(spark, sf_dir):
-    rows = joined(spark, sf_dir).select(F.inline(F.array(*[F.struct(F.lit(t).alias("third"), F.col(f"{t}_mean_cosine").alias("v"))
-                                                           for t in ("early", "middle", "late")])))
-    out = exact_quantiles(rows, ["third"], "v", [0, .25, .5, .75, 1])
-    return out.select("third", *[snap(F.col("quantiles")[i]).alias(f"q{i}") for i in range(5)])
+    found = selected(joined(spark, sf_dir), [f"{t}_mean_cosine" for t in ("early", "middle", "late")], [0, .25, .5, .75, 1])
+    rows = [(c.removesuffix("_mean_cosine"), *values) for (_, c), (_, values) in found.items()]
+    out = spark.createDataFrame(rows, "third string, " + ", ".join(f"q{i} double" for i in range(5)))
+    return out.select("third", *[snap(F.col(f"q{i}")).alias(f"q{i}") for i in range(5)])
 
 
 @query("a19_trend_line", f"SELECT {q('regr_slope(y, log_frequency)', 3)} AS slope, {q('regr_intercept(y, log_frequency)', 3)} AS intercept FROM heldout JOIN sample USING (item, zone)")

@@ -9,6 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wordframe.cluster import cut
+from wordframe.operators.selection import selected
 
 PREFIX_DIGITS = 3            # 4096 buckets per refinement of a hash prefix
 COLLECT_LIMIT = 200_000      # hashes brought to the driver once a prefix is this rare
@@ -158,8 +159,13 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
                     buckets: int = 256, ranks: list[int] | None = None) -> DataFrame:
     """Linearly interpolated quantiles: ``groups``, ``n``, ``quantiles`` (one per entry of ``probs``).
 
-    With ``ranks`` (0-based) the values at those ranks instead. Each wanted rank is first located in a histogram; only the value counts of those buckets are ordered.
+    With ``ranks`` (0-based) the values at those ranks instead. Without ``groups`` the values are found digit by digit
+    (``selection.selected``). Groups can be many, so their wanted ranks stay a table: each is located in a histogram and
+    only the value counts of its bucket are ordered.
     """
+    if not groups:
+        found = [(n, v) for n, v in selected(df, [value], probs, ranks).values()]
+        return df.sparkSession.createDataFrame(found, "n bigint, quantiles array<double>")
     rows = bucketed(df.select(*groups, F.col(value).cast("double").alias("_v")), "_v", splits_for(
         df.select(F.col(value).cast("double").alias("_v")), "_v", buckets))
     by_bucket = rows.groupBy(*groups, "_bucket").agg(F.count("*").alias("_c"))
@@ -174,7 +180,7 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
           .select(*groups, "_bucket", "n", "_i", "_at", "_rank", (F.col("_rank") - F.col("_before")).alias("_local")))
     # A wanted bucket may still hold one very frequent value: count values before ordering them.
     wanted = at.select(*groups, "_bucket").distinct()
-    counts = (rows.join(F.broadcast(wanted) if not groups else wanted, [*groups, "_bucket"], "left_semi")
+    counts = (rows.join(wanted, [*groups, "_bucket"], "left_semi")
               .groupBy(*groups, "_bucket", "_v").agg(F.count("*").alias("_m")))
     inside = Window.partitionBy(*groups, "_bucket").orderBy("_v")
     placed = counts.select(*groups, "_bucket", "_v", "_m", F.sum("_m").over(inside).alias("_upto"))

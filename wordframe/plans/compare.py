@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from wordframe.functions.numeric import ratio, safe_corr
 from wordframe.operators.ranking import exact_quantiles
+from wordframe.operators.selection import fold_sets, selected
 
 PROFILE = [0.5, 0.05, 0.95]
 
@@ -96,19 +97,11 @@ def concentration(df: DataFrame, y: str, baseline: str, variants: dict[str, str]
                         .alias("top_share"))
 
 
-def training_rows(df: DataFrame, folds: list[int], fold: str = "fold") -> DataFrame:
-    """Each row once for every outer fold that trains on it, as column ``outer``."""
-    outer = F.array(*[F.lit(f) for f in folds])
-    return df.select("*", F.explode(F.filter(outer, lambda o: o != F.col(fold))).alias("outer"))
-
-
 def training_medians(df: DataFrame, columns: list[str], folds: list[int], fold: str = "fold") -> DataFrame:
-    """Median of each column over the rows outside each fold: one row per fold."""
-    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
-    rows = training_rows(df.select(fold, F.inline(cells)), folds, fold)
-    medians = exact_quantiles(rows, ["outer", "c"], "v", [0.5], buckets=128 * len(columns))
-    return medians.groupBy(F.col("outer").alias(fold)).agg(*[
-        F.max(F.when(F.col("c") == c, F.col("quantiles")[0])).alias(f"median_{c}") for c in columns])
+    """Median of each column over the rows outside each fold: one row per fold. A column without values there has null."""
+    found = selected(df, columns, [0.5], **fold_sets(folds, fold))
+    rows = [(f, *[found[f, c][1][0] if (f, c) in found else None for c in columns]) for f in folds]
+    return df.sparkSession.createDataFrame(rows, ", ".join([f"{fold} int", *[f"median_{c} double" for c in columns]]))
 
 
 def subgroups(df: DataFrame, y: str, baseline: str, variants: dict[str, str], masks: dict[str, Column]) -> DataFrame:
@@ -119,17 +112,28 @@ def subgroups(df: DataFrame, y: str, baseline: str, variants: dict[str, str], ma
                                rmse(F.col(y), F.col(baseline)).alias("baseline_rmse"), rmse(F.col(y), F.col(p)).alias("rmse"))
                       for v, p in variants.items()])
     out = rows.groupBy("group", "level").agg(cells.alias("cells")).select("group", "level", F.inline("cells"))
-    return out.withColumn("improvement", F.col("baseline_rmse") - F.col("rmse"))
+    gain = F.col("baseline_rmse") - F.col("rmse")
+    return out.withColumn("improvement", gain).withColumn("improvement_percent", ratio(100 * gain, F.col("baseline_rmse")))
 
 
 def training_diagnostics(df: DataFrame, columns: list[str], folds: list[int], probs: list[float], fold: str = "fold") -> DataFrame:
-    """Distribution of each feature over the training rows of each fold."""
+    """Distribution of each feature over the training rows of each fold; without values there it has no row.
+
+    Every row is read into the counts and moments of its own fold; a training set is put together from the other folds'.
+    """
     cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c in columns])
-    rows = training_rows(df.select(fold, F.inline(cells)), folds, fold)
-    moments = rows.groupBy("feature", "outer").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"),
-                                                   F.min("value").alias("minimum"), F.max("value").alias("maximum"))
-    quantiles = exact_quantiles(rows, ["feature", "outer"], "value", probs, buckets=128 * len(columns))
-    return moments.join(quantiles, ["feature", "outer"]).withColumnRenamed("outer", "fold")
+    own = df.select(fold, F.inline(cells)).groupBy("feature", fold).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"),
+        F.min("value").alias("minimum"), F.max("value").alias("maximum")).collect()          # folds x columns rows
+    quantiles = selected(df, columns, probs, **fold_sets(folds, fold))
+    rows = []
+    for (f, c), (n, values) in quantiles.items():
+        parts = [r for r in own if r["feature"] == c and r[fold] != f and r["n"]]
+        mean = sum(r["n"] * r["mean"] for r in parts) / n
+        variance = sum(r["n"] * (r["variance"] + (r["mean"] - mean) ** 2) for r in parts) / n
+        rows.append((c, f, mean, math.sqrt(variance), min(r["minimum"] for r in parts), max(r["maximum"] for r in parts), n, values))
+    return df.sparkSession.createDataFrame(rows, "feature string, fold int, mean double, sd double, minimum double, maximum double, "
+                                                 "n bigint, quantiles array<double>")
 
 
 def training_correlations(moments: dict, names: list[str], controls: list[str], families: dict[str, list[str]]) -> list[tuple]:

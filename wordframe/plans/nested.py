@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wordframe.functions.basis import KNOT_PROBS, spline_batch
 from wordframe.operators.moments import by_inner_fold, cell_moments, centered, column_means, subset
-from wordframe.operators.ranking import exact_quantiles
+from wordframe.operators.selection import nested_sets, selected
 from wordframe.plans.linear import apply_models
 
 ALPHAS = np.logspace(-4, 4, 25)
@@ -182,17 +182,10 @@ def training_sets(outer: list[int]) -> list[tuple[int, int | None]]:
 def set_knots(df: DataFrame, columns: list[str], outer: list[int], fold: str = "fold", inner: str = "inner") -> dict:
     """Quantile knots of each column under every training set: {(outer, inner): [knots per column]}.
 
-    All columns and sets go through one selection; what is collected is one row per (set, column).
+    One selection over counts serves all columns and sets: no row is copied for the sets that it trains.
     """
-    sets = training_sets(outer)
-    member = F.array(*[F.when((F.col(fold) != o) & (F.lit(True) if i is None else F.col(inner)[outer.index(o)] != i), F.lit(k))
-                       for k, (o, i) in enumerate(sets)])
-    cells = F.array(*[F.struct(F.lit(j).alias("c"), F.col(c).cast("double").alias("v")) for j, c in enumerate(columns)])
-    rows = df.select(F.filter(member, lambda m: m.isNotNull()).alias("sets"), F.inline(cells)).select(
-        "c", "v", F.explode("sets").alias("set"))
-    found = {(r["set"], r["c"]): [float(v) for v in r["quantiles"]]
-             for r in exact_quantiles(rows, ["set", "c"], "v", KNOT_PROBS, buckets=128 * len(columns)).collect()}
-    return {s: [found[k, j] for j in range(len(columns))] for k, s in enumerate(sets)}
+    found = selected(df, columns, KNOT_PROBS, **nested_sets(outer, INNER, fold, inner))
+    return {s: [found[s, c][1] for c in columns] for s in training_sets(outer)}
 
 
 def spline_names(column: str) -> list[str]:
