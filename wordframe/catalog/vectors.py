@@ -126,7 +126,6 @@ def x07(spark, sf_dir):
     return tables.states(spark, sf_dir).select("vec_id", *rounded(vectors.norm_dynamics(F.col("h"))))
 
 
-# The truncated states: the pooled stack of a region from its first four layers only, final state kept.
 VIEWS["stack_dims"] = """SELECT item, zone, layer, unnest(range(1, 5)) AS d, unnest(vec) AS x FROM layer_states"""
 VIEWS["stack_means"] = "SELECT item, zone, layer, d, avg(x) AS x, count(*) AS pieces FROM stack_dims GROUP BY ALL"
 VIEWS["stack_layers"] = "SELECT item, zone, layer, list(x ORDER BY d) AS v, max(pieces) AS pieces FROM stack_means GROUP BY ALL"
@@ -154,14 +153,44 @@ def a07_excluded(spark, sf_dir):
     return state_ops.excluded(state_ops.pool(tables.layer_states(spark, sf_dir)), 7)
 
 
-@query("x08_context_contrast", f"""SELECT s.item, s.zone, {q(_cos('s.h[7]', 't.v'))} AS context_cosine, {q(_rel('s.h[7]', 't.v'))} AS context_relative
-    FROM stacks s JOIN stack_layers t ON s.item = t.item AND s.zone = t.zone AND t.layer = 4""")
+def _context_views(name: str, pieces: str) -> None:
+    """Views of pieces in order, their scoring windows as a loop makes them, and the truncated contexts of regions."""
+    order = ", ".join(tables.PIECE_ORDER)
+    VIEWS[f"{name}_rows"] = f"""SELECT l_partkey // 100 + 1 AS item, l_partkey % 100 + 1 AS zone,
+        row_number() OVER (PARTITION BY l_partkey // 100 ORDER BY l_partkey % 100, {order}) - 1 AS idx,
+        [l_quantity / 10, l_discount * 50, l_tax * 50, dayofyear(l_shipdate)::DOUBLE / 50] AS vec FROM lineitem {pieces}"""
+    VIEWS[f"{name}_first"] = f"""SELECT item, zone, min(idx) AS first, max(idx) + 1 AS stop, (sum(count(*)) OVER (PARTITION BY item))::BIGINT AS n
+        FROM {name}_rows GROUP BY item, zone"""
+    VIEWS[f"{name}_windows"] = f"""SELECT item, n, greatest(0, least(n, e) - 1024) AS w_begin, least(n, e) AS w_end, t AS target_start FROM (
+        SELECT item, n, 1 AS t, 1024 AS e FROM (SELECT DISTINCT item, n FROM {name}_first) UNION ALL
+        SELECT item, n, 1024 + 256 * unnest(range(0, (greatest(n - 1024, 0) + 255) // 256)), 1280 + 256 * unnest(range(0, (greatest(n - 1024, 0) + 255) // 256))
+        FROM (SELECT DISTINCT item, n FROM {name}_first))"""
+    VIEWS[f"{name}_ranges"] = f"""SELECT f.item, f.zone, k AS "limit", CASE WHEN k < 0 THEN w_begin ELSE greatest(w_begin, first - k) END::BIGINT AS "start", stop::BIGINT AS stop
+        FROM {name}_first f JOIN {name}_windows s ON f.item = s.item AND greatest(f.first, 1) >= s.target_start AND greatest(f.first, 1) < greatest(s.w_end, 2),
+        (SELECT unnest([-1, 0, 16, 64])::INT AS k)"""
+    VIEWS[f"{name}_means"] = f"""SELECT r.item, r.zone, r."limit", r."start", r.stop, [avg(vec[1]), avg(vec[2]), avg(vec[3]), avg(vec[4])] AS v
+        FROM {name}_ranges r JOIN {name}_rows p ON p.item = r.item AND p.idx >= r."start" AND p.idx < r.stop GROUP BY ALL"""
+
+
+_context_views("pieces_all", "")
+_context_views("pieces_final", "WHERE l_linenumber = 7")
+_LIMITS = (0, 16, 64)
+
+
+@query("w09_context_means", f"""SELECT item, zone, "limit", "start", stop, {", ".join(f"{q(f'v[{d}]')} AS v{d}" for d in range(1, 5))} FROM pieces_all_means""")
+def w09_means(spark, sf_dir):
+    """Mean vector of each region's pieces with the last 0, 16 and 64 pieces before it and with its whole scoring window (-1)."""
+    means = state_ops.context_means(tables.piece_states(spark, sf_dir), _LIMITS)
+    return means.select("item", "zone", "limit", "start", "stop", *[snap(F.col("mean")[d - 1]).alias(f"v{d}") for d in range(1, 5)])
+
+
+@query("x08_context_contrast", "SELECT f.item, f.zone, " + ", ".join(
+    f"{q(e(f'f.v', f'm{k}.v'))} AS context{k}_{n}" for k in _LIMITS for n, e in (("cosine", _cos), ("relative", _rel))) + " FROM pieces_final_means f " + " ".join(
+    f"""JOIN pieces_final_means m{k} ON m{k}.item = f.item AND m{k}.zone = f.zone AND m{k}."limit" = {k}""" for k in _LIMITS) + ' WHERE f."limit" = -1')
 def x08(spark, sf_dir):
-    pooled = reading.stacks(spark, sf_dir)
-    full = pooled.select("item", "zone", vectors.at(F.col("h"), F.lit(6)).alias("v"))
-    short = pooled.select("item", "zone", vectors.at(F.col("h"), F.lit(3)).alias("v"))
-    out = state_ops.context_contrast(full, short, ["item", "zone"])
-    return out.select("item", "zone", *rounded({c: F.col(c) for c in ("context_cosine", "context_relative")}))
+    """The final state in the whole window against the states in shorter contexts."""
+    out = state_ops.context_contrast(tables.piece_states(spark, sf_dir, 7), _LIMITS)
+    return out.select("item", "zone", *rounded({c: F.col(c) for c in out.columns if c.startswith("context")}))
 
 
 _DEPTH = {0: 3, 1: 5, 2: 7}

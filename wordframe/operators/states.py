@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 from wordframe.functions import vectors
 from wordframe.functions.text import reason_text
 from wordframe.operators.ordered import lag_by_key
+from wordframe.operators.ranges import BLOCK, range_means
+from wordframe.operators.spans import window_of
 
 
 def pool(states: DataFrame, keys=("item", "zone"), layer: str = "layer", vec: str = "vec") -> DataFrame:
@@ -42,11 +44,36 @@ def flatten_profiles(df: DataFrame, blocks: int) -> DataFrame:
                             for i in range(blocks)])
 
 
-def context_contrast(full: DataFrame, short: DataFrame, keys: list[str]) -> DataFrame:
-    """Distances of each region's full-context state to a truncated-context state of the same region."""
-    pairs = full.select(*keys, F.col("v").alias("a")).join(short.select(*keys, F.col("v").alias("b")), keys)
-    return pairs.select(*keys, vectors.cosine_distance(F.col("a"), F.col("b")).alias("context_cosine"),
-                        vectors.relative_distance(F.col("a"), F.col("b")).alias("context_relative"))
+def context_ranges(pieces: DataFrame, limits=(0, 16, 64), window: int = 1024, stride: int = 256) -> DataFrame:
+    """``item, zone, limit, start, stop``: piece ranges of each region with its last ``limit`` pieces of context.
+
+    ``pieces`` has one row per piece: item, zone and ``idx``, its number in the item. Ranges end with the region's last
+    piece and begin no earlier than the scoring window of its first one. ``limit`` -1 is the whole window.
+    """
+    first = pieces.groupBy("item", "zone").agg(F.min("idx").alias("first"), (F.max("idx") + 1).alias("stop"))
+    sizes = pieces.groupBy("item").agg((F.max("idx") + 1).alias("n"))
+    begin = window_of(F.col("first"), F.col("n"), window, stride)["begin"]
+    starts = F.array(*[F.struct(F.lit(k).alias("limit"), (begin if k < 0 else F.greatest(begin, F.col("first") - k)).cast("bigint").alias("start"))
+                       for k in (-1, *limits)])
+    return first.join(sizes, "item").select("item", "zone", F.inline(starts), F.col("stop").cast("bigint").alias("stop"))
+
+
+def context_means(pieces: DataFrame, limits=(0, 16, 64), window: int = 1024, stride: int = 256, block: int = BLOCK) -> DataFrame:
+    """The ranges of ``context_ranges`` with the mean ``vec`` of their pieces: what a region's state is in that much context."""
+    return range_means(pieces, context_ranges(pieces, limits, window, stride), ["item"], "idx", "vec", block=block)
+
+
+def context_contrast(pieces: DataFrame, limits=(0, 16, 64), window: int = 1024, stride: int = 256, block: int = BLOCK) -> DataFrame:
+    """Distances of each region's state in its whole window to its states in shortened contexts.
+
+    Columns ``context<limit>_cosine`` and ``context<limit>_relative``. Where the window holds no more than the limit
+    both states are one and the distances are zero.
+    """
+    means = context_means(pieces, limits, window, stride, block).groupBy("item", "zone").agg(
+        *[F.max(F.when(F.col("limit") == k, F.col("mean"))).alias(f"_m{i}") for i, k in enumerate((-1, *limits))])
+    full = F.col("_m0")
+    return means.select("item", "zone", *[f(full, F.col(f"_m{i}")).alias(f"context{k}_{n}") for i, k in enumerate(limits, 1)
+                                          for n, f in (("cosine", vectors.cosine_distance), ("relative", vectors.relative_distance))])
 
 
 def previous_relations(stacks: DataFrame, depths: list[int], origin: str | None = None) -> DataFrame:

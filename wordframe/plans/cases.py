@@ -8,8 +8,9 @@ from wordframe.functions.numeric import zero_with_flag
 from wordframe.operators import ngram, spans
 from wordframe.operators.ordered import lag_by_key
 from wordframe.operators.ranking import assign_folds, assign_inner_folds
-from wordframe.operators.states import previous_relations
+from wordframe.operators.states import context_contrast, previous_relations
 from wordframe.plans import reading
+from wordframe.sources import tables
 
 KEYS = ["item", "zone"]
 OUTER = list(range(10))
@@ -20,6 +21,7 @@ LAG2_LEXICAL = ["lag2_word_length", "lag2_log_frequency", "lag2_n_bpe", "lag2_fr
 LAG2_SCORES = ["lag2_surprisal", "lag2_entropy_bits", "lag2_available"]
 HISTORY = [*LAG2_LEXICAL, *LAG2_SCORES]
 BLOCKS, DEPTHS, WIDTH, COUNT = 6, [2, 4, 6], 4, 2
+CONTEXTS = (0, 16, 64)      # pieces before a region that a shortened context keeps
 LAYERS = [[f"hidden_{l}_{d}" for d in range(WIDTH)] for l in range(len(DEPTHS))]
 THIRDS = [*third_names("cosine"), *third_names("relative_l2")]
 SHAPES = ["roughness", "centre", "peak_share"]
@@ -67,12 +69,12 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = {**vectors.displacement(h), **vectors.curvature(h), **vectors.norm_dynamics(h)}
     for m in ("cosine", "relative_l2"):
         columns.update({f"{m}_{n}": c for n, c in vectors.profile_shape(F.col(m)).items()})
-    columns.update(vectors.contrasts(h, {"context0": F.lit(1), "context16": F.lit(3), "context64": F.lit(5)}))
     for l, depth in enumerate(DEPTHS):
         for d in range(WIDTH):
             columns[f"hidden_{l}_{d}"] = h[depth][d]
     rows = t.select(*KEYS, *layer_names(BLOCKS), *THIRDS, *[c.alias(n) for n, c in columns.items()])
-    return rows.join(previous_relations(reading.stacks(spark, sf_dir), DEPTHS), KEYS)
+    contexts = context_contrast(tables.piece_states(spark, sf_dir, BLOCKS + 1), CONTEXTS)
+    return rows.join(previous_relations(reading.stacks(spark, sf_dir), DEPTHS), KEYS).join(contexts, KEYS)
 
 
 def case(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,11 @@ Every view has the region key ``(item, zone)``: ``item`` is a context, ``zone``
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wordframe.cluster import shared
-from wordframe.operators.ordered import ordinal
+from wordframe.operators.ordered import ordinal, ranked
 
 WORD_GAP = r"[ \t\n\r\f]+"
+# Pieces of one region that agree in all of these have equal vectors, so any sequence of them is the same.
+PIECE_ORDER = ["l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_discount", "l_tax"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -129,5 +131,17 @@ def layer_states(spark, sf_dir):
                 F.dayofyear("l_shipdate") / 50.0).alias("vec"))
 
 
+def piece_states(spark, sf_dir, layer: int | None = None):
+    """One vector per piece with its number in the context: all pieces of the states table, or those of one layer."""
+    rows = table(spark, sf_dir, "lineitem")
+    pieces = (rows if layer is None else rows.where(F.col("l_linenumber") == layer)).select(
+        *part_key("l_partkey"), *PIECE_ORDER,
+        F.array(F.col("l_quantity") / 10, F.col("l_discount") * 50, F.col("l_tax") * 50,
+                F.dayofyear("l_shipdate") / 50.0).alias("vec"))
+    placed = ranked(pieces, ["item", "zone", *PIECE_ORDER], "_at")      # a region of any size is many ranges
+    starts = placed.groupBy("item").agg(F.min("_at").alias("_low"))
+    return placed.join(starts, "item").select("item", "zone", (F.col("_at") - F.col("_low")).alias("idx"), "vec")
+
+
 def shared_regions(spark, sf_dir):
     return shared(spark, ("regions", sf_dir), lambda: regions(spark, sf_dir))
