@@ -165,14 +165,20 @@ def small_tuned(spark, sf_dir):
     return {v: {o: nested.tune(problem, o, cs) for o in OUTER} for v, cs in SMALL.items()}
 
 
-@query("m12_ridge_path", f"""SELECT o AS fold, k::INT AS k, {q('alpha', 9)} AS alpha, {q('bx', 4)} AS word_length, {q('bz', 4)} AS log_frequency,
-    {q('my + 35000 - bx * (mx + 5) - bz * (mz + 1)', 2)} AS intercept FROM rfit WHERE i = -1 AND variant = 'two'""")
+_PATH = f"""SELECT o AS fold, k::INT AS k, {q('alpha', 9)} AS alpha, {q('bx', 4)} AS word_length, {q('bz', 4)} AS log_frequency,
+    {q('my + 35000 - bx * (mx + 5) - bz * (mz + 1)', 2)} AS intercept FROM rfit WHERE i = -1 AND variant = 'two'"""
+
+
+@query("m12_ridge_path", _PATH)
 def m12(spark, sf_dir):
-    _, problem = small_problem(spark, sf_dir)
+    return two_paths(spark, small_problem(spark, sf_dir)[1])
+
+
+def two_paths(spark, problem):
     at = problem.at(SMALL["two"])
     rows = []
     for o in OUTER:
-        slopes, intercepts = nested.ridge_path(nested.subset(problem.refit(o), at), nested.ALPHAS)
+        slopes, intercepts = problem.path(problem.refit(o), at, nested.ALPHAS)
         rows += [(o, k, float(a), *[float(v) for v in slopes[:, k]], float(intercepts[k] + problem.anchor[-1] - problem.anchor[at] @ slopes[:, k]))
                  for k, a in enumerate(nested.ALPHAS)]
     out = spark.createDataFrame(rows, "fold int, k int, alpha double, word_length double, log_frequency double, intercept double")
@@ -180,6 +186,17 @@ def m12(spark, sf_dir):
                       snap(F.col("log_frequency"), 4).alias("log_frequency"), snap(F.col("intercept"), 2).alias("intercept"))
 
 
+def factor_problem(spark, sf_dir):
+    rows, _ = small_problem(spark, sf_dir)
+    return rows, remember(spark, ("small_factors", sf_dir), lambda: nested.factor_problem(rows, SMALL["two"], "mean_rt", OUTER))
+
+
+@query("m12_factor_path", _PATH)
+def m12_factors(spark, sf_dir):
+    """The same path from triangular factors, as an ill-conditioned design needs it."""
+    return two_paths(spark, factor_problem(spark, sf_dir)[1])
+
+
 @query("m12_case_paths")
 def m12_case(spark, sf_dir):
     """The path of all core predictors of the modelling table."""
@@ -193,11 +210,23 @@ def m12_case(spark, sf_dir):
     return spark.createDataFrame(rows, "fold int, alpha double, slopes array<double>, intercept double")
 
 
-@query("m13_two_predictors", f"""SELECT s.item, s.zone, s.fold, {q('35000 + f.my + f.bx * (s.word_length - 5 - f.mx) + f.bz * (s.log_frequency - 1 - f.mz)', 3)} AS prediction
-    FROM sample s JOIN rpick p ON p.o = s.fold AND p.variant = 'two' JOIN rfit f ON f.o = p.o AND f.i = -1 AND f.variant = p.variant AND f.k = p.k""")
+_HELD_OUT = f"""SELECT s.item, s.zone, s.fold, {q('35000 + f.my + f.bx * (s.word_length - 5 - f.mx) + f.bz * (s.log_frequency - 1 - f.mz)', 3)} AS prediction
+    FROM sample s JOIN rpick p ON p.o = s.fold AND p.variant = 'two' JOIN rfit f ON f.o = p.o AND f.i = -1 AND f.variant = p.variant AND f.k = p.k"""
+
+
+@query("m13_two_predictors", _HELD_OUT)
 def m13_two(spark, sf_dir):
     """Held-out predictions of the tuned ridge: each row once, from the fit of its own outer fold."""
-    rows, problem = small_problem(spark, sf_dir)
+    return two_predictions(*small_problem(spark, sf_dir))
+
+
+@query("m13_factor_ridge", _HELD_OUT)
+def m13_factors(spark, sf_dir):
+    """The same predictions with training sets merged from triangular factors of the inner folds."""
+    return two_predictions(*factor_problem(spark, sf_dir))
+
+
+def two_predictions(rows, problem):
     _, models = nested.nested_ridge(problem, {"two": SMALL["two"]})
     out = nested.predict(rows, problem, models)
     return out.select(*KEYS, "fold", snap(F.col("two_prediction"), 3).alias("prediction"))

@@ -38,7 +38,17 @@ def two_predictor(spark, sf_dir):
     return linear.cross_validate(reading.sample(spark, sf_dir), {"full": TWO}, "mean_rt")
 
 
-@query("m02_cross_validated_ols", f"SELECT item, zone, fold, {q('prediction')} AS prediction FROM pred2")
+_HELD_OUT = f"SELECT item, zone, fold, {q('prediction')} AS prediction FROM pred2"
+
+
+@query("m02_factor_ols", _HELD_OUT)
+def m02_factors(spark, sf_dir):
+    """The same held-out predictions from triangular factors of the folds."""
+    predictions = linear.cross_validate_factors(reading.sample(spark, sf_dir), {"full": TWO}, "mean_rt")
+    return predictions.select("item", "zone", "fold", snap(F.col("full_prediction")).alias("prediction"))
+
+
+@query("m02_cross_validated_ols", _HELD_OUT)
 def m02(spark, sf_dir):
     predictions, _ = two_predictor(spark, sf_dir)
     return predictions.select("item", "zone", "fold", snap(F.col("full_prediction")).alias("prediction"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wordframe.functions.basis import KNOT_PROBS, spline_batch
+from wordframe.operators import factors
 from wordframe.operators.moments import by_inner_fold, cell_moments, centered, column_means, subset
 from wordframe.operators.selection import nested_sets, selected
 from wordframe.plans.linear import apply_models
@@ -48,6 +49,14 @@ class Problem:
     def at(self, columns: list[str]) -> list[int]:
         return [self.names.index(c) for c in columns]
 
+    def path(self, part, at: list[int], alphas):
+        """Slopes and intercepts for every penalty, fitted on one part."""
+        return ridge_path(subset(part, at), alphas)
+
+    def errors(self, part, at: list[int], slopes, intercepts):
+        """Sums of squared errors of such fits on another part."""
+        return squared_error(subset(part, at), slopes, intercepts)
+
 
 class AdditiveProblem(Problem):
     def __init__(self, names, anchor, outer, cells):
@@ -65,6 +74,30 @@ class AdditiveProblem(Problem):
         return self.totals[o]
 
 
+class FactorProblem(AdditiveProblem):
+    """The same design held as triangular factors, for predictors that nearly depend on each other."""
+
+    def __init__(self, names, anchor, outer, cells):
+        Problem.__init__(self, names, anchor, outer)
+        self.cells, self.others, self.whole = cells, {}, {}
+        for o in outer:
+            parts = [cells[f"{o}:{i}"] for i in range(INNER)]
+            self.others.update({(o, i): r for i, r in enumerate(factors.leave_one_out(parts))})
+            self.whole[o] = factors.factor(*parts)
+
+    def train(self, o, i):
+        return self.others[o, i]
+
+    def refit(self, o):
+        return self.whole[o]
+
+    def path(self, part, at, alphas):
+        return factors.ridge_path(factors.subset(part, at), alphas)
+
+    def errors(self, part, at, slopes, intercepts):
+        return factors.squared_error(factors.subset(part, at), slopes, intercepts)
+
+
 class FittedProblem(Problem):
     """Designs refitted per training set; ``expand`` maps (outer, inner or None) to a batch transform."""
 
@@ -88,6 +121,13 @@ def plain_problem(df: DataFrame, columns: list[str], y: str, outer: list[int]) -
     return AdditiveProblem(columns, anchor, outer, cells)
 
 
+def factor_problem(df: DataFrame, columns: list[str], y: str, outer: list[int]) -> FactorProblem:
+    """As ``plain_problem`` for ill-conditioned designs: exact to the condition of the design, not of its square."""
+    anchor = column_means(df, [*columns, y])
+    cells = factors.cell_factors(df, [*columns, y], by_inner_fold(anchor, outer), inner="inner", outer=len(outer))
+    return FactorProblem(columns, anchor, outer, cells)
+
+
 def fitted_problem(df: DataFrame, raw: list[str], y: str, outer: list[int], names: list[str],
                    expand: dict[tuple, Callable]) -> FittedProblem:
     """``expand[o, i](x)`` turns a batch of raw columns into the wide design under training set (o, i)."""
@@ -118,8 +158,8 @@ def fitted_problem(df: DataFrame, raw: list[str], y: str, outer: list[int], name
 def tune(problem: Problem, outer: int, columns: list[str], alphas=ALPHAS) -> dict:
     """Penalty with the smallest pooled inner error (the first on ties), and that penalty's error per inner fold."""
     at = problem.at(columns)
-    losses = np.array([squared_error(subset(problem.validate(outer, i), at), *ridge_path(
-        subset(problem.train(outer, i), at), alphas)) for i in range(INNER)])
+    losses = np.array([problem.errors(problem.validate(outer, i), at, *problem.path(problem.train(outer, i), at, alphas))
+                       for i in range(INNER)])
     choice = int(np.argmin(losses.sum(axis=0)))
     return dict(alpha=float(alphas[choice]), loss=losses[:, choice], grid=losses.sum(axis=0), columns=columns)
 
@@ -127,7 +167,7 @@ def tune(problem: Problem, outer: int, columns: list[str], alphas=ALPHAS) -> dic
 def refit(problem: Problem, outer: int, columns: list[str], alpha: float) -> dict:
     """Slopes on the raw scale of the design, fitted on the whole outer training set."""
     at = problem.at(columns)
-    slopes, intercept = ridge_path(subset(problem.refit(outer), at), [alpha])
+    slopes, intercept = problem.path(problem.refit(outer), at, [alpha])
     slope = slopes[:, 0]
     return dict(slope=slope, intercept=float(intercept[0] + problem.anchor[-1] - problem.anchor[at] @ slope),
                 alpha=alpha, columns=columns)
