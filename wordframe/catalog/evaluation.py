@@ -464,6 +464,39 @@ def m22(spark, sf_dir):
     return spark.createDataFrame(rows, "fold int, inner int, layer int, component int, variance double, loadings array<double>, mean array<double>")
 
 
+def wide_fit(spark, sf_dir):
+    def build():
+        vectors = tables.table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+        rows = cut(ranking.assign_inner_folds(ranking.assign_folds(vectors, ["vec_id"]), ["vec_id"], OUTER))
+        return rows, representation.wide_components(rows, "v", OUTER, 16)
+    return remember(spark, ("wide_components", sf_dir), build)
+
+
+@query("m22_wide_components")
+def m22_wide(spark, sf_dir):
+    """16 components of 64 columns under all 60 training sets; no matrix of columns by columns is made."""
+    _, fitted = wide_fit(spark, sf_dir)
+    rows = [(o, -1 if i is None else i, k, float(p.variance[k]), [float(v) for v in p.loadings[:, k]], [float(v) for v in p.mean])
+            for (o, i), p in fitted.items() for k in range(len(p.variance))]
+    return spark.createDataFrame(rows, "fold int, inner int, component int, variance double, loadings array<double>, mean array<double>")
+
+
+VIEWS["vector_folds"] = """SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, (ntile(10) OVER (ORDER BY md5('2026:' || vec_id)) - 1)::INT AS fold FROM embeddings"""
+
+
+@query("m22_wide_means", f"""SELECT o.f AS fold, count(*) AS n, {q('avg(list_sum(v) / 64)', 6)} AS mean,
+    {q('sum(list_dot_product(v, v)) / count(*)', 6)} AS second_moment FROM vector_folds s JOIN (SELECT unnest(range(0, 10))::INT AS f) o ON s.fold <> o.f GROUP BY o.f""")
+def m22_means(spark, sf_dir):
+    """What the components of each outer training set are centred on, with its mean squared length about zero."""
+    rows, fitted = wide_fit(spark, sf_dir)
+    sizes = {r["fold"]: (r["n"], r["s"]) for r in rows.groupBy("fold").agg(F.count("*").alias("n"), F.sum(F.aggregate(
+        "v", F.lit(0.0), lambda a, x: a + x * x)).alias("s")).collect()}
+    total, squares = sum(n for n, _ in sizes.values()), sum(s for _, s in sizes.values())
+    table = [(o, total - sizes[o][0], float(fitted[o, None].mean.mean()), (squares - sizes[o][1]) / (total - sizes[o][0])) for o in OUTER]
+    out = spark.createDataFrame(table, "fold int, n bigint, mean double, second_moment double")
+    return out.select("fold", "n", snap(F.col("mean"), 6).alias("mean"), snap(F.col("second_moment"), 6).alias("second_moment"))
+
+
 @query("m23_typicality")
 def m23(spark, sf_dir):
     """Held-out component scores and typicality: each row under the transform of its own outer fold."""
