@@ -1,5 +1,6 @@
 """Blocked ordered operators and exact ranks against brute force, with tiny blocks and hot keys."""
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -111,3 +112,35 @@ def test_average_and_global_ranks(spark):
         assert rows[i].rank_y == (y < y[i]).sum() + 1
     placed = {r.id: r.r for r in ranking.global_rank(df, "x", "id", "r").collect()}
     assert [placed[i] for i in np.lexsort((np.arange(900), x))] == list(range(1, 901))
+
+
+def test_running_total_over_ranges(spark):
+    draw = random.Random(5)
+    rows = [(i, draw.randrange(100) if draw.random() < 0.9 else None) for i in range(3000)]
+    got = ordered.running_total(spark.createDataFrame(rows, "i long, m long").repartition(9), ["i"], "m", "upto").collect()
+    total, expected = 0, {}
+    for i, m in rows:
+        total += m or 0
+        expected[i] = total
+    assert {r["i"]: r["upto"] for r in got} == expected
+    assert ordered.running_total(spark.createDataFrame([], "i long, m long"), ["i"], "m", "upto").count() == 0
+
+
+def test_average_ranks_of_odd_values(spark):
+    nan = float("nan")
+    rows = [(1.0, None), (1.0, None), (-0.0, 2.0), (0.0, nan), (nan, 2.0), (None, None), (float("inf"), -1.0)] + [(7.0, 3.0)] * 500
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, x double, y double")
+    got = {r["id"]: (r["rank_x"], r["rank_y"]) for r in ranking.average_ranks(df, ["x", "y"]).collect()}
+    assert [got[i] for i in range(7)] == [(3.5, None), (3.5, None), (1.5, 2.5), (1.5, 504.0), (506.0, 2.5), (None, None), (505.0, 1.0)]
+    assert all(got[i] == (254.5, 253.5) for i in range(7, 507))
+    only = ranking.average_ranks(df.select("x", "y"), ["x", "y"])
+    assert only.columns == ["x", "y", "rank_x", "rank_y"] and only.count() == len(rows)
+    assert sorted(only.where("rank_y is not null").agg(F.sum("rank_y")).first()) == [504 * 505 / 2]
+
+
+def test_ranks_take_no_join_per_column(spark):
+    names = ["a", "b", "c", "d", "e", "f"]
+    df = spark.createDataFrame([tuple(float(i % k) for k in range(2, 8)) for i in range(50)], ", ".join(f"{c} double" for c in names))
+    joins = [ranking.average_ranks(df.select(*some), some)._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+             for some in (names[:1], names)]
+    assert joins[0] == joins[1]

@@ -347,26 +347,68 @@ def m07(spark, sf_dir):
     return t.select("x", "n", snap(F.col("correlation"), 6).alias("rho"))
 
 
-VIEWS["joined_abs"] = "SELECT *, abs(residual) AS absolute FROM joined"
+def _rank(column: str) -> str:
+    return f"rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2.0::DOUBLE"
+
+
+def _p_value(r: str, n: str) -> str:
+    """Two-sided p of a correlation: the finite sums that Student's distribution has for whole degrees of freedom."""
+    v, t = f"({n} - 2)", f"(abs({r}) * sqrt(({n} - 2) / (1 - {r} * {r})))"
+    angle, square = f"atan({t} / sqrt({v}))", f"(1 / (1 + {t} * {t} / {v}))"
+    even = f"list_sum(list_transform(range(0, {v} // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) + k * ln({square})))) / sqrt(pi()) * sin({angle})"
+    odd = (f"2 / pi() * ({angle} + sin({angle}) * cos({angle}) * coalesce(list_sum(list_transform(range(0, ({v} - 1) // 2), "
+           f"lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5) + k * ln({square})) * sqrt(pi()) / 2)), 0))")
+    return f"greatest(0, 1 - CASE WHEN {v} % 2 = 0 THEN {even} ELSE {odd} END)"
 
 
-@query("m08_layer_correlations", " UNION ALL ".join(
-    f"SELECT '{m}' AS measure, '{t}' AS target, 'pearson' AS method, {i}::INT AS layer, {q(f'corr({c}[{i}], {y})', 6)} AS correlation FROM joined_abs"
+VIEWS["joined_abs"] = "SELECT *, abs(residual) AS absolute FROM joined"
+VIEWS["layer_r"] = " UNION ALL ".join(
+    f"SELECT '{m}' AS measure, '{t}' AS target, 'pearson' AS method, {i}::INT AS layer, count(*) AS n, corr({c}[{i}], {y}) AS r FROM joined_abs"
     for m, c, i in _LAYERS for t, y in (("signed", "residual"), ("absolute", "absolute"))) + " UNION ALL " + " UNION ALL ".join(
-    f"SELECT '{m}', '{t}', 'spearman', {i}::INT, {q('corr(a, b)', 6)} FROM (SELECT rank() OVER (ORDER BY {c}[{i}])::DOUBLE AS a, rank() OVER (ORDER BY {y})::DOUBLE AS b FROM joined_abs)"
-    for m, c, i in _LAYERS for t, y in (("signed", "residual"), ("absolute", "absolute"))))
+    f"SELECT '{m}', '{t}', 'spearman', {i}::INT, count(*), corr(a, b) FROM (SELECT {_rank(f'{c}[{i}]')} AS a, {_rank(y)} AS b FROM joined_abs)"
+    for m, c, i in _LAYERS for t, y in (("signed", "residual"), ("absolute", "absolute")))
+VIEWS["layer_p"] = f"SELECT *, {_p_value('r', 'n')} AS p FROM layer_r"
+VIEWS["layer_q"] = """SELECT *, least(1, min(p * m / place) OVER (PARTITION BY measure, target, method ORDER BY place DESC)) AS adjusted FROM (
+    SELECT *, row_number() OVER (PARTITION BY measure, target, method ORDER BY p, layer) AS place, count(*) OVER (PARTITION BY measure, target, method) AS m FROM layer_p)"""
+
+
+@query("m08_layer_correlations", f"""SELECT measure, target, method, layer, n, {q('r', 6)} AS correlation, {q('p', 6)} AS p_value, {q('adjusted', 6)} AS q_value,
+    adjusted < 0.05 AS fdr_05 FROM layer_q""")
 def m08(spark, sf_dir):
+    """Every layer against signed and absolute residuals, with p, its adjustment within the family and the decision at 5 %."""
     rows = joined(spark, sf_dir).withColumn("absolute", F.abs("residual"))
     t = correlation.layer_correlations(rows, 6, {"signed": "residual", "absolute": "absolute"})
-    return t.select("measure", "target", "method", "layer", snap(F.col("correlation"), 6).alias("correlation"))
+    return t.select("measure", "target", "method", "layer", "n", *[snap(F.col(c), 6).alias(c) for c in ("correlation", "p_value", "q_value")], "fdr_05")
+
+
+_SUMMARIES = ("total", "mean", "maximum", "peak_layer", "early_mean", "middle_mean", "late_mean", "late_minus_early")
+_CONFOUNDS = ("surprisal", "word_length", "log_frequency", "n_bpe")
+
+
+def _summary_sql(name: str, v: str) -> str:
+    thirds = {n: f"({v}[{2 * i + 1}] + {v}[{2 * i + 2}]) / 2" for i, n in enumerate(("early_mean", "middle_mean", "late_mean"))}
+    return {"total": f"list_sum({v})", "mean": f"list_sum({v}) / 6", "maximum": f"list_max({v})", "peak_layer": f"list_position({v}, list_max({v}))::DOUBLE",
+            **thirds, "late_minus_early": f"{thirds['late_mean']} - {thirds['early_mean']}"}[name]
+
+
+VIEWS["confound_rows"] = "SELECT " + ", ".join(f"{_summary_sql(n, v)} AS {n}_{m}" for m, v in (("cosine", "c"), ("relative_l2", "l")) for n in _SUMMARIES) + \
+    """, s.surprisal, s.word_length::DOUBLE AS word_length, s.log_frequency, s.n_bpe::DOUBLE AS n_bpe, 1.0::DOUBLE AS layers FROM joined j JOIN scored_sample s USING (item, zone)"""
+VIEWS["confound_ranks"] = "SELECT " + ", ".join(f"{_rank(c)} AS {c}" for c in (
+    *[f"{n}_{m}" for m in ("cosine", "relative_l2") for n in _SUMMARIES], *_CONFOUNDS, "layers")) + " FROM confound_rows"
+VIEWS["confound_r"] = " UNION ALL ".join(
+    f"""SELECT '{m}' AS measure, '{n}_{m}' AS feature, '{c}' AS confound, '{how}' AS method, count(*) AS n,
+    min({n}_{m}) = max({n}_{m}) OR min({c}) = max({c}) AS constant, corr({n}_{m}, {c}) AS r FROM {table}"""
+    for m in ("cosine", "relative_l2") for n in _SUMMARIES for c in (*_CONFOUNDS, "layers") for how, table in (("pearson", "confound_rows"), ("spearman", "confound_ranks")))
 
 
-@query("m11_confound_correlations", " UNION ALL ".join(
-    f"SELECT '{m}' AS feature, 'word_length' AS confound, {q(f'corr({e}, s.word_length)', 6)} AS correlation, 'ok' AS status FROM joined j JOIN sample s USING (item, zone)"
-    for m, e in (("total_cosine", "total_cosine"), ("late_mean_cosine", "late_mean_cosine"))) + " UNION ALL " + " UNION ALL ".join(
-    f"SELECT '{m}', 'layers', NULL, 'undefined_constant'" for m in ("total_cosine", "late_mean_cosine")))
+@query("m11_confound_correlations", f"""SELECT measure, feature, confound, method, n, CASE WHEN NOT constant THEN {q('r', 6)} END AS correlation,
+    CASE WHEN NOT constant THEN {q(_p_value('r', 'n'), 6)} END AS p_value, CASE WHEN constant THEN 'undefined_constant' ELSE 'ok' END AS status FROM confound_r""")
 def m11(spark, sf_dir):
-    """Summary features against confounds; a constant confound is reported, not dropped."""
-    pairs = [(f, c) for f in ("total_cosine", "late_mean_cosine") for c in ("word_length", "layers")]
-    t = correlation.correlations(joined(spark, sf_dir), pairs, ("pearson",))
-    return t.select(F.col("x").alias("feature"), F.col("y").alias("confound"), snap(F.col("correlation"), 6).alias("correlation"), "status")
+    """All summaries of both measures against all confounds by both methods; a constant one (as ``layers``) is reported, not dropped."""
+    scores = reading.scores(spark, sf_dir).select(*KEYS, "surprisal", F.col("n_bpe").cast("double").alias("n_bpe"))
+    features = [f"{n}_{m}" for m in ("cosine", "relative_l2") for n in _SUMMARIES]
+    rows = joined(spark, sf_dir).withColumn("layers", F.lit(1.0)).join(scores, KEYS).select(
+        *[F.col(c).cast("double").alias(c) for c in (*features, *_CONFOUNDS, "layers")])
+    t = correlation.correlations(rows, [(f, c) for f in features for c in (*_CONFOUNDS, "layers")])
+    return t.select(F.when(F.col("x").endswith("_cosine"), "cosine").otherwise("relative_l2").alias("measure"), F.col("x").alias("feature"),
+                    F.col("y").alias("confound"), "method", "n", *[snap(F.col(c), 6).alias(c) for c in ("correlation", "p_value")], "status")

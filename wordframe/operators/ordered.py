@@ -6,7 +6,9 @@ running totals are completed with the totals of earlier blocks.
 """
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wordframe.cluster import cut
 
@@ -36,6 +38,35 @@ def ranked(df: DataFrame, order: list, out: str) -> DataFrame:
             .withColumn(out, F.col(first) + F.col(row)).drop(part, row, first))
 
 
+def running_total(df: DataFrame, order: list, value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of the whole-number column ``value`` over all rows up to and with this one in ``order``.
+
+    ``order`` must be unique. Rows are dealt by its ranges and summed along each range as they stream by; one total per
+    range reaches the driver and completes the later ones. Null counts as 0. An empty table stays empty.
+    """
+    tag = uuid.uuid4().hex[:8]
+    part, first = f"part_{tag}", f"first_{tag}"
+    names = df.columns
+
+    def add(batches):
+        total = 0
+        for batch in batches:
+            at = batch.schema.get_field_index(value)
+            along = np.cumsum(batch.column(at).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)) + total
+            total = int(along[-1]) if len(along) else total
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(along)], names=[*batch.schema.names, out])
+
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    schema = T.StructType(list(df.schema.fields)).add(out, T.LongType())
+    written = cut(dealt.mapInArrow(add, schema).withColumn(part, F.spark_partition_id()))
+    starts, total = [], 0
+    for p, n in sorted(tuple(r) for r in written.groupBy(part).agg(F.max(out)).collect()):
+        starts.append((p, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(starts, f"{part} int, {first} long")
+    return written.join(F.broadcast(offsets), part).withColumn(out, F.col(out) + F.col(first)).select(*names, out)
+
+
 def lag_by_key(df: DataFrame, columns: list[str], lags=(1,), keys=("item",), zone: str = "zone",
                block: int = BLOCK, prefix=None) -> DataFrame:
     """Values of the region at ``zone - k`` of the same context, NULL where that region does not exist.

@@ -194,33 +194,28 @@ def exact_quantiles(df: DataFrame, groups: list[str], value: str, probs: list[fl
         F.transform(F.sort_array(F.collect_list(F.struct("_i", "q"))), lambda s: s["q"]).alias("quantiles"))
 
 
-def average_ranks(df: DataFrame, columns: list[str], buckets: int = 256) -> DataFrame:
-    """Add ``rank_<column>``: 1-based ranks with ties averaged. Columns must be double.
+def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Add ``rank_<column>``: 1-based ranks with ties averaged; null has none, NaN comes last. Columns must be double.
 
-    Ranks belong to distinct values, so they are computed on the value counts of all columns at once, and
-    joined back; a value held by a large share of the rows is one row of the small side, and adaptive skew
-    handling splits the other.
+    All columns become one long table, so they share every exchange however many there are. A rank belongs to a distinct
+    value: value counts are dealt by ranges of (column, value), summed along each range, and the ranges are stitched by
+    their totals. A value that fills a large share of the rows is one row of that table.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    row = df.agg(*[F.percentile_approx(c, probs, 20 * buckets).alias(c) for c in columns]).first()
-    splits = [[float("-inf"), *sorted(set(row[c] or [0.0])), float("inf")] for c in columns]
-    placed = Bucketizer(splitsArray=splits, inputCols=columns, outputCols=[f"_b{i}" for i in range(len(columns))],
-                        handleInvalid="keep").transform(df.select(*columns))
-    cells = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(c).alias("c"), F.col(f"_b{i}").alias("b"), F.col(c).alias("v")))
-                      for i, c in enumerate(columns)])
-    values = (placed.select(F.inline(F.filter(cells, lambda z: z.isNotNull()))).groupBy("c", "b", "v")
-              .agg(F.count("*").alias("m")))
-    inside = Window.partitionBy("c", "b").orderBy("v")
-    local = values.select("*", F.sum("m").over(inside).alias("upto"), F.sum("m").over(Window.partitionBy("c", "b")).alias("t"))
-    totals = values.groupBy("c", "b").agg(F.sum("m").alias("t"))       # at most columns x buckets rows
-    earlier = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("c", "b", F.coalesce(F.sum("t").over(earlier), F.lit(0)).alias("before"))
-    ranks = cut(local.join(F.broadcast(offsets), ["c", "b"]).select(
-        "c", "v", (F.col("before") + F.col("upto") - F.col("m") + (F.col("m") + 1) / 2.0).alias("rank")))
-    for i, c in enumerate(columns):
-        side = ranks.filter(F.col("c") == c).select(F.col("v").alias(c), F.col("rank").alias(f"rank_{c}"))
-        df = df.join(side, c, "left")
-    return df
+    from wordframe.operators.ordered import running_total
+    rows = cut(df.withColumn("_row", F.monotonically_increasing_id()))
+    cells = F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.lit(j).alias("_c"), F.col(c).alias("_v"))) for j, c in enumerate(columns)])
+    long = rows.select("_row", F.inline_outer(F.filter(cells, lambda z: z.isNotNull())))
+    counts = long.where("_c is not null").groupBy("_c", "_v").agg(F.count("*").alias("_m"))
+    upto = running_total(counts, ["_c", "_v"], "_m", "_upto")
+    before = upto.groupBy("_c").agg((F.min("_upto") - F.min_by("_m", "_upto")).alias("_before"))         # one row per column
+    ranks = upto.join(F.broadcast(before), "_c").select(
+        "_c", "_v", (F.col("_upto") - F.col("_before") - F.col("_m") + (F.col("_m") + 1) / 2.0).alias("_rank"))
+    wide = long.join(ranks, ["_c", "_v"], "left").groupBy("_row").agg(
+        *[F.max(F.when(F.col("_c") == j, F.col("_rank"))).alias(f"rank_{c}") for j, c in enumerate(columns)],
+        *([F.max(F.when(F.col("_c") == j, F.col("_v"))).alias(c) for j, c in enumerate(columns)] if set(df.columns) == set(columns) else []))
+    if set(df.columns) == set(columns):             # the long table holds all of the row
+        return wide.select(*df.columns, *[f"rank_{c}" for c in columns])
+    return rows.join(wide, "_row").drop("_row")
 
 
 def global_rank(df: DataFrame, value: str, tie: str, out: str) -> DataFrame:
