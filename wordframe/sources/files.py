@@ -1,7 +1,10 @@
 """Delimited text, write-once sinks, result gathering, and content manifests."""
 import json
 import re
+from decimal import Decimal
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
@@ -61,17 +64,30 @@ def gather(spark: SparkSession, pattern: str, schema: str, path_pattern: str, na
                               for i, n in enumerate(names)])
 
 
+def _digest_sums(batches):
+    """Count and sums of the four 64-bit parts of 32-byte digests, one row per task."""
+    n, sums = 0, [0] * 4
+    for batch in batches:
+        words = np.frombuffer(b"".join(batch.column(0).to_pylist()), ">u4")
+        halves = words.reshape(-1, 8).astype(np.int64).sum(0)                   # fewer than 2**31 rows of 32 bits each
+        n += batch.num_rows
+        sums = [t + (int(high) << 32) + int(low) for t, high, low in zip(sums, halves[::2], halves[1::2])]
+    yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *[pa.array([Decimal(t)], pa.decimal128(38, 0)) for t in sums]],
+                                     names=["n", "s1", "s2", "s3", "s4"])
+
+
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
     """Order-free fingerprint of a row set: its size and sums of the four 64-bit parts of each row's SHA-256.
 
     Each field is written with its length in bytes before it, so no two different rows are written alike. Sums see
-    duplicates and merge map-side, so no group of rows is ever collected.
+    duplicates, and a task hands on one row of them, so no group of rows is ever collected.
     """
     text = [F.col(c).cast("string") for c in columns]
     fields = [F.concat(F.coalesce(F.octet_length(t).cast("string"), F.lit("-")), F.lit(":"), F.coalesce(t, F.lit(""))) for t in text]
-    row = F.sha2(F.concat(*fields), 256)
-    parts = [F.conv(F.substring(row, 1 + 16 * i, 16), 16, 10).cast("decimal(38,0)") for i in range(4)]
-    return df.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(p), F.lit(0)).cast("string").alias(f"h{i + 1}") for i, p in enumerate(parts)])
+    digest = F.unhex(F.sha2(F.concat(*fields), 256)).alias("digest")
+    sums = ", ".join(f"s{i} decimal(38,0)" for i in range(1, 5))
+    parts = df.select(digest).mapInArrow(_digest_sums, f"n long, {sums}")
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(f"s{i}"), F.lit(0)).cast("string").alias(f"h{i}") for i in range(1, 5)])
 
 
 def provenance(spark: SparkSession, root: str, tables: dict[str, list[str]], policy: dict[str, str]) -> DataFrame:
