@@ -152,6 +152,26 @@ def w07(spark, sf_dir):
     return token_windows(spark, sf_dir).drop("n")
 
 
+# Target ranges of the schedule with faults put in: every fifth range of an item is lost, every seventh reaches three tokens too far.
+VIEWS["numbered_windows"] = """SELECT item, n, CASE WHEN target_start = 1 THEN 0 ELSE target_start END AS "first", w_end AS stop,
+    row_number() OVER (PARTITION BY item ORDER BY target_start) AS k FROM schedule"""
+VIEWS["faulty_windows"] = """SELECT item, n, "first", CASE WHEN k % 7 = 0 THEN stop + 3 ELSE stop END AS stop FROM numbered_windows WHERE k % 5 <> 0"""
+VIEWS["token_visits"] = """SELECT t.item, t.idx, count(w.item) AS visits FROM tokens t LEFT JOIN faulty_windows w
+    ON w.item = t.item AND t.idx >= w."first" AND t.idx < w.stop GROUP BY t.item, t.idx"""
+
+
+@query("r04_window_coverage", """SELECT item, count(*) AS tokens, count(*) FILTER (WHERE visits = 1) AS once, count(*) FILTER (WHERE visits > 1) AS repeated,
+    count(*) FILTER (WHERE visits = 0) AS missing FROM token_visits GROUP BY item""")
+def r04(spark, sf_dir):
+    """Coverage audit of shared windows on a schedule with gaps and doubles, from the ends of the ranges alone."""
+    tokens = token_windows(spark, sf_dir)
+    ranges = tokens.groupBy("item", "target_start", "end", "n").agg(F.min("idx").alias("first"))
+    number = F.when(F.col("target_start") == 1, F.lit(1)).otherwise(F.floor((F.col("target_start") - 1024) / 256) + 2)
+    faulty = ranges.where(number % 5 != 0).select("item", "first", F.when(number % 7 == 0, F.col("end") + 3).otherwise(F.col("end")).alias("stop"))
+    sizes = counted(spark, sf_dir).groupBy("item").agg(F.sum("n_bpe").alias("n"))
+    return spans.window_coverage(faulty, sizes)
+
+
 @query("w08_global_rank", "SELECT event_id, row_number() OVER (ORDER BY value, event_id) AS rank FROM events")
 def w08(spark, sf_dir):
     events = tables.table(spark, sf_dir, "events").select("event_id", "value")

@@ -1,7 +1,7 @@
 """Character spans, pieces, piece ownership and scoring windows."""
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wordframe.operators.ordered import exclusive_prefix
+from wordframe.operators.ordered import exclusive_prefix, running_total
 
 
 
@@ -122,3 +122,24 @@ def position_controls(counts: DataFrame, window: int = 1024, stride: int = 256)
     return sized.select("item", "zone", F.log1p(F.col("zone").cast("double")).alias("log_zone"),
                         F.log1p(F.col("before").cast("double")).alias("log_before"), mean.alias("local")).withColumn(
         "local_squared", F.col("local") * F.col("local"))
+
+
+def window_coverage(windows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """How often the tokens of each item are targets of a window: ``item, tokens, once, repeated, missing``.
+
+    ``windows`` has item, first and stop of each target range, ``sizes`` item and its number of tokens ``n``; every item
+    of ``windows`` must be in it. Only the ends of ranges are ordered, never the tokens: the number of open windows changes there
+    alone, and tokens under exactly k windows are the sum of positions where that number leaves k less those where it
+    reaches k. Parts of ranges outside 0 to n are not counted.
+    """
+    inside = windows.join(sizes, "item").select("item", F.greatest(F.col("first"), F.lit(0)).alias("first"), F.least("stop", "n").alias("stop")).where("first < stop")
+    ends = inside.select("item", F.inline(F.array(F.struct(F.col("first").cast("bigint").alias("at"), F.lit(1).alias("d")),
+                                                  F.struct(F.col("stop").cast("bigint").alias("at"), F.lit(-1).alias("d")))))
+    steps = ends.groupBy("item", "at").agg(F.sum("d").alias("d"))           # sums to nothing in every item, so items need no start of their own
+    open_ = running_total(steps, ["item", "at"], "d", "after").withColumn("before", F.col("after") - F.col("d"))
+    covered = open_.groupBy("item").agg(
+        F.sum(F.col("at") * ((F.col("before") == 1).cast("int") - (F.col("after") == 1).cast("int"))).alias("once"),
+        F.sum(F.col("at") * ((F.col("before") > 1).cast("int") - (F.col("after") > 1).cast("int"))).alias("repeated"))
+    return sizes.join(covered, "item", "left").select(
+        "item", F.col("n").cast("bigint").alias("tokens"), F.coalesce("once", F.lit(0)).alias("once"), F.coalesce("repeated", F.lit(0)).alias("repeated"),
+        (F.col("n") - F.coalesce("once", F.lit(0)) - F.coalesce("repeated", F.lit(0))).cast("bigint").alias("missing"))

@@ -244,6 +244,18 @@ def spline_expansion(raw: list[str], plain: list[str], splined: list[str], knots
     return names, {s: transform(k) for s, k in knots.items()}
 
 
+def design_layout(core: list[str], strong: list[str], extras: list[str], spline: bool) -> tuple[list[str], int]:
+    """Names of a design in order, each once, and how many of them are plain.
+
+    The columns that ``strong`` adds to ``core`` are the trajectory. Where they are splined they stand last, behind
+    the extras, so the plain part of the design is one stretch; otherwise extras are appended.
+    """
+    trajectory = [c for c in strong if c not in core]
+    extras = [c for c in dict.fromkeys(extras) if c not in strong]
+    names = [*core, *extras, *trajectory] if spline else [*core, *trajectory, *extras]
+    return names, len(names) - (len(trajectory) if spline else 0)
+
+
 def spline_problem(df: DataFrame, plain: list[str], splined: list[str], y: str, outer: list[int]) -> FittedProblem:
     raw = [*plain, *splined]
     names, expand = spline_expansion(raw, plain, splined, set_knots(df, splined, outer))
