@@ -80,3 +80,16 @@ def test_contexts_equal_the_loop_over_windows(spark, window, stride):
         a, b = expected[r["zone"], -1], expected[r["zone"], 2]
         assert r["context2_cosine"] == pytest.approx(1 - a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-9)
         assert r["context2_relative"] == pytest.approx(np.linalg.norm(a - b) / np.linalg.norm(b), abs=1e-9)
+
+
+@pytest.mark.parametrize("window, stride", [(1024, 256), (9, 4)])
+def test_origins_are_the_first_whole_regions_of_the_window(spark, window, stride):
+    draw = random.Random(3)
+    sizes = [draw.randrange(1, 4) for _ in range(25)]
+    owner = [z for z, n in enumerate(sizes, 1) for _ in range(n)]
+    pieces = spark.createDataFrame([(1, z, i) for i, z in enumerate(owner)], "item long, zone long, idx long")
+    begins = {r["zone"]: r["start"] for r in states.context_ranges(pieces, (), window, stride).collect()}
+    got = {r["zone"]: r["origin"] for r in states.window_origins(pieces, window, stride).collect()}
+    assert set(got) == set(owner)
+    for zone, origin in got.items():
+        assert origin == min(z for z in set(owner) if owner.index(z) >= begins[zone])

@@ -351,16 +351,19 @@ def _rank(column: str) -> str:
     return f"rank() OVER (ORDER BY {column}) + (count(*) OVER (PARTITION BY {column}) - 1) / 2.0::DOUBLE"
 
 
-def _p_value(r: str, n: str) -> str:
-    """Two-sided p of a correlation: the finite sums that Student's distribution has for whole degrees of freedom."""
-    v, t = f"({n} - 2)", f"(abs({r}) * sqrt(({n} - 2) / (1 - {r} * {r})))"
-    angle, square = f"atan({t} / sqrt({v}))", f"(1 / (1 + {t} * {t} / {v}))"
+def t_p_value(t: str, v: str) -> str:
+    """Two-sided p of a t value: the finite sums that Student's distribution has for whole degrees of freedom."""
+    angle, square = f"atan(abs({t}) / sqrt({v}))", f"(1 / (1 + {t} * {t} / {v}))"
     even = f"list_sum(list_transform(range(0, {v} // 2), lambda k: exp(lgamma(k + 0.5) - lgamma(k + 1) + k * ln({square})))) / sqrt(pi()) * sin({angle})"
     odd = (f"2 / pi() * ({angle} + sin({angle}) * cos({angle}) * coalesce(list_sum(list_transform(range(0, ({v} - 1) // 2), "
            f"lambda k: exp(lgamma(k + 1) - lgamma(k + 1.5) + k * ln({square})) * sqrt(pi()) / 2)), 0))")
     return f"greatest(0, 1 - CASE WHEN {v} % 2 = 0 THEN {even} ELSE {odd} END)"
 
 
+def _p_value(r: str, n: str) -> str:
+    return t_p_value(f"({r} * sqrt(({n} - 2) / (1 - {r} * {r})))", f"({n} - 2)")
+
+
 VIEWS["joined_abs"] = "SELECT *, abs(residual) AS absolute FROM joined"
 VIEWS["layer_r"] = " UNION ALL ".join(
     f"SELECT '{m}' AS measure, '{t}' AS target, 'pearson' AS method, {i}::INT AS layer, count(*) AS n, corr({c}[{i}], {y}) AS r FROM joined_abs"

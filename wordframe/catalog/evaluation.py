@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from wordframe.catalog.aggregates import t_p_value
 from wordframe.catalog.contracts import VIEWS, both_predictions, joined
 from wordframe.catalog.registry import q, query
 from wordframe.catalog.scans import fresh
@@ -87,18 +88,6 @@ def m05(spark, sf_dir):
     return spark.createDataFrame(rows, "predictor string, coefficient double, standard_error double, t_value double, p_value double")
 
 
-@query("m09_residual_regressions")
-def m09(spark, sf_dir):
-    rows = joined(spark, sf_dir).withColumn("absolute", F.abs("residual"))
-    out = []
-    for measure in ("cosine", "relative_l2"):
-        for target, y in (("signed", "residual"), ("absolute", "absolute")):
-            fit, table = linear.describe(rows, third_names(measure), y)
-            out += [(measure, target, fit["n"], float(1 - fit["sse"] / fit["sst"]), *r) for r in table]
-    return spark.createDataFrame(out, "measure string, target string, n bigint, r2 double, predictor string, coefficient double, "
-                                      "standard_error double, t_value double, p_value double")
-
-
 def saved_baseline(spark, sf_dir):
     """The baseline's held-out predictions of the case table as a saved run: written to text once, read from there."""
     def build():
@@ -159,6 +148,36 @@ def m10_thirds(spark, sf_dir):
     return predicted.select(*KEYS, "fold", F.inline(each)).select("measure", *KEYS, "fold", snap(F.col("prediction"), 3).alias("prediction"))
 
 
+VIEWS["residual_thirds"] = " UNION ALL ".join(f"""SELECT '{m}' AS measure, '{t}' AS target, {y} AS y, ({v}[1] + {v}[2]) / 2 AS x0, ({v}[3] + {v}[4]) / 2 AS x1,
+    ({v}[5] + {v}[6]) / 2 AS x2 FROM joined_abs""" for m, v in _THIRDS_OF.items() for t, y in (("signed", "residual"), ("absolute", "absolute")))
+VIEWS["residual_means"] = "SELECT measure, target, count(*) AS n, avg(y) AS my, avg(x0) AS m0, avg(x1) AS m1, avg(x2) AS m2 FROM residual_thirds GROUP BY ALL"
+VIEWS["residual_sums"] = "SELECT measure, target, n, my, sum((y - my) ** 2) AS yy, " + ", ".join(f"sum((x{a} - m{a}) * (y - my)) AS g{a}" for a in range(3)) + ", " + \
+    ", ".join(f"sum((x{a} - m{a}) * (x{b} - m{b})) AS k{a}{b}" for a, b in _PAIRS) + " FROM residual_thirds JOIN residual_means USING (measure, target) GROUP BY measure, target, n, my"
+VIEWS["residual_fits"] = "SELECT *, yy - b0 * g0 - b1 * g1 - b2 * g2 AS sse FROM (SELECT *, " + ", ".join(
+    _det([[f"g{r}" if c == j else _K[r][c] for c in range(3)] for r in range(3)]) + f" / {_det(_K)} AS b{j}" for j in range(3)) + ", " + ", ".join(
+    f"({_K[a][a]} * {_K[b][b]} - {_K[a][b]} * {_K[a][b]}) / {_det(_K)} AS v{j}" for j, (a, b) in enumerate(((1, 2), (0, 2), (0, 1)))) + " FROM residual_sums)"
+_NAMES = {m: third_names(m) for m in _THIRDS_OF}
+VIEWS["residual_rows"] = "SELECT measure, target, n, 1 - sse / yy AS r2, 'intercept' AS predictor, my AS coefficient, sqrt(sse / (n - 4) / n) AS standard_error FROM residual_fits" + "".join(
+    f""" UNION ALL SELECT measure, target, n, 1 - sse / yy, CASE measure WHEN 'cosine' THEN '{_NAMES['cosine'][j]}' ELSE '{_NAMES['relative_l2'][j]}' END,
+    b{j} * sqrt(k{j}{j} / n), sqrt(sse / (n - 4) * k{j}{j} * v{j} / n) FROM residual_fits""" for j in range(3))
+_M09 = {"r2": 6, "coefficient": 3, "standard_error": 3, "t_value": 4, "p_value": 6}
+
+
+@query("m09_residual_regressions", f"""SELECT measure, target, n, predictor, {q('r2', 6)} AS r2, {q('coefficient', 3)} AS coefficient, {q('standard_error', 3)} AS standard_error,
+    {q('coefficient / standard_error')} AS t_value, {q(t_p_value('(coefficient / standard_error)', '(n - 4)'), 6)} AS p_value FROM residual_rows""")
+def m09(spark, sf_dir):
+    rows = joined(spark, sf_dir).withColumn("absolute", F.abs("residual"))
+    out = []
+    for measure in ("cosine", "relative_l2"):
+        for target, y in (("signed", "residual"), ("absolute", "absolute")):
+            fit, table = linear.describe(rows, third_names(measure), y)
+            out += [(measure, target, fit["n"], float(1 - fit["sse"] / fit["sst"]), *r) for r in table]
+    table = spark.createDataFrame(out, "measure string, target string, n bigint, r2 double, predictor string, coefficient double, "
+                                      "standard_error double, t_value double, p_value double")
+    return table.select("measure", "target", "n", "predictor", *[snap(F.col(c), d).alias(c) for c, d in _M09.items()])
+
+
+
 ALL_PLAIN = list(dict.fromkeys([*cases.CORE, *cases.HISTORY, *layer_names(cases.BLOCKS), *cases.THIRDS,
                                 *[c for cs in cases.FAMILIES.values() for c in cs], *cases.NUISANCE]))
 

@@ -58,6 +58,16 @@ def context_ranges(pieces: DataFrame, limits=(0, 16, 64), window: int = 1024, st
     return first.join(sizes, "item").select("item", "zone", F.inline(starts), F.col("stop").cast("bigint").alias("stop"))
 
 
+def window_origins(pieces: DataFrame, window: int = 1024, stride: int = 256) -> DataFrame:
+    """``item, zone, origin``: the first region that lies whole in the scoring window of each region's first piece."""
+    begins = context_ranges(pieces, (), window, stride).select("item", "zone", F.col("start").alias("_begin"))
+    first = pieces.groupBy("item", "zone").agg(F.min("idx").alias("_first"))
+    at_begin = (pieces.select("item", F.col("zone").alias("_z"), F.col("idx").alias("_begin"))
+                .join(first.withColumnRenamed("zone", "_z"), ["item", "_z"]))
+    return begins.join(at_begin, ["item", "_begin"]).select(
+        "item", "zone", (F.col("_z") + (F.col("_first") < F.col("_begin")).cast("int")).alias("origin"))
+
+
 def context_means(pieces: DataFrame, limits=(0, 16, 64), window: int = 1024, stride: int = 256, block: int = BLOCK) -> DataFrame:
     """The ranges of ``context_ranges`` with the mean ``vec`` of their pieces: what a region's state is in that much context."""
     return range_means(pieces, context_ranges(pieces, limits, window, stride), ["item"], "idx", "vec", block=block)

@@ -8,7 +8,7 @@ from wordframe.functions.numeric import zero_with_flag
 from wordframe.operators import ngram, spans
 from wordframe.operators.ordered import lag_by_key
 from wordframe.operators.ranking import assign_folds, assign_inner_folds
-from wordframe.operators.states import context_contrast, previous_relations
+from wordframe.operators.states import context_contrast, previous_relations, window_origins
 from wordframe.plans import reading
 from wordframe.sources import tables
 
@@ -73,8 +73,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         for d in range(WIDTH):
             columns[f"hidden_{l}_{d}"] = h[depth][d]
     rows = t.select(*KEYS, *layer_names(BLOCKS), *THIRDS, *[c.alias(n) for n, c in columns.items()])
-    contexts = context_contrast(tables.piece_states(spark, sf_dir, BLOCKS + 1), CONTEXTS)
-    return rows.join(previous_relations(reading.stacks(spark, sf_dir), DEPTHS), KEYS).join(contexts, KEYS)
+    pieces = cut(tables.piece_states(spark, sf_dir, BLOCKS + 1))
+    near = reading.stacks(spark, sf_dir).join(window_origins(pieces), KEYS)
+    return rows.join(previous_relations(near, DEPTHS, "origin"), KEYS).join(context_contrast(pieces, CONTEXTS), KEYS)
 
 
 def case(spark: SparkSession, sf_dir: str) -> DataFrame:
