@@ -8,6 +8,7 @@ from wordframe.functions import text
 from wordframe.functions.basis import KNOT_PROBS
 from wordframe.functions.numeric import ratio, snap
 from wordframe.operators import ordered
+from wordframe.operators.bitmaps import distinct_counts
 from wordframe.operators.ranking import assign_inner_folds, exact_quantiles
 from wordframe.operators.selection import nested_sets, selected
 from wordframe.plans import compare, correlation, linear, reading
@@ -45,12 +46,12 @@ def a02(spark, sf_dir):
 def a03(spark, sf_dir):
     status = text.duration_status(F.col("gaze_cell"))
     total = text.duration_status(F.col("total_cell"))
-    return tables.sheet(spark, sf_dir).agg(
-        F.count("*").alias("participant_rows"), F.count_distinct("pp_nr").alias("participants"), F.count_distinct("word_id").alias("unique_regions"),
-        F.count_distinct("part", "trial").alias("contexts"), F.count_if(F.col("word_skip") == 1).alias("skipped"),
-        F.count_if(status == "missing").alias("gaze_missing"), F.count_if(status == "valid").alias("gaze_valid"),
-        F.count_if(status == "invalid").alias("gaze_invalid"),
-        F.count_if((F.col("word_skip") == 1) & (total == "valid")).alias("total_valid_and_skip"))
+    skipped = F.col("word_skip") == 1
+    return distinct_counts(
+        tables.sheet(spark, sf_dir),
+        {"participants": F.col("pp_nr"), "unique_regions": F.col("word_id"), "contexts": F.shiftleft(F.col("part").cast("bigint"), 32) + F.col("trial")},
+        {"participant_rows": F.lit(True), "skipped": skipped, "gaze_missing": status == "missing", "gaze_valid": status == "valid",
+         "gaze_invalid": status == "invalid", "total_valid_and_skip": skipped & (total == "valid")})
 
 
 @query("a04_position_gaps", """SELECT item, prev + 1 AS missing_from, zone - 1 AS missing_to FROM (SELECT item, zone, lag(zone) OVER (PARTITION BY item ORDER BY zone) AS prev
