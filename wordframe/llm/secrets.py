@@ -2,9 +2,10 @@
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,19 +47,27 @@ def _random_looking(value: str) -> bool:
 
 
 class _Parts:
-    """Intervals of one role that do not overlap, for the nearest one to another interval in the same scope."""
+    """Intervals of one role, for whether any of them overlaps another interval or stands near it in the same scope.
+
+    No part holds a line break, so it lies whole in one scope, and of all parts on one side only the nearest can decide.
+    """
 
     def __init__(self, spans):
         self.spans = sorted(spans)
         self.starts = [s[0] for s in self.spans]
+        self.ends = sorted(s[1] for s in self.spans)
+        self.reached = list(accumulate((s[1] for s in self.spans), max))       # furthest end of the parts so far
 
     def near(self, start: int, end: int, scope: tuple[int, int]) -> bool:
-        i = bisect_left(self.starts, start)
-        for s, e, *_ in self.spans[max(0, i - 1):i + 2]:
-            apart = not (s < end and start < e)
-            if apart and scope[0] <= s and e <= scope[1] and max(s - end, start - e) <= REACH:
-                return True
-        return False
+        after = bisect_left(self.starts, end)
+        if after < len(self.starts) and self.starts[after] <= min(end + REACH, scope[1] - 1):
+            return True
+        before = bisect_right(self.ends, start) - 1
+        return before >= 0 and self.ends[before] >= max(start - REACH, scope[0] + 1)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        earlier = bisect_left(self.starts, end)
+        return earlier > 0 and self.reached[earlier - 1] > start
 
 
 def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -66,7 +75,8 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
 
     Roles: identifiers (access keys and named ids), secrets (assigned values, long hex and random-looking strings) and
     endpoints. A random-looking string needs an identifier nearby; a named id needs a secret; an endpoint needs both.
-    Each part looks only at its nearest neighbours of the other role, so the work is linear in the parts.
+    Complements are parts of the other role that do not overlap the part itself, at most ``REACH`` code points away on
+    either side, in the same scope: an interval join over all parts. Parts are sorted, so a part costs a few searches.
     """
     known = [s for s in base if s[2] == "access"]
     named = [(m.start(), m.end()) for m in IDENTIFIER.finditer(text)] if ":" in text or "=" in text else []
@@ -76,8 +86,7 @@ def linked_spans(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int,
     strong = [(s, e) for s, e, kind in base if kind != "access"]
     taken = _Parts(strong + identifiers.spans)
     weak = [(m.start(), m.end()) for m in CANDIDATE.finditer(text) if _random_looking(m[0])]
-    weak = [w for w in weak if not any(s < w[1] and w[0] < e for s, e in
-                                       taken.spans[max(0, bisect_left(taken.starts, w[0]) - 2):bisect_left(taken.starts, w[1])])]
+    weak = [w for w in weak if not taken.overlaps(*w)]
     edges = [0] + [m.start() for m in SCOPE_END.finditer(text)] + [len(text)]
 
     def scope(start):
