@@ -19,6 +19,13 @@ def piece_pattern(max_letters: int | None = None) -> str:
     return rf"\s?[\p{{L}}\p{{M}}]{run}|\s?\p{{Nd}}+|\s?[^\p{{L}}\p{{M}}\p{{Nd}}\s]+|\s+"
 
 
+PIECE_BLOCK = 128
+
+
+def _letters(texts: Column) -> Column:
+    return F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+
+
 def pieces(spans: DataFrame, pattern: str | None = None) -> DataFrame:
     """Split every region, with the separator before it, into pieces with offsets in the context text.
 
@@ -28,9 +35,13 @@ def pieces(spans: DataFrame, pattern: str | None = None) -> DataFrame:
     text = F.concat(lead, "word")
     found = F.regexp_extract_all(text, F.lit(pattern or piece_pattern()), F.lit(0))
     rows = spans.select("item", "zone", (F.col("start") - F.length(lead)).alias("_at"), found.alias("_p"))
-    before = lambda i: F.aggregate(F.slice("_p", 1, i), F.lit(0), lambda n, t: n + F.length(t))
-    placed = F.transform("_p", lambda t, i: F.struct(
-        (i + 1).alias("piece"), t.alias("text"), before(i).alias("off")))
+    # Offsets add up inside blocks of pieces and over blocks, so a region of very many pieces takes no quadratic work.
+    rows = rows.where(F.size("_p") > 0).withColumn("_b", F.transform(
+        F.sequence(F.lit(0), F.floor((F.size("_p") - 1) / PIECE_BLOCK).cast("int")), lambda b: F.slice("_p", b * PIECE_BLOCK + 1, F.lit(PIECE_BLOCK))))
+    rows = rows.withColumn("_n", F.transform("_b", _letters))
+    rows = rows.withColumn("_f", F.transform("_n", lambda n, b: F.aggregate(F.slice("_n", F.lit(1), b), F.lit(0), lambda a, x: a + x)))
+    placed = F.flatten(F.transform(F.arrays_zip("_b", "_f"), lambda z, b: F.transform(z["_b"], lambda t, i: F.struct(
+        (b * PIECE_BLOCK + i + 1).alias("piece"), t.alias("text"), (z["_f"] + _letters(F.slice(z["_b"], F.lit(1), i))).alias("off")))))
     out = rows.select("item", "zone", "_at", F.inline(placed))
     begin = F.col("_at") + F.col("off")
     return out.select("item", "zone", F.col("piece").cast("bigint").alias("piece"), "text",
