@@ -133,6 +133,47 @@ def one_bucket(batches):
                                pa.array([[0] * N.SIGNS] * len(batch), pa.list_(pa.int64()))], names=["key", "owner", "n_words", "buckets", "sign"])
 
 
+def test_signatures_refuse_no_pair_alike_and_nearly_all_others():
+    """Edits of every share up to 20 % in texts of 5 to 2000 words; the others are texts of the same frequent words."""
+    rng = np.random.default_rng(21)
+    vocabulary = rng.integers(1, 1 << 62, 3000).astype(np.uint64)
+    share = 1 / np.arange(1, 3001)
+    draw = lambda n: rng.choice(vocabulary, n, p=share / share.sum())     # noqa: E731
+    def sign(w):
+        return N.signatures(*N._labelled(w, np.array([0, len(w)]), N.SHORT_SHINGLE)).view(np.uint8)[0]
+    def differ(a, b):
+        x = sign(a) ^ sign(b)
+        return int((x & 15 > 0).sum() + (x >> 4 > 0).sum())
+    refused, passed, tries = 0, 0, 0
+    for n in (5, 9, 15, 22, 40, 60, 100, 128, 160, 300, 700, 2000):
+        for _ in range(60):
+            a = draw(n)
+            b, e = list(a), int(0.2 * n)
+            for i in rng.choice(n, e, replace=False):
+                b[i] = rng.integers(1, 1 << 62)
+            most = min(0.8 * n + 1e-9, N.RANGES * 4 / 7 + N.SIGMAS * (N.RANGES * 12 / 49) ** 0.5)
+            refused += differ(a, np.array(b, np.uint64)) > most
+            passed += differ(a, draw(n)) <= most
+            tries += 1
+    assert refused == 0 and passed < 0.1 * tries, (refused, passed, tries)
+
+
+def test_signatures_of_many_texts_are_those_of_each():
+    rng = np.random.default_rng(2)
+    counts = np.array([0, 1, 3, 0, 200, 1000, 2, 0])
+    first = np.concatenate([[0], np.cumsum(counts)])
+    words = rng.integers(1, 1 << 62, first[-1]).astype(np.uint64)
+    labelled, start = N._labelled(words, first, N.SHORT_SHINGLE)
+    whole = N.signatures(labelled, start).view(np.uint8)
+    for i in range(len(counts)):
+        h = labelled[start[i]:start[i + 1]]
+        assert (N.signatures(h, np.array([0, len(h)])).view(np.uint8)[0] == whole[i]).all()
+        filled = {int(x) >> 57 for x in h}
+        four = np.stack([whole[i] & 15, whole[i] >> 4], axis=1).reshape(-1)
+        assert set(np.flatnonzero(four).tolist()) == filled
+    assert N.signatures(np.zeros(0, np.uint64), np.zeros(1, np.int64)).shape == (0, N.SIGNS)
+
+
 def test_short_texts_by_brute_force(spark):
     rng = np.random.default_rng(3)
     texts = []

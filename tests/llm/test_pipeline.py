@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registration():
     numbers = sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(catalog.QUERIES) | {"pipeline"} <= set(entry.queries()) and set(catalog.ORACLES) <= set(entry.oracle_sql())
 
 

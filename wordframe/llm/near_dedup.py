@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 from wordframe.cluster import cut
 from wordframe.llm.components import components
 from wordframe.llm.ranks import row_hash
-from wordframe.llm.words import mix, runs, text_buffer, words_of
+from wordframe.llm.words import CHUNK_BYTES, mix, runs, text_buffer, words_of
 
 SHINGLE = 5         # words in a k-mer
 SKETCHES = 32       # bands: each holds the two smallest labelled k-mers in the sequence of the text
 SHORT_SHINGLE = 2   # words in a k-mer of the bands for texts with many edits
 SHORT_SKETCHES = 16
 SHORT_TEXT = 14     # texts of so many words at most meet by what is left after deletions: no pair of them is missed
-SIGNS = 4           # longs of one-bit minima of 2-word k-mers, which refuse most unlike pairs of longer texts
-SIGMAS = 4          # deviations granted to them: of the pairs just at the similarity about 3 in 100,000 are refused
+RANGES = 128        # ranges of hashes; a text's signature holds four bits of its smallest 2-word k-mer in each
+SIGNS = RANGES // 16    # longs of a signature
+SIGMAS = 5          # deviations granted to texts with more k-mers than ranges; shorter ones are never refused wrongly
+TURNS = 3           # pivots of each bucket before the pairs that are still apart are listed
 SIMILARITY = 0.8    # 1 - word edits / words of the longer text
 
 _U = np.uint64
@@ -55,9 +57,12 @@ def _labelled(hashes: np.ndarray, first: np.ndarray, shingle: int = SHINGLE) ->
 
 def order_sketches(hashes: np.ndarray, first: np.ndarray, sketches: int = SKETCHES, shingle: int = SHINGLE) -> np.ndarray:
     """One row per text, one 64-bit value per sketch: two smallest k-mers under the sketch's order, in text order."""
-    labelled, start = _labelled(hashes, first, shingle)
+    return _sketches(*_labelled(hashes, first, shingle), sketches)
+
+
+def _sketches(labelled: np.ndarray, start: np.ndarray, sketches: int) -> np.ndarray:
     full = np.flatnonzero(np.diff(start))
-    out = np.zeros((len(first) - 1, sketches), np.uint64)
+    out = np.zeros((len(start) - 1, sketches), np.uint64)
     if not len(full):
         return out
     begin = start[full]
@@ -76,26 +81,34 @@ def order_sketches(hashes: np.ndarray, first: np.ndarray, sketches: int = SKETCH
     return out
 
 
-def signatures(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One row of ``SIGNS`` longs per text: a bit of the smallest labelled 2-word k-mer in each of 64 * SIGNS ranges of hashes."""
-    labelled, start = _labelled(hashes, first, SHORT_SHINGLE)
-    bits = np.zeros((len(first) - 1, 64 * SIGNS), np.uint8)
-    for i in range(len(first) - 1):
-        h = np.sort(labelled[start[i]:start[i + 1]])
-        part = ((h >> _U(32)) * _U(64 * SIGNS) >> _U(32)).astype(np.int64)
-        least = np.concatenate([[True], part[1:] != part[:-1]])[:len(h)]
-        bits[i, part[least]] = (h[least] & _U(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1).view(np.int64)
+def signatures(labelled: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """One row of ``SIGNS`` longs per text: four bits of the smallest labelled k-mer in each of ``RANGES`` ranges, 0 for none."""
+    full = np.flatnonzero(np.diff(start))
+    four = np.zeros((len(start) - 1, RANGES), np.uint8)
+    text = np.repeat(np.arange(len(full), dtype=np.uint64), np.diff(start)[full])
+    low = 64 - (CHUNK_BYTES - 1).bit_length()       # the same bits of a hash whatever the number of texts, a byte each at least
+    ordered = np.sort(text << _U(low) | labelled >> _U(64 - low))
+    place = (ordered >> _U(low - RANGES.bit_length() + 1)).astype(np.int64)
+    least = np.ones(len(place), bool)
+    least[1:] = place[1:] != place[:-1]
+    at = place[least]
+    four[full[at // RANGES], at % RANGES] = 1 + mix(ordered[least] & _U((1 << low) - 1)) % _U(15)
+    return (four[:, 0::2] | four[:, 1::2] << 4).copy().view(np.int64)
 
 
 def _agreeing(x: str, y: str, n: Column, least: float) -> Column:
-    """Whether the signatures may be those of a pair alike: an edit touches two k-mers of each text, and every k-mer
-    in one text only changes its bit with probability one half. Short texts are not refused."""
-    grams = 4 * (1 - least) * n
+    """Whether the signatures ``x`` and ``y`` may be those of a pair alike, ``n`` the words of the longer text.
+
+    An edit touches two k-mers of each text, and an unlike k-mer changes no range but its own: so many ranges may differ.
+    In texts that fill all ranges a range differs with the unlike share of all k-mers, and ``SIGMAS`` deviations more are granted.
+    """
     share = min(1.0, 4 * (1 - least) / (1 + 2 * (1 - least)))
-    unlike = F.least(grams, F.lit(64.0 * SIGNS * share))
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{x}.sign")[i].bitwiseXOR(F.col(f"{y}.sign")[i])) for i in range(SIGNS)])
-    return (n <= SHORT_TEXT) | (differ <= unlike / 2 + SIGMAS * F.sqrt(unlike / 4) + 1)
+    most = RANGES * share + SIGMAS * (RANGES * share * (1 - share)) ** 0.5
+    def ranges(i):
+        other = F.col(x)[i].bitwiseXOR(F.col(y)[i])
+        half = other.bitwiseOR(F.shiftrightunsigned(other, 2))
+        return F.bit_count(half.bitwiseOR(F.shiftrightunsigned(half, 1)).bitwiseAND(F.lit(0x1111111111111111)))
+    return reduce(Column.__add__, [ranges(i) for i in range(SIGNS)]) <= F.least(4 * (1 - least) * n + 1e-9, F.lit(most))
 
 
 def _allowed(n: int, least: float) -> int:
@@ -130,8 +143,8 @@ def _sketcher(least: float):
             counts, values, sizes, signs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros((0, SIGNS), np.int64)]
             for lo, hi in runs(offsets):
                 words = words_of(data, offsets[lo:hi + 1])
-                long, short = order_sketches(words.hashes, words.first), order_sketches(
-                    words.hashes, words.first, SHORT_SKETCHES, SHORT_SHINGLE) ^ _U(0x5851F42D4C957F2D)
+                two = _labelled(words.hashes, words.first, SHORT_SHINGLE)
+                long, short = order_sketches(words.hashes, words.first), _sketches(*two, SHORT_SKETCHES) ^ _U(0x5851F42D4C957F2D)
                 both = np.hstack([long, short]).view(np.int64)
                 size = np.where(words.counts > 0, both.shape[1], 0)
                 extra = []
@@ -142,7 +155,7 @@ def _sketcher(least: float):
                 flat = np.concatenate([both[size > 0].reshape(-1), *[np.array(x, np.int64) for _, x in extra]])
                 values.append(flat[np.argsort(at, kind="stable")])
                 counts.append(words.counts)
-                signs.append(signatures(words.hashes, words.first))
+                signs.append(signatures(*two))
                 sizes.append(np.bincount(at.astype(np.int64), minlength=hi - lo))
             ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
             buckets = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(values)))
@@ -260,40 +273,56 @@ def _verified(pairs: DataFrame, bodies: DataFrame, least: float) -> DataFrame:
 def near_links(docs: DataFrame, text: str, least: float = SIMILARITY) -> DataFrame:
     """``a, b, similarity``: verified links between different texts, named by their 128-bit digests.
 
-    First every text is compared with the smallest digest of its bucket and half-octave of lengths, which groups most
-    copies with n - 1 comparisons for n texts. Then every pair that shares a bucket, whose lengths allow a link and
-    that is not yet in one group is compared, so no chain or group depends on that smallest digest: the connected
-    groups are those of all pairs that share a bucket. Pairs inside a group found first are not compared again, so the
-    links hold the groups together and are not all pairs alike. Signatures refuse pairs of the second step that are
-    far from alike, before their texts are fetched.
+    Each bucket and half-octave of lengths has a pivot, first its smallest digest, then others drawn by a hash. In each of
+    up to ``TURNS`` rounds every text that is not in its pivot's group is compared with it, n - 1 comparisons at most for n
+    texts, and groups that are linked become one. Rounds end early when one finds no link or no bucket holds
+    several groups. Then every pair that shares a bucket, whose lengths allow a link and that is still in different groups
+    is compared, so no chain or group depends on the pivots: the connected groups are those of all pairs that share a
+    bucket. Pairs inside a group are not compared again, so the links hold the groups together and are not all pairs
+    alike. Signatures refuse pairs far from alike before their texts are fetched, and inside the join that lists the last ones.
     """
     body = docs.select(F.unhex(F.md5(text)).alias("key"), row_hash(docs).alias("owner"),
                        F.col(f"`{text}`").alias("text")).where("text is not null")
     sketches = cut(body.mapInArrow(_sketcher(least), "key binary, owner long, n_words long, buckets array<long>, sign array<long>"))
     texts = sketches.groupBy("key").agg(F.min("owner").alias("owner"))
     rows = sketches.select("key", "n_words", F.explode("buckets").alias("bucket"))
-    # Only buckets of several texts: most hold one.
-    full = rows.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("bucket")
+    # Only buckets of several texts: most hold one. Numbers instead of digests keep the aggregate in hash tables.
+    full = (sketches.select(F.xxhash64("key").alias("id"), F.explode("buckets").alias("bucket")).groupBy("bucket")
+            .agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("bucket"))
     rows = cut(rows.join(full, "bucket").distinct().withColumn("kind", F.floor(2 * F.log2(F.col("n_words"))).cast("int")))
-    rep = rows.groupBy("bucket", "kind").agg(F.min(F.struct("key", "n_words")).alias("rep"))
-    fits = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9     # noqa: E731
-    pairs = cut(rows.join(rep, ["bucket", "kind"]).where((F.col("key") != F.col("rep.key")) & fits("n_words", "rep.n_words"))
-                .select(F.col("key").alias("a"), F.col("rep.key").alias("b")).distinct())
     ends = rows.select("key").distinct()
     bodies = cut(body.join(texts.join(ends, "key", "left_semi"), ["key", "owner"], "left_semi")
                  .dropDuplicates(["key", "owner"]).select("key", "text"))
-    first = _verified(pairs, bodies, least)
-    roots = components(first, "a", "b").select(F.col("node").alias("key"), "root")
-    grouped = rows.join(roots, "key", "left").select("bucket", "key", "n_words", F.coalesce("root", "key").alias("root"))
-    several = grouped.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-    signs = sketches.groupBy("key").agg(F.first("sign").alias("sign"))
-    left = cut(grouped.join(several, "bucket").join(signs, "key"))
-    x, y = left.alias("x"), left.alias("y")
+    signs = cut(sketches.select("key", "n_words", "sign").join(ends, "key", "left_semi").groupBy("key")
+                .agg(F.first("n_words").alias("n"), F.first("sign").alias("sign")))
+    fits = lambda x, y: F.least(x, y) >= F.lit(least) * F.greatest(x, y) - 1e-9     # noqa: E731
+    left, links, tried, roots = rows.withColumn("root", F.col("key")), None, None, None
+    for turn in range(TURNS):
+        place = F.struct(F.xxhash64(F.lit(turn), "key") if turn else F.lit(0).alias("h"), "key", "root", "n_words")
+        pivots = left.groupBy("bucket", "kind").agg(F.min(place).alias("to"))
+        pairs = (left.join(pivots, ["bucket", "kind"]).where((F.col("root") != F.col("to.root")) & fits("n_words", "to.n_words"))
+                 .select(F.greatest("key", "to.key").alias("a"), F.least("key", "to.key").alias("b")).distinct())
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        signed = (pairs.join(signs.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("sign").alias("sign_a")), "a")
+                  .join(signs.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("sign").alias("sign_b")), "b"))
+        found = _verified(signed.where(_agreeing("sign_a", "sign_b", F.greatest("n_a", "n_b"), least)).select("a", "b"), bodies, least)
+        links = found if links is None else links.unionByName(found)
+        if turn and not found.head(1):
+            break
+        roots = components(links, "a", "b").select(F.col("node").alias("key"), "root")
+        grouped = left.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+        several = grouped.groupBy("bucket").agg(F.min(F.xxhash64("root")).alias("low"), F.max(F.xxhash64("root")).alias("high"))
+        left = cut(grouped.join(several.where("low <> high").select("bucket"), "bucket"))
+        if not left.head(1):
+            return cut(links)
+    wide = cut(left.select("bucket", "key", "n_words", "root").join(signs.select("key", "sign"), "key"))
+    x, y = wide.alias("x"), wide.alias("y")
     others = (x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.root") < F.col("y.root"))
                      & fits(F.col("x.n_words"), F.col("y.n_words"))
-                     & _agreeing("x", "y", F.greatest("x.n_words", "y.n_words"), least))
+                     & _agreeing("x.sign", "y.sign", F.greatest("x.n_words", "y.n_words"), least))
               .select(F.greatest("x.key", "y.key").alias("a"), F.least("x.key", "y.key").alias("b")).distinct())
-    return cut(first.unionByName(_verified(cut(others.join(pairs, ["a", "b"], "left_anti")), bodies, least)))
+    return cut(links.unionByName(_verified(cut(others.join(tried, ["a", "b"], "left_anti")), bodies, least)))
 
 
 def near_classes(docs: DataFrame, text: str = "text", least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
