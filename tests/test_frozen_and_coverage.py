@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wordframe.operators import spans
+from wordframe.operators.ordered import running_total
 from wordframe.plans import frozen, nested
 
 
@@ -56,6 +57,28 @@ def test_coverage_equals_counting_every_token(spark):
         assert got[item] == (n, visits.count(1), sum(v > 1 for v in visits), visits.count(0))
 
 
+def test_totals_of_falling_values_over_many_ranges(spark):
+    draw = random.Random(8)
+    rows = [(i, draw.choice([-3, -1, 1, 2, None])) for i in range(4000)]
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")     # as on a table that fills its partitions
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        df = spark.createDataFrame(rows, "at long, d long").repartition(3)
+        got = {r["at"]: r["t"] for r in running_total(df, ["at"], "d", "t").collect()}
+        windows = [(item, 4 * k, 4 * k + 6) for item in range(40) for k in range(12)]
+        covered = spans.window_coverage(spark.createDataFrame(windows, "item long, first long, stop long"),
+                                        spark.createDataFrame([(item, 50) for item in range(40)], "item long, n long")).collect()
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    total = 0
+    for at, d in rows:
+        total += d or 0
+        assert got[at] == total
+    assert {tuple(r)[1:] for r in covered} == {(50, 28, 22, 0)}
+
+
 def test_planted_gaps_and_doubles_are_found(spark):
     from wordframe.catalog import QUERIES
     row = QUERIES["r04_window_coverage"](spark, "/root/testdata/sf0.001").agg(F.sum("tokens").alias("t"), F.sum("once").alias("o"), F.sum("repeated").alias("r"), F.sum("missing").alias("m")).first()

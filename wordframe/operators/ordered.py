@@ -42,7 +42,7 @@ def running_total(df: DataFrame, order: list, value: str, out: str) -> DataFrame
     """Add ``out``: the sum of the whole-number column ``value`` over all rows up to and with this one in ``order``.
 
     ``order`` must be unique. Rows are dealt by its ranges and summed along each range as they stream by; one total per
-    range reaches the driver and completes the later ones. Null counts as 0. An empty table stays empty.
+    range reaches the driver and completes the later ones. Null counts as 0, values may be negative. An empty table stays empty.
     """
     tag = uuid.uuid4().hex[:8]
     part, first = f"part_{tag}", f"first_{tag}"
@@ -60,7 +60,7 @@ def running_total(df: DataFrame, order: list, value: str, out: str) -> DataFrame
     schema = T.StructType(list(df.schema.fields)).add(out, T.LongType())
     written = cut(dealt.mapInArrow(add, schema).withColumn(part, F.spark_partition_id()))
     starts, total = [], 0
-    for p, n in sorted(tuple(r) for r in written.groupBy(part).agg(F.max(out)).collect()):
+    for p, n in sorted(tuple(r) for r in written.groupBy(part).agg(F.sum(F.coalesce(value, F.lit(0)))).collect()):
         starts.append((p, total))
         total += n
     offsets = df.sparkSession.createDataFrame(starts, f"{part} int, {first} long")
