@@ -25,7 +25,7 @@ OUTER = cases.OUTER
     {q('(avg(t.idx - s.w_begin) / 1024) ** 2', 6)} AS local_squared FROM first_piece f JOIN tokens t USING (item, zone)
     JOIN schedule s ON t.item = s.item AND greatest(t.idx, 1) >= s.target_start AND greatest(t.idx, 1) < greatest(s.w_end, 2) GROUP BY f.item, f.zone, f.first""")
 def p14(spark, sf_dir):
-    out = spans.position_controls(counted(spark, sf_dir))
+    out = spans.placed_controls(counted(spark, sf_dir).withColumnRenamed("first", "before"))
     return out.select(*KEYS, *[snap(F.col(c), 6).alias(c) for c in ("log_zone", "log_before", "local", "local_squared")])
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from wordframe.catalog.registry import VIEWS, q, query
 from wordframe.functions import layers, numeric, text
 from wordframe.functions.numeric import snap
-from wordframe.operators import ordered, spans
+from wordframe.operators import ordered
 from wordframe.plans import reading
 from wordframe.sources import tables
 
@@ -176,7 +176,7 @@ def p16(spark, sf_dir):
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, (sum(length(word) + 1) OVER (PARTITION BY item
     ORDER BY zone) - 1)::BIGINT AS "end" FROM regions""")
 def p19(spark, sf_dir):
-    return spans.region_spans(tables.regions(spark, sf_dir)).select("item", "zone", "start", "end")
+    return tables.placed_regions(spark, sf_dir).select("item", "zone", "start", "end")
 
 
 @query("p20_layer_thirds", """SELECT n, third, (CASE third WHEN 'early' THEN 1 WHEN 'middle' THEN 1 + a ELSE 1 + a + b END)::INT AS first,

@@ -8,11 +8,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wordframe.cluster import cut
 
 BLOCK = 65536
+SLICE = 65536       # rows of a batch that leaves a task
 ROW_BITS = 33       # of the number that Spark gives a row inside its partition
 
 
@@ -67,6 +69,39 @@ def running_total(df: DataFrame, order: list, value: str, out: str) -> DataFrame
     return written.join(F.broadcast(offsets), part).withColumn(out, F.col(out) + F.col(first)).select(*names, out)
 
 
+def exploded(df: DataFrame, keys: list[str], elements: list[str], before: dict[str, str] = {}, whole: dict[str, str] = {},
+             position: str = "zone", rows: int = SLICE) -> DataFrame:
+    """One row per position of parallel arrays: ``keys``, ``position`` (from 1), the ``elements`` and totals along the array.
+
+    ``before`` maps a new column to the whole-number array whose sum over earlier positions it holds, ``whole`` to the one
+    whose sum over all positions it holds. An input row carries its whole context, so nothing is shuffled or sorted.
+    Arrays of a row have one length; a missing array has no positions. Results leave in slices of ``rows``.
+    """
+    fields = {f.name: f.dataType for f in df.schema.fields}
+    schema = T.StructType([*[df.schema[k] for k in keys], T.StructField(position, T.LongType()), *[T.StructField(e, fields[e].elementType) for e in elements],
+                           *[T.StructField(o, T.LongType()) for o in (*before, *whole)]])
+
+    def spread(batches):
+        for batch in batches:
+            column = lambda c: batch.column(batch.schema.get_field_index(c))      # noqa: E731
+            sizes = pc.fill_null(pc.list_value_length(column(elements[0] if elements else next(iter({**before, **whole}.values())))), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(sizes.astype(np.int64))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            out = [np.arange(len(row)) - (ends - sizes)[row] + 1]
+            flat = {e: column(e).flatten() for e in elements}
+            sums = {c: np.r_[0, np.cumsum(column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64))] for c in {*before.values(), *whole.values()}}
+            out += [sums[c][:-1] - sums[c][ends - sizes][row] for c in before.values()]
+            out += [(sums[c][ends] - sums[c][ends - sizes])[row] for c in whole.values()]
+            for a in range(0, len(row), rows):
+                at = slice(a, a + rows)
+                yield pa.RecordBatch.from_arrays(
+                    [*[column(k).take(pa.array(row[at])) for k in keys], pa.array(out[0][at]), *[flat[e].slice(a, rows) for e in elements],
+                     *[pa.array(o[at]) for o in out[1:]]], names=schema.names)
+
+    used = list(dict.fromkeys([*keys, *elements, *before.values(), *whole.values()]))
+    return df.select(*used).mapInArrow(spread, schema)
+
+
 def lag_by_key(df: DataFrame, columns: list[str], lags=(1,), keys=("item",), zone: str = "zone",
                block: int = BLOCK, prefix=None) -> DataFrame:
     """Values of the region at ``zone - k`` of the same context, NULL where that region does not exist.

@@ -1,10 +1,21 @@
 """Character spans, pieces, piece ownership and scoring windows."""
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from wordframe.operators.ordered import exclusive_prefix, running_total
+from wordframe.operators.ordered import SLICE, exclusive_prefix, exploded, running_total
 
+SPACES = np.frombuffer(b" \t\n\x0b\f\r", np.uint8)      # what a regular expression takes for white space
 
 
+def text_bytes(texts: pa.Array) -> np.ndarray:
+    """The UTF-8 bytes of a string column, one text behind the other."""
+    wide = pa.types.is_large_string(texts.type)
+    _, offsets, data = texts.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else [0, 0]
+    return np.frombuffer(data, np.uint8)[at[0]:at[-1]] if data is not None else np.zeros(0, np.uint8)
+
 def region_spans(regions: DataFrame) -> DataFrame:
     """[start, end) of each region in its context's text joined by single blanks."""
     sized = regions.withColumn("_w", F.length("word") + 1)
@@ -19,11 +30,7 @@ def piece_pattern(max_letters: int | None = None) -> str:
     return rf"\s?[\p{{L}}\p{{M}}]{run}|\s?\p{{Nd}}+|\s?[^\p{{L}}\p{{M}}\p{{Nd}}\s]+|\s+"
 
 
-PIECE_BLOCK = 128
-
-
-def _letters(texts: Column) -> Column:
-    return F.aggregate(texts, F.lit(0), lambda n, t: n + F.length(t))
+PIECE_BLOCK = SLICE         # pieces that leave a task at once
 
 
 def pieces(spans: DataFrame, pattern: str | None = None) -> DataFrame:
@@ -31,35 +38,83 @@ def pieces(spans: DataFrame, pattern: str | None = None) -> DataFrame:
 
     Output: item, zone, piece (1-based in the region), text, start, end.
     """
-    lead = F.when(F.col("zone") > 1, F.lit(" ")).otherwise(F.lit(""))
-    text = F.concat(lead, "word")
-    found = F.regexp_extract_all(text, F.lit(pattern or piece_pattern()), F.lit(0))
-    rows = spans.select("item", "zone", (F.col("start") - F.length(lead)).alias("_at"), found.alias("_p"))
-    # Offsets add up inside blocks of pieces and over blocks, so a region of very many pieces takes no quadratic work.
-    rows = rows.where(F.size("_p") > 0).withColumn("_b", F.transform(
-        F.sequence(F.lit(0), F.floor((F.size("_p") - 1) / PIECE_BLOCK).cast("int")), lambda b: F.slice("_p", b * PIECE_BLOCK + 1, F.lit(PIECE_BLOCK))))
-    rows = rows.withColumn("_n", F.transform("_b", _letters))
-    rows = rows.withColumn("_f", F.transform("_n", lambda n, b: F.aggregate(F.slice("_n", F.lit(1), b), F.lit(0), lambda a, x: a + x)))
-    placed = F.flatten(F.transform(F.arrays_zip("_b", "_f"), lambda z, b: F.transform(z["_b"], lambda t, i: F.struct(
-        (b * PIECE_BLOCK + i + 1).alias("piece"), t.alias("text"), (z["_f"] + _letters(F.slice(z["_b"], F.lit(1), i))).alias("off")))))
-    out = rows.select("item", "zone", "_at", F.inline(placed))
+    found = found_pieces(F.col("word"), F.col("zone"), pattern)
+    rows = spans.select("item", "zone", (F.col("start") - (F.col("zone") > 1).cast("int")).alias("_at"), found.alias("text"))
+    rows = rows.withColumn("_n", F.transform("text", lambda t: F.length(t)))
+    out = exploded(rows, ["item", "zone", "_at"], ["text"], {"off": "_n"}, position="piece", rows=PIECE_BLOCK)
     begin = F.col("_at") + F.col("off")
     return out.select("item", "zone", F.col("piece").cast("bigint").alias("piece"), "text",
                       begin.cast("bigint").alias("start"),
                       (begin + F.length("text")).cast("bigint").alias("end"))
 
 
+def found_pieces(word: Column, zone: Column, pattern: str | None = None) -> Column:
+    """The pieces of a region with the separator before it, as an array."""
+    return F.regexp_extract_all(F.concat(F.when(zone > 1, F.lit(" ")).otherwise(F.lit("")), word), F.lit(pattern or piece_pattern()), F.lit(0))
+
+
 def piece_counts(regions: DataFrame, pattern: str | None = None) -> Column:
     """Number of pieces of a region, without placing them."""
-    lead = F.when(F.col("zone") > 1, F.lit(" ")).otherwise(F.lit(""))
-    return F.size(F.regexp_extract_all(F.concat(lead, "word"), F.lit(pattern or piece_pattern()), F.lit(0)))
+    return F.size(found_pieces(F.col("word"), F.col("zone"), pattern))
+
 
+def context_counts(contexts: DataFrame, pattern: str | None = None) -> DataFrame:
+    """``item, zone, n_bpe, first, n``: pieces of each region, of the regions before it and of its whole context.
 
-def indexed(piece_rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """Add ``idx``: 0-based piece position in the context, from region piece counts (item, zone, n_bpe)."""
-    first = exclusive_prefix(counts.select("item", "zone", "n_bpe"), {"first": "n_bpe"}).drop("n_bpe")
-    return piece_rows.join(first, ["item", "zone"]).withColumn(
-        "idx", (F.col("first") + F.col("piece") - 1).cast("bigint")).drop("first")
+    ``contexts`` has ``item`` and the array ``word`` of all its regions, so both sums are taken inside a row.
+    """
+    sizes = F.transform("word", lambda w, i: F.size(found_pieces(w, i + 1, pattern)).cast("bigint"))
+    return exploded(contexts.select("item", sizes.alias("n_bpe")), ["item"], ["n_bpe"], {"first": "n_bpe"}, {"n": "n_bpe"})
+
+
+def context_owners(contexts: DataFrame, pattern: str | None = None) -> DataFrame:
+    """``owners`` of all pieces of contexts that stand in one row each (``item``, array ``word``): item, start, end, owner, ambiguous.
+
+    Both tilings lie on one line, so the overlaps of a piece follow from counts of characters up to its two ends: the
+    first and the last visible character in it name the regions it covers. The rule is that of ``owners``; no pair of
+    intervals is formed and nothing is shuffled. Work is linear in the text.
+    """
+    lengths = F.flatten(F.transform("word", lambda w, i: F.transform(found_pieces(w, i + 1, pattern), lambda p: F.length(p))))
+    schema = T.StructType([contexts.schema["item"], *[T.StructField(n, T.LongType()) for n in ("start", "end", "owner")], T.StructField("ambiguous", T.BooleanType())])
+
+    def own(batches):
+        for batch in batches:
+            item, words, pieces = batch.columns
+            sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (words, pieces)]
+            flat = words.flatten()
+            letters = pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+            # One line for the whole batch: every region, then one place for the separator behind it.
+            stops = np.cumsum(letters + 1) - 1
+            starts = stops - letters
+            firsts = np.cumsum(sizes[0]) - sizes[0]                     # number of the first region of each context
+            base = np.r_[starts, stops[-1:] + 1, 0][np.minimum(firsts, len(starts))]
+            cuts = np.cumsum(np.r_[0, pieces.flatten().to_numpy(zero_copy_only=False).astype(np.int64)])
+            row = np.repeat(np.arange(len(batch)), sizes[1])
+            shift = (base - cuts[np.cumsum(sizes[1]) - sizes[1]])[row]
+            low, high = cuts[:-1] + shift, cuts[1:] + shift
+            data = text_bytes(flat)
+            letter = data[(data & 0xC0) != 0x80]                        # first byte of each character
+            region = np.repeat(np.arange(len(letters)), letters)
+            line = np.arange(len(letter)) + region                      # place of each character
+            shown = ~np.isin(letter, SPACES)
+            found = []
+            for chosen in (shown, np.ones(len(letter), bool)):
+                upto = np.zeros(int(stops[-1]) + 3 if len(stops) else 1, np.int64)
+                upto[line[chosen] + 1] = 1
+                upto = np.cumsum(upto)
+                a, b, mine = upto[low], upto[high], np.r_[region[chosen], 0]
+                found.append((b > a, mine[np.minimum(a, len(mine) - 1)], mine[np.maximum(b - 1, 0)]))
+            (visible, one, last), (inside, _, within) = found
+            after = np.searchsorted(starts, high)
+            follows = np.r_[starts, -1][after] == high
+            owner = np.where(visible, one, np.where(inside, within, after)) - firsts[row] + 1
+            known = np.where(visible, one == last, inside | follows)
+            for a in range(0, len(row), SLICE):
+                at = slice(a, a + SLICE)
+                yield pa.RecordBatch.from_arrays([item.take(pa.array(row[at])), pa.array((low - base[row])[at]), pa.array((high - base[row])[at]),
+                                                  pa.array(owner[at], mask=~known[at]), pa.array((one < last)[at], mask=~visible[at])], names=schema.names)
+
+    return contexts.select("item", "word", lengths.alias("_p")).mapInArrow(own, schema)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, key: str, width: int = 64, reach: int = 0) -> DataFrame:
@@ -126,7 +181,11 @@ def window_of(idx: Column, n: Column, window: int, stride: int) -> dict[str, Col
 def position_controls(counts: DataFrame, window: int = 1024, stride: int = 256) -> DataFrame:
     """Position of a region in words, in pieces, and in its scoring window: item, zone and four columns."""
     placed = exclusive_prefix(counts.select("item", "zone", "n_bpe"), {"before": "n_bpe"})
-    sized = placed.join(counts.groupBy("item").agg(F.sum("n_bpe").alias("n")), "item")
+    return placed_controls(placed.join(counts.groupBy("item").agg(F.sum("n_bpe").alias("n")), "item"), window, stride)
+
+
+def placed_controls(sized: DataFrame, window: int = 1024, stride: int = 256) -> DataFrame:
+    """``position_controls`` of regions whose pieces are counted already: item, zone, n_bpe, before, n."""
     own = F.sequence(F.col("before"), F.col("before") + F.col("n_bpe") - 1)
     local = F.transform(own, lambda i: window_of(i, F.col("n"), window, stride)["local"].cast("double"))
     mean = F.aggregate(local, F.lit(0.0), lambda s, v: s + v) / F.col("n_bpe") / F.lit(float(window))

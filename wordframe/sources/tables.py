@@ -5,7 +5,7 @@ Every view has the region key ``(item, zone)``: ``item`` is a context, ``zone``
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wordframe.cluster import shared
-from wordframe.operators.ordered import ordinal, ranked
+from wordframe.operators.ordered import exploded, ordinal, ranked
 
 WORD_GAP = r"[ \t\n\r\f]+"
 # Pieces of one region that agree in all of these have equal vectors, so any sequence of them is the same.
@@ -29,6 +29,18 @@ def regions(spark, sf_dir, contexts=None):
             .select("item", (F.col("pos") + 1).cast("bigint").alias("zone"), "word"))
 
 
+def contexts(spark, sf_dir):
+    """The words of each whole document in one row: ``item`` and the array ``word``."""
+    words = F.filter(F.split("text", WORD_GAP), lambda w: w != "")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), words.alias("word"))
+
+
+def placed_regions(spark, sf_dir):
+    """``regions`` with ``start`` and ``end`` in the context's text joined by single blanks, summed inside each document's row."""
+    rows = contexts(spark, sf_dir).withColumn("_w", F.transform("word", lambda w: F.length(w) + 1))
+    return exploded(rows, ["item"], ["word"], {"start": "_w"}).withColumn("end", F.col("start") + F.length("word"))
+
+
 def region_pairs(spark, sf_dir):
     """``regions`` with the previous word. Neighbours share a document row, so no window or shuffle is needed."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
