@@ -87,6 +87,32 @@ def test_inner_folds_split_every_training_set_once(spark):
             assert r.inner[o] == (-1 if r.fold == o else expected[r.item, r.zone])
 
 
+@pytest.mark.parametrize("spread", [8, 0.0, -3])
+def test_folds_hashed_once_are_the_same(spark, monkeypatch, spread):
+    """With a spread of zero or less the windows miss boundaries, and these must be searched among all rows."""
+    monkeypatch.setattr(ranking, "DIRECT_ROWS", 1)
+    monkeypatch.setattr(ranking, "SPREAD", spread)
+    keys = [(i % 7, i) for i in range(6003)]
+    df = spark.createDataFrame(keys, "item bigint, zone bigint").repartition(5)
+    outer = ranking.assign_folds(df, ["item", "zone"], folds=4, rows=len(keys))
+    expected = brute_folds(keys, 4, 2026)
+    assert {(r.item, r.zone): r.fold for r in outer.collect()} == expected
+    sizes = {o: sum(f == o for f in expected.values()) for o in range(4)}
+    got = ranking.assign_inner_folds(outer, ["item", "zone"], [0, 1, 2, 3], rows=sizes).collect()
+    for o in range(4):
+        inner = brute_folds([k for k in keys if expected[k] != o], 5, 2026 + o)
+        assert all(r.inner[o] == inner.get((r.item, r.zone), -1) for r in got)
+
+
+def test_large_tables_are_hashed_once(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "DIRECT_ROWS", 1)
+    seen = spark.sparkContext.accumulator(0)
+    n = 20_000
+    source = spark.range(n).select(F.lit(1).alias("item"), F.udf(lambda i: seen.add(1) or i, "long")("id").alias("zone"))
+    ranking.assign_folds(source, ["item", "zone"], rows=n).collect()
+    assert seen.value == n
+
+
 def test_exact_quantiles_with_a_hot_value(spark):
     rng = np.random.default_rng(1)
     values = np.r_[np.zeros(400), rng.normal(size=801)]

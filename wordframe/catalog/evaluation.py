@@ -688,20 +688,20 @@ VIEWS["corpus_coef"] = """SELECT fold, mx, mz, my, ((xy - mx * my) * (zz - mz *
 
 
 def corpus(spark, sf_dir):
-    """Every scored region with its lexical predictors and its fold over the whole corpus."""
+    """Every scored region with its lexical predictors and its fold over the whole corpus, and the number of them."""
     def build():
-        scored = ngram.score(tables.region_pairs(spark, sf_dir)).select(*KEYS, "word", "surprisal")
-        counts = tables.frequencies(spark, sf_dir).select(F.col("form").alias("word"), F.log1p("count").alias("log_frequency"))
-        rows = scored.join(counts, "word").select(*KEYS, F.length("word").cast("double").alias("word_length"), "log_frequency", "surprisal")
-        return ranking.assign_folds(cut(rows.filter("zone > 1")), KEYS)      # eligible rows first, so that folds are balanced
-    return shared(spark, ("corpus", sf_dir), build)
+        pairs = tables.region_pairs(spark, sf_dir)
+        table, n = ngram.lexical_scores(pairs)
+        rows = pairs.filter("zone > 1").join(table, ["prev_word", "word"]).select(*KEYS, "word_length", "log_frequency", "surprisal")
+        return ranking.assign_folds(rows if n >= ranking.DIRECT_ROWS else cut(rows), KEYS, rows=n), n     # eligible rows first, so that folds are balanced
+    return remember(spark, ("corpus", sf_dir), build)
 
 
 @query("m02_corpus_ols", f"""SELECT c.fold, count(*) AS n, {q('sqrt(avg((y - (my + bx * (x - mx) + bz * (z - mz))) ** 2))', 5)} AS rmse,
     {q('1 - sum((y - (my + bx * (x - mx) + bz * (z - mz))) ** 2) / (count(*) * var_pop(y))', 5)} AS r2 FROM corpus c JOIN corpus_coef k ON c.fold = k.fold GROUP BY c.fold""")
 def m02_corpus(spark, sf_dir):
     """Held-out OLS over all regions: one pass of moments, ten small solves, one projection."""
-    predicted, _ = linear.cross_validate(corpus(spark, sf_dir), {"full": ["word_length", "log_frequency"]}, "surprisal")
+    predicted, _ = linear.cross_validate(corpus(spark, sf_dir)[0], {"full": ["word_length", "log_frequency"]}, "surprisal")
     rmse, r2 = linear.metrics(F.col("surprisal"), F.col("full_prediction"))
     return predicted.groupBy("fold").agg(F.count("*").alias("n"), snap(rmse, 5).alias("rmse"), snap(r2, 5).alias("r2"))
 
@@ -717,7 +717,12 @@ for _name in ("rcell", "rtotal", "rtrain", "rmoment", "rfit", "rloss", "rgrid",
     FROM corpus c JOIN crpick p ON p.o = c.fold AND p.variant = 'two' JOIN crfit f ON f.o = p.o AND f.i = -1 AND f.variant = 'two' AND f.k = p.k GROUP BY c.fold""")
 def m13_corpus(spark, sf_dir):
     """Nested ridge over all regions: 50 cells of moments from one scan serve 25 penalties in 60 training sets."""
-    rows = shared(spark, ("corpus_inner", sf_dir), lambda: ranking.assign_inner_folds(corpus(spark, sf_dir), KEYS, OUTER))
+    def build():
+        rows, n = corpus(spark, sf_dir)
+        edges = [0, *ranking.fold_starts(n, len(OUTER)), n]
+        split = ranking.assign_inner_folds(rows, KEYS, OUTER, rows={o: b - a for o, a, b in zip(OUTER, edges, edges[1:])})
+        return split if n >= ranking.DIRECT_ROWS else cut(split)
+    rows = remember(spark, ("corpus_inner", sf_dir), build)
     columns = ["word_length", "log_frequency"]
     problem = nested.plain_problem(rows, columns, "surprisal", OUTER)
     tuned, models = nested.nested_ridge(problem, {"ridge": columns})

@@ -43,6 +43,21 @@ def distributions(bigrams: DataFrame, vocabulary: int, k: float) -> DataFrame:
         (F.sum(F.col("m") * p * p).over(whole) + unseen * p0 * p0).alias("collision"))
 
 
+def lexical_scores(lagged: DataFrame, k: float = 0.5) -> tuple[DataFrame, int]:
+    """prev_word, word, word_length, log_frequency and surprisal of every bigram, and the number of regions behind them.
+
+    All three follow from the bigram, so they are put together there and meet the regions in one join. ``lagged`` holds
+    the whole corpus with ``prev_word``; form counts are sums of its bigram counts.
+    """
+    counts = cut(bigram_counts(lagged))
+    forms = counts.groupBy("word").agg(F.sum("c").alias("count"))
+    bigrams = counts.filter(F.col("prev_word").isNotNull())
+    spectrum = distributions(bigrams, forms.count(), k).select("prev_word", "c", "surprisal")
+    table = bigrams.join(spectrum, ["prev_word", "c"]).join(forms, "word").select(
+        "prev_word", "word", F.length("word").cast("double").alias("word_length"), F.log1p("count").alias("log_frequency"), "surprisal")
+    return table, bigrams.agg(F.sum("c")).first()[0] or 0
+
+
 def score(regions: DataFrame, k: float = 0.5, keys=("item",)) -> DataFrame:
     """Surprisal, entropy and distribution shape of every region; NaN at the first region of a context.
 

@@ -3,16 +3,22 @@
 All three locate a rank by counting. Counting is a map-side aggregate, so no job moves more than a
 histogram plus the few rows that share a histogram bucket with a wanted rank.
 """
+import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from wordframe.cluster import cut
 from wordframe.operators.selection import selected
 
 PREFIX_DIGITS = 3            # 4096 buckets per refinement of a hash prefix
 COLLECT_LIMIT = 200_000      # hashes brought to the driver once a prefix is this rare
+DIRECT_ROWS = 1_000_000      # from here on a counted table is hashed once
+SPREAD = 6                   # standard deviations around the expected place of a boundary
 
 
 def order_hash(seed, *keys: Column) -> Column:
@@ -42,8 +48,8 @@ class Shuffle:
     member: Column = field(default_factory=lambda: F.lit(True))
 
 
-def hash_cuts(df: DataFrame, shuffles: list[Shuffle]) -> dict[str, list[str]]:
-    """Exact fold boundaries as hash values, by refining hash prefixes around the wanted ranks.
+def hash_cuts(df: DataFrame, shuffles: list[Shuffle], ranks: dict[str, list[int]] | None = None) -> dict[str, list[str]]:
+    """Exact fold boundaries as hash values, by refining hash prefixes around the wanted ranks; ``ranks`` may name others.
 
     Each pass counts rows per (shuffle, longer prefix) among the prefixes still in question. The driver
     holds counts of at most 4096 buckets per open prefix and, at the end, a bounded set of hashes.
@@ -70,10 +76,10 @@ def hash_cuts(df: DataFrame, shuffles: list[Shuffle]) -> dict[str, list[str]]:
     for (name, _), c in found.items():
         totals[name] += c
     for s in shuffles:
-        if totals[s.name] < s.folds:
+        if ranks is None and totals[s.name] < s.folds:
             raise ValueError(f"fewer rows than folds in {s.name}")
     searches = {(s.name, j): _Search("", r) for s in shuffles
-                for j, r in enumerate(fold_starts(totals[s.name], s.folds))}
+                for j, r in enumerate(fold_starts(totals[s.name], s.folds) if ranks is None else ranks[s.name])}
     digits = PREFIX_DIGITS
     while True:
         by_name = {}
@@ -118,18 +124,112 @@ def fold_column(hash_: Column, cuts: list[str]) -> Column:
     return total
 
 
-def assign_folds(df: DataFrame, keys: list[str], folds: int = 10, seed: int = 2026, out: str = "fold") -> DataFrame:
-    """Balanced deterministic folds; independent of row order and partitioning."""
+def _edges(n: int, folds: int) -> tuple[np.ndarray, np.ndarray]:
+    """First 64 bits of the hashes between which each boundary of ``folds`` folds of ``n`` rows surely lies: ``SPREAD`` deviations of a uniform order."""
+    bits = lambda share: np.uint64(min(int(min(max(share, 0.0), 1.0) * 2 ** 53) << 11, 2 ** 64 - 1))       # noqa: E731
+    shares = [r / n for r in fold_starts(n, folds)]
+    half = [SPREAD * math.sqrt(p * (1 - p) / n) + 1 / n for p in shares]
+    return np.array([bits(p - w) for p, w in zip(shares, half)]), np.array([bits(p + w) for p, w in zip(shares, half)])
+
+
+def _called(column: Column) -> Column:
+    """An array of ``column`` alone, evaluated by a call: many hashes in one generated method are too long to be compiled."""
+    return F.transform(F.array(F.lit(0)), lambda _: column)
+
+
+def dealt(df: DataFrame, shuffles: list[Shuffle], sizes: dict[str, int]) -> tuple[DataFrame, Column]:
+    """``df`` written with what its hashes decide, and the folds of a row in all shuffles, -1 where it does not belong.
+
+    ``sizes`` counts the members of each. A hash is computed once for each row and shuffle. The number of rows tells
+    about where a boundary lies, so all rows but those near one have their fold at once; the few others keep their hash, and
+    the exact boundary is searched among them, less the rows known to lie below. A boundary that lies elsewhere after
+    all is searched among all rows.
+    """
+    columns, most = df.columns, max(s.folds for s in shuffles)
+    edges = [_edges(sizes[s.name], s.folds) for s in shuffles]
+    nibble = np.zeros(256, np.uint64)
+    nibble[np.frombuffer(b"0123456789abcdef", np.uint8)] = np.arange(16, dtype=np.uint64)
+
+    def place(batches):
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).flatten()
+            member = texts.is_valid().to_numpy(zero_copy_only=False).reshape(-1, len(edges))
+            filled = pc.fill_null(texts, "0" * 32).cast(pa.binary()).cast(pa.binary(32)) if len(texts) else texts
+            digits = nibble[np.frombuffer(filled.buffers()[1], np.uint8, 32 * len(texts), 32 * filled.offset).reshape(-1, 32)[:, :16]] if len(texts) else np.zeros((0, 16), np.uint64)
+            value = np.zeros(len(texts), np.uint64)
+            for k in range(16):
+                value = (value << np.uint64(4)) | digits[:, k]
+            value = value.reshape(-1, len(edges))
+            low = np.column_stack([np.searchsorted(e[0], value[:, i], "right") for i, e in enumerate(edges)])
+            high = np.column_stack([np.searchsorted(e[1], value[:, i], "right") for i, e in enumerate(edges)])
+            undecided = (low != high) & member
+            open_row = undecided.any(axis=1)
+            kept = pc.if_else(pa.array(undecided[open_row].ravel()), texts.filter(pa.array(np.repeat(open_row, len(edges)))), pa.scalar(None, pa.string()))
+            near = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(open_row * len(edges))], pa.int32()), kept, mask=pa.array(~open_row))
+            folds = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * len(edges), pa.int32()), pa.array(np.where(member, low, -1).ravel(), pa.int32()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], folds, near], names=[*columns, "_f", "_w"])
+
+    def tally(batches):
+        counts = np.zeros((len(edges), most), np.int64)
+        for batch in batches:
+            folds = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(edges)).copy()
+            held = batch.column(1).flatten().is_valid().to_numpy(zero_copy_only=False).reshape(-1, len(edges))
+            some = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            folds[some] = np.where(held, -1, folds[some])
+            for i in range(len(edges)):
+                counts[i] += np.bincount(folds[folds[:, i] >= 0, i], minlength=most)
+        i, j = np.indices(counts.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(x.ravel(), pa.int64()) for x in (i, j, counts)], names=["i", "j", "n"])
+
+    schema = T.StructType([*df.schema.fields]).add("_f", T.ArrayType(T.IntegerType())).add("_w", T.ArrayType(T.StringType()))
+    hashes = F.flatten(F.array(*[_called(F.when(s.member, s.hash)) for s in shuffles]))
+    written = cut(df.select(*columns, hashes.alias("_h")).mapInArrow(place, schema))
+    known = np.zeros((len(edges), most), np.int64)
+    for i, j, n in written.select("_f", "_w").mapInArrow(tally, "i long, j long, n long").groupBy("i", "j").sum("n").collect():
+        known[i, j] = n
+    near = cut(written.where("_w is not null").select(*[F.col("_w")[i].alias(f"_w{i}") for i in range(len(edges))]))
+    open_ = near.agg(*[F.count(f"_w{i}") for i in range(len(edges))]).first()
+    ranks, sure = {}, True
+    for i, s in enumerate(shuffles):
+        total = int(known[i].sum()) + open_[i]
+        if total < s.folds:
+            raise ValueError(f"fewer rows than folds in {s.name}")
+        ranks[s.name] = [r - int(b) for r, b in zip(fold_starts(total, s.folds), np.cumsum(known[i]))]
+        sure &= all(0 <= r < open_[i] for r in ranks[s.name])
+    if sure:
+        cuts = hash_cuts(near, [Shuffle(s.name, F.col(f"_w{i}"), s.folds, F.col(f"_w{i}").isNotNull()) for i, s in enumerate(shuffles)], ranks)
+        sure = all(low <= np.uint64(int(c[:16], 16)) < high for s, pair in zip(shuffles, edges) for c, low, high in zip(cuts[s.name], *pair))
+    if sure:
+        late = F.array(*[F.when(F.col("_w")[i].isNull(), F.col("_f")[i]).otherwise(fold_column(F.col("_w")[i], cuts[s.name])) for i, s in enumerate(shuffles)])
+        return written, F.when(F.col("_w").isNull(), F.col("_f")).otherwise(F.flatten(_called(late)))
+    cuts = hash_cuts(written, shuffles)
+    return written, F.flatten(F.array(*[_called(F.when(s.member, fold_column(s.hash, cuts[s.name])).otherwise(-1)) for s in shuffles]))
+
+
+def assign_folds(df: DataFrame, keys: list[str], folds: int = 10, seed: int = 2026, out: str = "fold", rows: int | None = None) -> DataFrame:
+    """Balanced deterministic folds; independent of row order and partitioning.
+
+    With the number of ``rows`` a large table is read and hashed once, and the result written (``dealt``).
+    """
     h = order_hash(seed, *[F.col(k) for k in keys])
+    if rows is not None and rows >= DIRECT_ROWS:
+        written, fold = dealt(df, [Shuffle("all", h, folds)], {"all": rows})
+        return written.select(*df.columns, fold[0].alias(out))
     cuts = hash_cuts(df.select(*keys), [Shuffle("all", h, folds)])
     return df.withColumn(out, fold_column(h, cuts["all"]))
 
 
 def assign_inner_folds(df: DataFrame, keys: list[str], outer: list[int], folds: int = 5, seed: int = 2026,
-                       fold: str = "fold", out: str = "inner") -> DataFrame:
-    """For every outer fold, a fresh split of its training rows; ``out[o]`` is -1 on the rows it holds out."""
+                       fold: str = "fold", out: str = "inner", rows: dict[int, int] | None = None) -> DataFrame:
+    """For every outer fold, a fresh split of its training rows; ``out[o]`` is -1 on the rows it holds out.
+
+    ``rows`` may count the rows of each outer fold, as for ``assign_folds``.
+    """
     cols = [F.col(k) for k in keys]
     shuffles = [Shuffle(str(o), order_hash(seed + o, *cols), folds, F.col(fold) != o) for o in outer]
+    if rows is not None and sum(rows.values()) >= DIRECT_ROWS:
+        written, split = dealt(df, shuffles, {str(o): sum(rows.values()) - rows.get(o, 0) for o in outer})
+        return written.select(*df.columns, split.alias(out))
     cuts = hash_cuts(df.select(*keys, fold), shuffles)
     # Hashes are columns of their own: inside the conditional each comparison would hash again.
     hashed = df.withColumns({f"_h{o}": s.hash for o, s in zip(outer, shuffles)})

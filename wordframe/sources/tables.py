@@ -52,11 +52,6 @@ def region_pairs(spark, sf_dir):
                        F.col("z")["1"].alias("prev_word"))
 
 
-def region_keys(spark, sf_dir):
-    """Keys of ``regions``, written once for jobs that scan them several times."""
-    return shared(spark, ("region_keys", sf_dir), lambda: regions(spark, sf_dir).select("item", "zone"))
-
-
 def langs(spark, sf_dir):
     """``regions`` with the language of the document."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
