@@ -717,12 +717,7 @@ for _name in ("rcell", "rtotal", "rtrain", "rmoment", "rfit", "rloss", "rgrid",
     FROM corpus c JOIN crpick p ON p.o = c.fold AND p.variant = 'two' JOIN crfit f ON f.o = p.o AND f.i = -1 AND f.variant = 'two' AND f.k = p.k GROUP BY c.fold""")
 def m13_corpus(spark, sf_dir):
     """Nested ridge over all regions: 50 cells of moments from one scan serve 25 penalties in 60 training sets."""
-    def build():
-        rows, n = corpus(spark, sf_dir)
-        edges = [0, *ranking.fold_starts(n, len(OUTER)), n]
-        split = ranking.assign_inner_folds(rows, KEYS, OUTER, rows={o: b - a for o, a, b in zip(OUTER, edges, edges[1:])})
-        return split if n >= ranking.DIRECT_ROWS else cut(split)
-    rows = remember(spark, ("corpus_inner", sf_dir), build)
+    rows = shared(spark, ("corpus_inner", sf_dir), lambda: ranking.assign_inner_folds(corpus(spark, sf_dir)[0], KEYS, OUTER))
     columns = ["word_length", "log_frequency"]
     problem = nested.plain_problem(rows, columns, "surprisal", OUTER)
     tuned, models = nested.nested_ridge(problem, {"ridge": columns})
