@@ -127,3 +127,12 @@ def test_every_stage_takes_odd_and_empty_tables(spark):
 def test_run_returns_the_last_stage(spark, stages):
     found = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in found) == sorted((r["doc_id"], r["shard"], r["slot"]) for r in stages["sharding"])
+
+
+def test_shards_follow_the_mixture(spark):
+    rows = [(i, "t", "en", f"s{min(i % 5, 3)}", 1) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = corpus_pipeline.shard(spark, corpus_pipeline.mix_sources(spark, docs, SF), SF).toPandas()
+    assert sorted(found.doc_id) == list(range(4000)) and (found.groupby("shard").source.nunique() == 4).all()
+    slots = {r["doc"]["doc_id"]: r["slot"] for r in corpus_pipeline.scheduled(docs).collect()}
+    assert dict(zip(found.doc_id, found.mix_slot)) == slots
