@@ -145,3 +145,23 @@ def test_cuts_are_released_and_a_cluster_needs_a_shared_folder(spark, monkeypatc
                                       "getConf": staticmethod(lambda: type("G", (), {"get": staticmethod(lambda *a: None)}))})
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         cluster.checkpoint_root(Far())
+
+
+@pytest.mark.parametrize("kind", ["bigint", "int", "string"])
+def test_key_sets_of_bits_and_of_keys(spark, kind):
+    """Ends of blocks of 64, negative numbers, repeated keys; missing parts of a key are equal, as in EXCEPT."""
+    left = [(1, 0), (1, 63), (1, 64), (1, -1), (1, -64), (2, 5), (2, 5), (None, 7), (3, None), (4, None), (2 ** 40, 127)]
+    right = [(1, 0), (1, 64), (1, -64), (2, 6), (None, 7), (3, None), (5, None), (2 ** 40, 127), (2 ** 40, 128), (None, 8)]
+    frames = [spark.createDataFrame(rows, "item bigint, zone bigint").select("item", F.col("zone").cast(kind)) for rows in (left, right)]
+    out = contracts.key_set_difference(*frames, ["item", "zone"])
+    assert dict(out.dtypes) == {"item": "bigint", "zone": kind, "side": "string"}
+    text = lambda z: z if z is None or kind != "string" else str(z)     # noqa: E731
+    expected = {(i, text(z), s) for rows, other, s in ((left, right, "left"), (right, left, "right")) for i, z in set(rows) - set(other)}
+    found = [tuple(r) for r in out.select("item", "zone", "side").collect()]
+    assert set(found) == expected and len(found) == len(expected)
+
+
+def test_key_sets_meet_in_one_exchange(spark):
+    frame = spark.range(1000).select((F.col("id") % 3).alias("item"), F.col("id").alias("zone"))
+    plan = contracts.key_set_difference(frame, frame.filter("zone <> 5"), ["item", "zone"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan

@@ -1,5 +1,5 @@
 """Data contracts as violation tables: each returns the offending rows, so a clean input returns none."""
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from wordframe.functions.numeric import finite
 from wordframe.functions.text import reason_text
@@ -34,10 +34,35 @@ def region_report(df: DataFrame) -> DataFrame:
 
 
 def key_set_difference(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Keys present on one side only."""
-    left, right = a.select(*keys).distinct(), b.select(*keys).distinct()
-    return (left.join(right, keys, "left_anti").withColumn("side", F.lit("left"))
-            .unionByName(right.join(left, keys, "left_anti").withColumn("side", F.lit("right"))))
+    """Keys present on one side only. Missing parts of a key are equal, as in a set operation of SQL.
+
+    With a whole number as last key, 64 neighbouring keys are the bits of one number, put together before the shuffle.
+    """
+    kind = a.schema[keys[-1]].dataType
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)) and b.schema[keys[-1]].dataType == kind:
+        return _bit_difference(a, b, keys, kind)
+    both = a.select(*keys, F.lit(1).alias("_side")).unionByName(b.select(*keys, F.lit(2).alias("_side")))
+    sides = both.groupBy(*keys).agg(F.bit_or("_side").alias("_side")).filter("_side < 3")
+    return sides.select(*keys, F.when(F.col("_side") == 1, "left").otherwise("right").alias("side"))
+
+
+def _bit_difference(a: DataFrame, b: DataFrame, keys: list[str], kind) -> DataFrame:
+    *front, last = keys
+    place = F.col(last).cast("bigint")
+    block, bit = F.shiftright(place, 6).alias("_block"), F.coalesce(place.bitwiseAND(F.lit(63)), F.lit(0)).cast("int")
+    one, none = F.expr("1L"), F.lit(0).cast("bigint")
+    mask = F.call_function("shiftleft", one, bit)
+
+    def marked(df, left):
+        return df.select(*front, block, (mask if left else none).alias("_l"), (none if left else mask).alias("_r"))
+
+    held = marked(a, True).unionByName(marked(b, False)).groupBy(*front, "_block").agg(F.bit_or("_l").alias("_l"), F.bit_or("_r").alias("_r"))
+    bits = F.sequence(F.lit(0), F.lit(63))
+    set_in = lambda m: F.filter(bits, lambda k: F.call_function("shiftright", m, k).bitwiseAND(F.lit(1)) == 1)      # noqa: E731
+    only = held.withColumns({"_l": F.col("_l").bitwiseAND(F.bitwise_not("_r")), "_r": F.col("_r").bitwiseAND(F.bitwise_not("_l"))}).filter("_l <> 0 OR _r <> 0")
+    sides = F.array(*[F.struct(F.lit(n).alias("side"), set_in(F.col(m)).alias("at")) for n, m in (("left", "_l"), ("right", "_r"))])
+    found = only.select(*front, "_block", F.inline(sides)).select(*front, "_block", "side", F.explode("at").alias("_k"))
+    return found.select(*front, (F.shiftleft("_block", 6) + F.col("_k")).cast(kind).alias(last), "side")
 
 
 def disagreements(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
