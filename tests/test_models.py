@@ -223,3 +223,34 @@ def test_representation_evaluation_covers_every_row_and_ignores_outer_targets(sp
     for i in np.flatnonzero(folds == 0):
         for c in predictions:
             assert rows[i][c] == pytest.approx(rows2[i][c], rel=1e-5)
+
+
+def test_fitted_designs_share_the_products_of_unchanged_columns(spark, monkeypatch):
+    """Every cell is the moments of its own rows under its own knots; products of unchanged columns are summed once per outer fold."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k), int(k % 3), [-1 if o == k % 3 else int(rng.integers(nested.INNER)) for o in range(3)], *map(float, rng.normal(size=4))) for k in range(240)]
+    df = spark.createDataFrame(rows, "id int, fold int, inner array<int>, a double, b double, s double, y double").repartition(3)
+    seen, plain_moments = [], nested.cell_moments
+
+    def spied(table, columns, emit, **rest):
+        x, inner = np.array([r[3:] for r in rows])[:, [["a", "b", "s", "y"].index(c) for c in columns]], np.array([r[2] for r in rows])
+        seen.extend((parts[0].shape, parts[-1].shape) for _, *parts in emit(x, None, inner))
+        return plain_moments(table, columns, emit, **rest)
+    monkeypatch.setattr(nested, "cell_moments", spied)
+    problem = nested.spline_problem(df, ["a", "b"], ["s"], "y", [0, 1, 2])
+    knots = nested.set_knots(df, ["s"], [0, 1, 2])
+    at = problem.names.index
+    for o in range(3):
+        for i in (*range(nested.INNER), None):
+            groups = {"r": lambda p: p >= 0} if i is None else {"t": lambda p: (p >= 0) & (p != i), "v": lambda p: p == i}
+            for kind, inside in groups.items():
+                x = np.array([r[3:] for r in rows if inside(np.int64(r[2][o]))])
+                z = np.empty((len(x), len(problem.names) + 2))
+                z[:, 0], z[:, -1] = 1, x[:, 3] - problem.anchor[-1]
+                for k, c in enumerate("ab"):
+                    z[:, at(c) + 1] = x[:, k] - problem.anchor[at(c)]
+                z[:, [at(n) + 1 for n in nested.spline_names("s")]] = spline_batch(x[:, 2], knots[o, i][0])
+                got = problem.refit(o) if i is None else problem.train(o, i) if kind == "t" else problem.validate(o, i)
+                assert np.allclose(got, z.T @ z, atol=1e-9)
+    square = sum(n for (n, a), (_, b) in seen if a == b)
+    assert square == sum(1 for r in rows for p in r[2] if p >= 0)          # a row once for each outer fold that trains on it

@@ -40,10 +40,15 @@ def m01(spark, sf_dir):
     return out.select("n", *[snap(F.col(c), 3).alias(c) for c in ("word_length", "log_frequency", "intercept")])
 
 
+def case_columns(spark, sf_dir, columns):
+    """The case table with ``columns`` only: what predictions are written with is read again by every report."""
+    return cases.case(spark, sf_dir).select(*KEYS, "word", "fold", "y", *columns)
+
+
 def full_and_controls(spark, sf_dir):
     """Held-out predictions with and without the scores, both from one pass of moments."""
     return shared(spark, ("full_controls", sf_dir), lambda: linear.cross_validate(
-        cases.case(spark, sf_dir), {"full": cases.LEXICAL, "controls": cases.LEXICAL[2:]}, "y")[0])
+        case_columns(spark, sf_dir, cases.LEXICAL), {"full": cases.LEXICAL, "controls": cases.LEXICAL[2:]}, "y")[0].drop(*cases.LEXICAL))
 
 
 @query("m03_full_vs_controls")
@@ -350,7 +355,7 @@ def m16(spark, sf_dir):
 def grid(spark, sf_dir):
     """Every variant of the grid on one common sample: predictions and, per variant, its baseline."""
     def build():
-        rows = cases.case(spark, sf_dir)
+        rows = case_columns(spark, sf_dir, ALL_PLAIN)
         baselines = {"piece": cases.BASE, "entropy": cases.CORE}
         ols = {"lexical": cases.LEXICAL, "piece": cases.BASE, "entropy": cases.CORE}
         ridge, spline = {}, {}
@@ -364,7 +369,7 @@ def grid(spark, sf_dir):
         tuned2, models2 = nested.nested_ridge(splined(spark, sf_dir), spline)
         predicted, _ = linear.cross_validate(rows, ols, "y")
         predicted = nested.predict(predicted, plain(spark, sf_dir), models)
-        predicted = nested.predict(predicted, splined(spark, sf_dir), models2)
+        predicted = nested.predict(predicted, splined(spark, sf_dir), models2).drop(*ALL_PLAIN)
         audits = spark.createDataFrame(nested.audit_rows({**tuned, **tuned2}), nested.AUDIT_SCHEMA)
         return predicted, audits
     return remember(spark, ("grid", sf_dir), lambda: (lambda p, a: (
@@ -476,7 +481,8 @@ def families(spark, sf_dir):
                 "combined_new": (on(cases.CORE, lambda c: c.accepted), "core"),
                 "trajectory_combined": (on(STRONG, lambda c: c.accepted), "strong")}
         selection.composed(problem, models, tuned, {v: {o: (cs, stand_in) for o, cs in by.items()} for v, (by, stand_in) in plan.items()})
-        predicted = shared(spark, ("family_predictions", sf_dir), lambda: nested.predict(cases.case(spark, sf_dir), problem, models))
+        predicted = shared(spark, ("family_predictions", sf_dir), lambda: nested.predict(
+            case_columns(spark, sf_dir, problem.raw), problem, models).drop(*problem.raw))
         return tuned, models, {o: c.accepted for o, c in chosen.items()}, predicted
     return remember(spark, ("families", sf_dir), build)
 
@@ -635,7 +641,7 @@ def lag2_predictions(spark, sf_dir):
         variants = {"lag2_baseline": {o: lexical for o in OUTER}, "lag2_spillover": {o: [*lexical, *cases.LAG2_SCORES] for o in OUTER},
                     "lag2_combined": {o: [*lexical, *[c for f in fs for c in cases.FAMILIES[f]]] for o, fs in accepted.items()}}
         models = {v: {o: nested.refit(problem, o, cs, nested.tune(problem, o, cs)["alpha"]) for o, cs in by.items()} for v, by in variants.items()}
-        return nested.predict(cases.case(spark, sf_dir), problem, models)
+        return nested.predict(case_columns(spark, sf_dir, problem.raw), problem, models).drop(*problem.raw)
     return shared(spark, ("lag2_predictions", sf_dir), build)
 
 

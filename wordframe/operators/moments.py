@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 MOMENT_SCHEMA = "cell string, pos int, value double"
+PAIRED = "*"        # before the name of a cell that holds products of two different tables
 
 
 def column_means(df: DataFrame, columns: list[str]) -> np.ndarray:
@@ -35,7 +36,10 @@ def _inner(batch, name, outer):
 
 def cell_moments(df: DataFrame, columns: list[str], emit: Callable[..., Iterator], fold: str = "fold",
                  inner: str | None = None, outer: int = 10) -> dict[str, np.ndarray]:
-    """Sum Z'Z per cell, where ``emit(x, folds, inner)`` yields ``(cell, Z)`` pairs for a batch of rows."""
+    """Sum Z'Z per cell, where ``emit(x, folds, inner)`` yields ``(cell, Z)`` pairs for a batch of rows.
+
+    For ``(cell, A, Z)`` it is A'Z, given back row by row in one vector.
+    """
     names = [*columns, fold] + ([inner] if inner else [])
 
     def partial(batches):
@@ -45,11 +49,12 @@ def cell_moments(df: DataFrame, columns: list[str], emit: Callable[..., Iterator
                 continue
             x = _stack(batch, columns)
             split = _inner(batch, inner, outer) if inner else None
-            for cell, z in emit(x, _labels(batch, fold), split):
-                product = z.T @ z
+            for cell, *parts in emit(x, _labels(batch, fold), split):
+                cell = cell if len(parts) == 1 else PAIRED + cell
+                product = parts[0].T @ parts[-1]
                 sums[cell] = sums[cell] + product if cell in sums else product
         for cell, total in sums.items():
-            upper = total[np.triu_indices(len(total))]
+            upper = total.ravel() if cell.startswith(PAIRED) else total[np.triu_indices(len(total))]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([cell] * len(upper), pa.string()), pa.array(np.arange(len(upper)), pa.int32()),
                  pa.array(upper, pa.float64())], ["cell", "pos", "value"])
@@ -62,6 +67,9 @@ def cell_moments(df: DataFrame, columns: list[str], emit: Callable[..., Iterator
     cells, value = cells[order], value[order]
     bounds = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True]) if len(cells) else []
     for a, b in zip(bounds[:-1], bounds[1:]):
+        if cells[a].startswith(PAIRED):
+            result[cells[a][len(PAIRED):]] = value[a:b]
+            continue
         width = int((np.sqrt(8 * (b - a) + 1) - 1) / 2)
         full = np.zeros((width, width))
         full[np.triu_indices(width)] = value[a:b]

@@ -130,28 +130,59 @@ def factor_problem(df: DataFrame, columns: list[str], y: str, outer: list[int])
 
 def fitted_problem(df: DataFrame, raw: list[str], y: str, outer: list[int], names: list[str],
                    expand: dict[tuple, Callable]) -> FittedProblem:
-    """``expand[o, i](x)`` turns a batch of raw columns into the wide design under training set (o, i)."""
+    """``expand[o, i](x)`` turns a batch of raw columns into the wide design under training set (o, i).
+
+    Columns taken over unchanged are the same under every training set: their products among themselves come from
+    additive cells, and only products with fitted columns are summed for each set.
+    """
     # Columns taken over unchanged are anchored at their means; fitted columns are already near zero.
     plain = [n for n in names if n in raw]
     means = dict(zip([*plain, y], column_means(df, [*plain, y])))
     anchor = np.array([means.get(n, 0.0) for n in names] + [means[y]])
-
-    def design(transform, x):
-        return np.column_stack([np.ones(len(x)), transform(x[:, :-1]) - anchor[:-1], x[:, -1] - anchor[-1]])
+    fitted = [j for j, n in enumerate(names) if n not in raw]
+    kept, source = [j for j in range(len(names)) if j not in set(fitted)], [raw.index(n) for n in plain]
+    at_fitted, at_kept = np.array(fitted, int) + 1, np.array([0, *[j + 1 for j in kept], len(names) + 1])
 
     def emit(x, _folds, inner):
         for s, o in enumerate(outer):
-            used = inner[:, s] >= 0
-            rows, part = x[used], inner[used, s]
-            if not len(rows):
+            order = np.argsort(inner[:, s], kind="stable")[(inner[:, s] < 0).sum():]        # by inner fold, so that a fold is a slice
+            if not len(order):
                 continue
+            rows = x[order]
+            ends = np.searchsorted(inner[order, s], np.arange(INNER + 1))
+            base = np.column_stack([np.ones(len(rows)), rows[:, source] - anchor[kept], rows[:, -1] - anchor[-1]])
             for i in range(INNER):
-                z = design(expand[o, i], rows)
-                yield f"t:{o}:{i}", z[part != i]
-                yield f"v:{o}:{i}", z[part == i]
-            yield f"r:{o}", design(expand[o, None], rows)
-
-    cells = cell_moments(df, [*raw, y], emit, inner="inner", outer=len(outer))
+                yield f"{o}:{i}", base[ends[i]:ends[i + 1]]
+            for i in (*range(INNER), None) if fitted else ():
+                new = expand[o, i](rows[:, :-1])[:, fitted]
+                both = np.column_stack([new, base])
+                if i is None:
+                    yield f"r:{o}", new, both
+                    continue
+                a, b = ends[i], ends[i + 1]
+                yield f"v:{o}:{i}", new[a:b], both[a:b]
+                yield f"t:{o}:{i}", new[:a], both[:a]
+                yield f"t:{o}:{i}", new[b:], both[b:]
+
+    parts = cell_moments(df, [*raw, y], emit, inner="inner", outer=len(outer))
+
+    def whole(unchanged, cell):
+        full = np.zeros((len(names) + 2, len(names) + 2))
+        full[np.ix_(at_kept, at_kept)] = unchanged
+        if fitted:
+            block = parts[cell].reshape(len(fitted), -1)
+            full[np.ix_(at_fitted, at_fitted)] = block[:, :len(fitted)]
+            full[np.ix_(at_fitted, at_kept)] = block[:, len(fitted):]
+            full[np.ix_(at_kept, at_fitted)] = block[:, len(fitted):].T
+        return full
+
+    cells = {}
+    for o in outer:
+        total = sum(parts[f"{o}:{i}"] for i in range(INNER))
+        cells[f"r:{o}"] = whole(total, f"r:{o}")
+        for i in range(INNER):
+            cells[f"v:{o}:{i}"] = whole(parts[f"{o}:{i}"], f"v:{o}:{i}")
+            cells[f"t:{o}:{i}"] = whole(total - parts[f"{o}:{i}"], f"t:{o}:{i}")
     return FittedProblem(names, anchor, outer, cells, raw, expand)
 
 
