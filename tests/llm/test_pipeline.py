@@ -9,7 +9,8 @@ from tests.llm.common import empty_documents, odd_documents
 from tests.llm.test_decontamination import brute
 from tests.llm.test_near_dedup import edits
 from tests.oracle import compare, connect
-from wordframe.llm import catalog, language, mixing, near_dedup
+from wordframe import cluster
+from wordframe.llm import catalog, language, mixing, near_dedup, ranks
 
 SF = "/root/testdata/sf0.001"
 
@@ -136,3 +137,15 @@ def test_shards_follow_the_mixture(spark):
     assert sorted(found.doc_id) == list(range(4000)) and (found.groupby("shard").source.nunique() == 4).all()
     slots = {r["doc"]["doc_id"]: r["slot"] for r in corpus_pipeline.scheduled(docs).collect()}
     assert dict(zip(found.doc_id, found.mix_slot)) == slots
+
+
+def test_mixture_and_shards_are_ranked_without_texts(spark, monkeypatch):
+    """No text is written on the way to the ranks, and repeated rows all come through."""
+    written = []
+    monkeypatch.setattr(ranks, "cut", lambda df: written.append(df.schema.simpleString()) or cluster.cut(df))
+    docs = odd_documents(spark)
+    names = [c for c in docs.columns if c not in ("shard", "slot", "curve")]
+    rows = collections.Counter(tuple(r[c] for c in names) for r in docs.collect())
+    for stage in (corpus_pipeline.mix_sources, corpus_pipeline.shard):
+        assert collections.Counter(tuple(r[c] for c in names) for r in stage(spark, docs, SF).collect()) == rows
+    assert len(written) == 3 and not any("text" in w for w in written)
