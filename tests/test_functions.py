@@ -180,6 +180,19 @@ def test_bigram_shape_equals_the_whole_distribution(spark):
                                    [-np.log2(t), -(p * np.log2(p)).sum(), np.log1p(1 + (p > t).sum()), top[:10].sum(), top[0] - top[1], (p * p).sum()])
 
 
+def test_bigram_keys_that_meet_are_drawn_anew(spark, monkeypatch):
+    rows = [(i % 3, i // 3 + 1, w) for i, w in enumerate("a b ab a b c a bc c b ab a".split())] + [(3, 1, "a"), (3, 2, None), (3, 3, "b")]
+    df = spark.createDataFrame(rows, "item bigint, zone bigint, word string")
+    want = sorted(map(str, ngram.score(df).collect()))
+    true_key, drawn = ngram.bigram_key, []
+    monkeypatch.setattr(ngram, "bigram_key", lambda seed: drawn.append(seed) or (
+        F.when(true_key(seed).isNotNull(), F.lit(7).cast("bigint")) if seed == 0 else true_key(seed)))
+    out = ngram.score(df, finish=lambda c: c * 1)
+    assert sorted(map(str, out.collect())) == want and drawn == [0, 1, 1]
+    # What is moved for each token holds a number for its two words, and the scores are finished before they meet it.
+    assert "_bigram" in out._jdf.queryExecution().analyzed().toString()
+
+
 def test_benjamini_hochberg_by_definition(spark):
     p = np.random.default_rng(21).uniform(size=40).round(2)
     df = spark.createDataFrame([(i % 2, i, float(v)) for i, v in enumerate(p)], "f int, i int, p double").repartition(3)

@@ -4,7 +4,7 @@ With add-k smoothing all unseen successors of a word share one probability, and
 ``c`` times share another. The distribution of a predecessor is therefore its count spectrum — how many
 successors occur c times — which stays small even for a predecessor that holds a third of all tokens.
 """
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wordframe.cluster import cut
 from wordframe.operators.ordered import lag_by_key
@@ -43,6 +43,19 @@ def distributions(bigrams: DataFrame, vocabulary: int, k: float) -> DataFrame:
         (F.sum(F.col("m") * p * p).over(whole) + unseen * p0 * p0).alias("collision"))
 
 
+def bigram_key(seed: int) -> Column:
+    """64 bits for a bigram of ``prev_word`` and ``word``; null where one of them is."""
+    return F.when(F.col("prev_word").isNotNull() & F.col("word").isNotNull(), F.xxhash64(F.lit(seed), "prev_word", "word"))
+
+
+def telling_seed(bigrams: DataFrame) -> int:
+    """The first seed under which no two of the distinct ``bigrams`` share a key, so that keys stand for them exactly."""
+    seed = 0
+    while bigrams.groupBy(bigram_key(seed).alias("key")).count().where("key is not null and count > 1").head(1):
+        seed += 1
+    return seed
+
+
 def lexical_scores(lagged: DataFrame, k: float = 0.5) -> tuple[DataFrame, int]:
     """prev_word, word, word_length, log_frequency and surprisal of every bigram, and the number of regions behind them.
 
@@ -58,11 +71,12 @@ def lexical_scores(lagged: DataFrame, k: float = 0.5) -> tuple[DataFrame, int]:
     return table, bigrams.agg(F.sum("c")).first()[0] or 0
 
 
-def score(regions: DataFrame, k: float = 0.5, keys=("item",)) -> DataFrame:
+def score(regions: DataFrame, k: float = 0.5, keys=("item",), finish=lambda c: c) -> DataFrame:
     """Surprisal, entropy and distribution shape of every region; NaN at the first region of a context.
 
     A table that already carries ``prev_word`` is used as it is. Successor counts are written once: they
-    also give the vocabulary, and each recomputation would pass over all tokens.
+    also give the vocabulary, and each recomputation would pass over all tokens. ``finish`` is applied to the scores of
+    each bigram, not to each token's.
     """
     kept = [c for c in regions.columns if c != "prev_word"]
     lagged = regions if "prev_word" in regions.columns else lag_by_key(regions, ["word"], keys=keys)
@@ -70,9 +84,12 @@ def score(regions: DataFrame, k: float = 0.5, keys=("item",)) -> DataFrame:
     vocabulary = counts.select("word").distinct().count()
     bigrams = counts.filter(F.col("prev_word").isNotNull())
     # The spectrum meets the bigram table first, so a frequent predecessor joins once per successor, not per token.
-    scored = bigrams.join(distributions(bigrams, vocabulary, k), ["prev_word", "c"]).drop("c")
-    joined = lagged.join(scored, ["prev_word", "word"], "left")
-    nan = F.lit(float("nan"))
+    scored = bigrams.join(distributions(bigrams, vocabulary, k), ["prev_word", "c"])
     columns = ["surprisal", "entropy_bits", *SHAPE]
+    # One number stands for both words, so a token is moved and sorted without them.
+    key = bigram_key(telling_seed(bigrams)).alias("_bigram")
+    tokens = lagged.select(*kept, F.col("prev_word").isNull().alias("_first"), key)
+    joined = tokens.join(scored.select(key, *[finish(F.col(c)).alias(c) for c in columns]), "_bigram", "left")
+    nan = F.lit(float("nan"))
     return joined.select(*kept, *[
-        F.when(F.col("prev_word").isNull(), nan).otherwise(F.col(c)).alias(c) for c in columns])
+        F.when(F.col("_first"), nan).otherwise(F.col(c)).alias(c) for c in columns])
