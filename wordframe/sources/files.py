@@ -1,12 +1,22 @@
 """Delimited text, write-once sinks, result gathering, and content manifests."""
+import hashlib
 import json
 import re
+import uuid
 from decimal import Decimal
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wordframe.cluster import checkpoint_root
+
+WHOLE_BYTES = 64 << 20      # files of more bytes are hashed in stretches, never held whole
+CODECS = "bz2,deflate,gz,lz4,snappy,zst"       # endings of names that readers of text unpack
+_MARK = b"\xef\xbb\xbf"     # left out by readers of text where a file begins with it
+
 
 def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = True) -> DataFrame:
     """Tab-separated text with a declared schema; an empty cell is NULL, 'nan' is NaN where the type is double."""
@@ -36,13 +46,69 @@ def read_codes(spark: SparkSession, path: str) -> DataFrame:
                       parts[2].alias("part"), "token", "count")
 
 
+def _stretch_digests(batches):
+    """path, length and the stretches between line ends of whole files, in order → path, length, sha256 of each file."""
+    path, size, seen, ends, digests = None, 0, 0, 0, None
+
+    def closed():
+        missing = size - seen - ends + 1        # neither the last line end nor a mark at the beginning is in a stretch
+        if missing not in (0, 1, 3, 4):
+            raise ValueError(f"{path}: {seen + ends - 1} bytes were read of {size}; was it changed, or has it {2**31} bytes without a line end?")
+        digest = digests[missing > 1]
+        digest.update(b"\n" * (missing % 3))
+        return pa.record_batch([pa.array([unquote(path)]), pa.array([size], pa.int64()), pa.array([digest.hexdigest()])], names=["path", "length", "sha256"])
+
+    for batch in batches:
+        paths, sizes, stretches = batch.columns
+        files, begin = pc.run_end_encode(paths), 0
+        for here, end in zip(files.values.to_pylist(), files.run_ends.to_pylist()):
+            if here != path:
+                if path is not None:
+                    yield closed()
+                path, size, seen, ends, digests = here, sizes[begin].as_py(), 0, 0, [hashlib.sha256(), hashlib.sha256(_MARK)]
+            own, begin = stretches[begin:end].to_pylist(), end
+            data = b"\n".join([b"", *own] if ends else own)
+            seen, ends = seen + sum(map(len, own)), ends + len(own)
+            for digest in digests:
+                digest.update(data)
+    if path is not None:
+        yield closed()
+
+
+def _files(spark: SparkSession, root: str, names: str = "*") -> DataFrame:
+    """Files below ``root`` as binary values; their content is read only if it is asked for."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(root.rstrip("/"))
+
+
+def _relative(files: DataFrame, root: str) -> DataFrame:
+    plain = re.sub("^file:/+", "/", root.rstrip("/"))
+    return files.withColumn("path", F.right("path", F.length("path") - F.instr("path", F.lit(plain)) - len(plain)))
+
+
 def manifest(spark: SparkSession, root: str) -> DataFrame:
-    """Content hash of every file below ``root``, with whole paths relative to it, on any file system Spark reads."""
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    plain = re.sub("^file:/+", "/", base)
-    behind = F.length("path") - F.instr("path", F.lit(plain)) - len(plain)
-    return files.select(F.right("path", behind).alias("path"), "length", F.sha2("content", 256).alias("sha256"))
+    """Content hash of every file below ``root``, with whole paths relative to it, on any file system Spark reads.
+
+    SHA-256 is a chain over the bytes, so one task reads a file from end to end. Small files are one value each. Larger ones, of
+    any size, come as stretches between line ends (any bytes, as they are), so memory holds some thousand stretches and not
+    the file. Only packed files (``CODECS``) are one value at any size, since readers of text would unpack them.
+    """
+    whole = min(WHOLE_BYTES, int(spark.conf.get("spark.sql.sources.binaryFile.maxLength")))
+    named = ["path", "length", F.sha2("content", 256).alias("sha256")]
+    large = lambda size, name: (F.col(size) > whole) & ~F.col(name).rlike(rf"\.({CODECS.replace(',', '|')})$")     # noqa: E731
+    files = _files(spark, root).where(F.col("length") <= whole).select(*named).unionByName(
+        _files(spark, root, f"*.{{{CODECS}}}").where(F.col("length") > whole).select(*named))
+    most = _files(spark, root).select("path", "length").where(large("length", "path")).agg(F.max("length")).first()[0]
+    if most:
+        alone = spark.newSession()      # settings of its own: each file is one split, read by one task
+        for name, value in (("maxPartitionBytes", most), ("openCostInBytes", most), ("minPartitionNum", 1)):
+            alone.conf.set(f"spark.sql.files.{name}", str(value))
+        stretches = (alone.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(root.rstrip("/"))
+                     .where(large("_metadata.file_size", "_metadata.file_name"))
+                     .select("_metadata.file_path", "_metadata.file_size", F.col("value").cast("binary")))
+        path = f"{checkpoint_root(spark)}/manifest-{uuid.uuid4().hex}"
+        stretches.mapInArrow(_stretch_digests, "path string, length long, sha256 string").write.parquet(path)
+        files = files.unionByName(spark.read.parquet(path))
+    return _relative(files, root)
 
 
 def manifest_diff(before: DataFrame, after: DataFrame, allowed: tuple[str, ...] = ()) -> DataFrame:
@@ -92,7 +158,7 @@ def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def provenance(spark: SparkSession, root: str, tables: dict[str, list[str]], policy: dict[str, str]) -> DataFrame:
     """One row per table below ``root``, a file or a folder of files: rows, content fingerprint of its columns, files, bytes, policy."""
-    kept = manifest(spark, root).select(F.substring_index(F.substring_index("path", "/", 1), ".parquet", 1).alias("table"), "length")
+    kept = _relative(_files(spark, root).select("path", "length"), root).select(F.substring_index(F.substring_index("path", "/", 1), ".parquet", 1).alias("table"), "length")
     files = kept.groupBy("table").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
     out = None
     for name, columns in tables.items():
