@@ -53,6 +53,22 @@ def test_owners_of_whole_contexts_equal_the_join(spark):
         assert key(got) == key(want) and len(key(got)) > 500
 
 
+def test_owners_are_found_for_few_contexts_at_once(spark, monkeypatch):
+    """The lines drawn for a batch hold a bounded number of characters, a longer context alone, and owners stay the same."""
+    texts = [["ab", "c-", "7"] * (1 + i % 40) for i in range(300)] + [["x" * 5000], [], None, ["", ""]]
+    contexts = spark.createDataFrame(list(enumerate(texts)), "item long, word array<string>").coalesce(1)
+    want = sorted(map(tuple, spans.context_owners(contexts).collect()), key=str)
+    monkeypatch.setattr(spans, "OWNER_CHARS", 700)
+    data = spans.text_bytes
+
+    def few(texts):
+        out = data(texts)
+        assert len(out) <= 700 or len(texts) == 1
+        return out
+    monkeypatch.setattr(spans, "text_bytes", few)
+    assert sorted(map(tuple, spans.context_owners(contexts).collect()), key=str) == want and len(want) > 5000
+
+
 def test_corpus_spans_and_pieces_need_no_shuffle(spark):
     from wordframe.catalog import QUERIES
     for name in ("p19_region_spans", "r02_pieces", "j10_piece_owner", "a06_piece_sums", "w04_prefix_pieces", "w05_first_piece", "w07_scoring_windows",

@@ -31,6 +31,7 @@ def piece_pattern(max_letters: int | None = None) -> str:
 
 
 PIECE_BLOCK = SLICE         # pieces that leave a task at once
+OWNER_CHARS = 1 << 20       # characters whose owners are found at once; a longer context stands alone
 
 
 def pieces(spans: DataFrame, pattern: str | None = None) -> DataFrame:
@@ -72,13 +73,26 @@ def context_owners(contexts: DataFrame, pattern: str | None = None) -> DataFrame
 
     Both tilings lie on one line, so the overlaps of a piece follow from counts of characters up to its two ends: the
     first and the last visible character in it name the regions it covers. The rule is that of ``owners``; no pair of
-    intervals is formed and nothing is shuffled. Work is linear in the text.
+    intervals is formed and nothing is shuffled. Work is linear in the text; memory is that of ``OWNER_CHARS`` characters or
+    of the longest context, whatever a batch holds.
     """
     lengths = F.flatten(F.transform("word", lambda w, i: F.transform(found_pieces(w, i + 1, pattern), lambda p: F.length(p))))
     schema = T.StructType([contexts.schema["item"], *[T.StructField(n, T.LongType()) for n in ("start", "end", "owner")], T.StructField("ambiguous", T.BooleanType())])
 
-    def own(batches):
+    def runs(batches):
+        """Rows of a batch whose pieces cover ``OWNER_CHARS`` characters together, or a single row."""
         for batch in batches:
+            parts = batch.column(2)
+            ends = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(parts), 0).to_numpy(zero_copy_only=False).astype(np.int64))]
+            upto = np.r_[0, np.cumsum(parts.flatten().to_numpy(zero_copy_only=False).astype(np.int64))][ends]
+            a = 0
+            while a < len(batch):
+                b = max(a + 1, int(np.searchsorted(upto, upto[a] + OWNER_CHARS, "right")) - 1)
+                yield batch.slice(a, b - a)
+                a = b
+
+    def own(batches):
+        for batch in runs(batches):
             item, words, pieces = batch.columns
             sizes = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in (words, pieces)]
             flat = words.flatten()
