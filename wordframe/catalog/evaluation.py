@@ -1,6 +1,7 @@
 """Modelling operators without a closed SQL form, and those SQL can state given their inputs (M*, P14, P21)."""
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wordframe.catalog.aggregates import t_p_value
@@ -11,8 +12,9 @@ from wordframe.catalog.sequences import counted
 from wordframe.cluster import cut, remember, shared
 from wordframe.functions import basis
 from wordframe.functions.layers import layer_names, third_names
-from wordframe.functions.numeric import snap
-from wordframe.operators import ngram, ranking, spans
+from wordframe.functions.numeric import ratio, snap
+from wordframe.operators import ngram, positions, ranking, spans
+from wordframe.operators.moments import by_fold, by_inner_fold, by_weights, cell_moments, centered
 from wordframe.operators.ranking import exact_quantiles
 from wordframe.plans import cases, compare, frozen, linear, nested, reading, representation, selection
 from wordframe.sources import tables
@@ -693,23 +695,55 @@ VIEWS["corpus_coef"] = """SELECT fold, mx, mz, my, ((xy - mx * my) * (zz - mz *
     ((zy - mz * my) * (xx - mx * mx) - (xy - mx * my) * (xz - mx * mz)) / d AS bz FROM (SELECT *, (xx - mx * mx) * (zz - mz * mz) - (xz - mx * mz) ** 2 AS d FROM corpus_train)"""
 
 
+LEXICAL = ["word_length", "log_frequency"]
+
+
 def corpus(spark, sf_dir):
-    """Every scored region with its lexical predictors and its fold over the whole corpus, and the number of them."""
+    """The corpus by bigrams: tables of its words and of the sizes of its contexts, exact bounds of the outer folds, an anchor near the means.
+
+    Both predictors and the outcome of a region follow from its bigram, so a fold is known by how often it holds each bigram.
+    """
     def build():
-        pairs = tables.region_pairs(spark, sf_dir)
-        table, n = ngram.lexical_scores(pairs)
-        rows = pairs.filter("zone > 1").join(table, ["prev_word", "word"]).select(*KEYS, "word_length", "log_frequency", "surprisal")
-        return ranking.assign_folds(rows if n >= ranking.DIRECT_ROWS else cut(rows), KEYS, rows=n), n     # eligible rows first, so that folds are balanced
+        contexts = tables.contexts(spark, sf_dir)
+        words = cut(ngram.word_counts(contexts))
+        sizes = cut(contexts.select("item", F.size("word").alias("n")).repartition(2 * spark.sparkContext.defaultParallelism, "item"))    # light rows, heavy hashing
+        times = F.sum("count")
+        n, *anchor = words.agg(F.coalesce(F.sum("follows"), F.lit(0)), F.sum(F.col("count") * F.length("word")) / times, F.sum(F.col("count") * F.log1p("count")) / times,
+                               F.sum(F.col("follows") * F.log2(F.col("follows") + 0.5 * F.lit(words.count()))) / F.sum("follows")).first()
+        outer, = positions.exact_cuts(sizes, [2026], len(OUTER), [n])
+        return contexts, words, sizes, outer, n, np.array(anchor, float)
     return remember(spark, ("corpus", sf_dir), build)
 
 
+def corpus_bigrams(spark, sf_dir):
+    """``prev_word, word, c`` and how many of them each outer fold holds: c0, c1, ..."""
+    contexts, _, _, outer, *_ = corpus(spark, sf_dir)
+    counts = shared(spark, ("corpus_bigrams", sf_dir), lambda: positions.dealt_pairs(contexts, outer).groupBy("prev_word", "word").agg(
+        F.count("*").alias("c"), *[F.count_if(F.col("fold") == f).alias(f"c{f}") for f in OUTER]))
+    return counts
+
+
+def held_out(moments, anchor, model):
+    """Rows, sum of squared errors and of squared distances from the mean of the rows behind ``moments``, for a model of raw columns."""
+    slope = np.asarray(model["slope"], float)
+    n, _, spread = centered(moments)
+    error = nested.squared_error(moments, slope[:, None], np.array([model["intercept"] + slope @ anchor[:-1] - anchor[-1]]))
+    return int(round(n)), float(error[0]), float(spread[-1, -1])
+
+
 @query("m02_corpus_ols", f"""SELECT c.fold, count(*) AS n, {q('sqrt(avg((y - (my + bx * (x - mx) + bz * (z - mz))) ** 2))', 5)} AS rmse,
     {q('1 - sum((y - (my + bx * (x - mx) + bz * (z - mz))) ** 2) / (count(*) * var_pop(y))', 5)} AS r2 FROM corpus c JOIN corpus_coef k ON c.fold = k.fold GROUP BY c.fold""")
 def m02_corpus(spark, sf_dir):
-    """Held-out OLS over all regions: one pass of moments, ten small solves, one projection."""
-    predicted, _ = linear.cross_validate(corpus(spark, sf_dir)[0], {"full": ["word_length", "log_frequency"]}, "surprisal")
-    rmse, r2 = linear.metrics(F.col("surprisal"), F.col("full_prediction"))
-    return predicted.groupBy("fold").agg(F.count("*").alias("n"), snap(rmse, 5).alias("rmse"), snap(r2, 5).alias("r2"))
+    """Held-out OLS over all regions: one pass over counted bigrams gives the moments of every fold, and these the errors."""
+    _, words, _, _, _, anchor = corpus(spark, sf_dir)
+    counts = corpus_bigrams(spark, sf_dir)
+    scored = ngram.bigram_scores(counts, words).withColumn("_all", F.lit(0))
+    parts = cell_moments(scored, [*LEXICAL, "surprisal", *[f"c{f}" for f in OUTER]], by_weights(anchor, [str(f) for f in OUTER]), "_all")
+    cells = {f: m.reshape(len(anchor) + 1, -1) for f, m in parts.items()}
+    fits = linear.fold_fits(cells, anchor, list(range(len(LEXICAL))))
+    rows = [(int(f), *held_out(m, anchor, fits[int(f)])) for f, m in cells.items()]
+    out = spark.createDataFrame(rows, "fold int, n bigint, sse double, sst double")
+    return out.select("fold", "n", snap(F.sqrt(F.col("sse") / F.col("n")), 5).alias("rmse"), snap(1 - ratio(F.col("sse"), F.col("sst")), 5).alias("r2"))
 
 
 VIEWS["cinner"] = """SELECT c.item, c.zone, c.x, c.z, c.y, o.outer_fold AS o, ntile(5) OVER (PARTITION BY o.outer_fold ORDER BY md5((2026 + o.outer_fold) || ':' || c.item || ':' || c.zone)) - 1 AS i
@@ -722,13 +756,23 @@ for _name in ("rcell", "rtotal", "rtrain", "rmoment", "rfit", "rloss", "rgrid",
 @query("m13_corpus_ridge", f"""SELECT c.fold, count(*) AS n, {q('sqrt(avg((c.y - (f.my + f.bx * (c.x - f.mx) + f.bz * (c.z - f.mz))) ** 2))', 5)} AS rmse, {q('max(p.alpha)', 9)} AS alpha
     FROM corpus c JOIN crpick p ON p.o = c.fold AND p.variant = 'two' JOIN crfit f ON f.o = p.o AND f.i = -1 AND f.variant = 'two' AND f.k = p.k GROUP BY c.fold""")
 def m13_corpus(spark, sf_dir):
-    """Nested ridge over all regions: 50 cells of moments from one scan serve 25 penalties in 60 training sets."""
-    rows = shared(spark, ("corpus_inner", sf_dir), lambda: ranking.assign_inner_folds(corpus(spark, sf_dir)[0], KEYS, OUTER))
-    columns = ["word_length", "log_frequency"]
-    problem = nested.plain_problem(rows, columns, "surprisal", OUTER)
-    tuned, models = nested.nested_ridge(problem, {"ridge": columns})
-    predicted = nested.predict(rows, problem, models)
-    error = F.col("surprisal") - F.col("ridge_prediction")
-    alphas = spark.createDataFrame([(o, t["alpha"]) for o, t in tuned["ridge"].items()], "fold int, alpha double")
-    return predicted.groupBy("fold").agg(F.count("*").alias("n"), snap(F.sqrt(F.avg(error * error)), 5).alias("rmse")).join(
-        F.broadcast(alphas.withColumn("alpha", snap(F.col("alpha"), 9))), "fold")
+    """Nested ridge over all regions: 50 cells of moments and 10 held-out ones from one pass serve 25 penalties in 60 training sets."""
+    contexts, words, sizes, outer, n, anchor = corpus(spark, sf_dir)
+    starts = [0, *ranking.fold_starts(n, len(OUTER)), n]
+    inner = remember(spark, ("corpus_inner", sf_dir), lambda: positions.exact_cuts(
+        sizes, [2026 + o for o in OUTER], nested.INNER, [n - starts[o + 1] + starts[o] for o in OUTER], outer))
+    pairs = positions.dealt_pairs(contexts, outer, inner)
+    scored = ngram.bigram_scores(corpus_bigrams(spark, sf_dir).select("prev_word", "word", "c"), words)
+    rows = pairs.join(scored.drop("c"), ["prev_word", "word"])
+    split, apart = by_inner_fold(anchor, OUTER), by_fold(anchor)
+
+    def emit(x, folds, _):
+        yield from split(x[:, :-1], folds, positions.unpacked(x[:, -1], len(OUTER), nested.INNER))
+        for f, z in apart(x[:, :-1], folds, None):
+            yield f"held:{f}", z
+
+    cells = cell_moments(rows, [*LEXICAL, "surprisal", "inner"], emit)
+    tuned, models = nested.nested_ridge(nested.AdditiveProblem(LEXICAL, anchor, OUTER, cells), {"ridge": LEXICAL})
+    found = [(o, *held_out(cells[f"held:{o}"], anchor, models["ridge"][o])[:2], t["alpha"]) for o, t in tuned["ridge"].items()]
+    out = spark.createDataFrame(found, "fold int, n bigint, sse double, alpha double")
+    return out.select("fold", "n", snap(F.sqrt(F.col("sse") / F.col("n")), 5).alias("rmse"), snap(F.col("alpha"), 9).alias("alpha"))

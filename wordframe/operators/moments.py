@@ -112,6 +112,19 @@ def by_inner_fold(anchor: np.ndarray, outer: list[int]):
     return emit
 
 
+def by_weights(anchor: np.ndarray, cells: list[str]):
+    """Emit one cell per weight: the last columns of a row tell how many such rows each cell holds."""
+    design = Anchored(anchor)
+
+    def emit(x, _folds, _inner_folds):
+        z = design(x[:, :len(anchor)])
+        for j, cell in enumerate(cells):
+            weight = x[:, len(anchor) + j]
+            rows = weight > 0
+            yield cell, z[rows] * weight[rows, None], z[rows]
+    return emit
+
+
 def subset(moments: np.ndarray, columns: list[int]) -> np.ndarray:
     """Moments of the design with only these predictors (0-based), intercept and outcome kept."""
     keep = [0, *[c + 1 for c in columns], len(moments) - 1]

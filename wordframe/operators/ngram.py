@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from wordframe.cluster import cut
 from wordframe.operators.ordered import lag_by_key
 
+FREQUENT = 400_000     # words sent to every task
 SHAPE = ["target_log_rank", "top10_mass", "top_margin", "collision"]
 
 
@@ -56,19 +57,34 @@ def telling_seed(bigrams: DataFrame) -> int:
     return seed
 
 
-def lexical_scores(lagged: DataFrame, k: float = 0.5) -> tuple[DataFrame, int]:
-    """prev_word, word, word_length, log_frequency and surprisal of every bigram, and the number of regions behind them.
+def word_counts(contexts: DataFrame) -> DataFrame:
+    """``word``, ``count`` and ``follows``, how many of its regions another one follows; ``contexts`` has the array ``word``."""
+    rows = contexts.select(F.size("word").alias("_n"), F.posexplode("word").alias("_at", "word"))
+    return rows.groupBy("word").agg(F.count("*").alias("count"), F.count_if(F.col("_at") < F.col("_n") - 1).alias("follows"))
 
-    All three follow from the bigram, so they are put together there and meet the regions in one join. ``lagged`` holds
-    the whole corpus with ``prev_word``; form counts are sums of its bigram counts.
+
+def bigram_scores(counts: DataFrame, words: DataFrame, k: float = 0.5) -> DataFrame:
+    """``counts`` (prev_word, word, c, and more) with word_length, log_frequency and surprisal; ``words`` is ``word_counts`` of the corpus.
+
+    Both words of a bigram are looked up. ``FREQUENT`` words at most, the most frequent ones, are sent to all tasks, so only bigrams with
+    a rarer word are shuffled for it.
     """
-    counts = cut(bigram_counts(lagged))
-    forms = counts.groupBy("word").agg(F.sum("c").alias("count"))
-    bigrams = counts.filter(F.col("prev_word").isNotNull())
-    spectrum = distributions(bigrams, forms.count(), k).select("prev_word", "c", "surprisal")
-    table = bigrams.join(spectrum, ["prev_word", "c"]).join(forms, "word").select(
-        "prev_word", "word", F.length("word").cast("double").alias("word_length"), F.log1p("count").alias("log_frequency"), "surprisal")
-    return table, bigrams.agg(F.sum("c")).first()[0] or 0
+    step = F.floor(8 * F.log2("count"))
+    table = words.select("word", F.log1p("count").alias("log_frequency"), (F.col("follows") + F.lit(float(k)) * words.count()).alias("_of"), step.alias("_step"))
+    least, held = 0, 0
+    for r in sorted(table.groupBy("_step").count().collect(), reverse=True):
+        least, held = r["_step"], held + r["count"]
+        if held > FREQUENT:
+            least += 1
+            break
+    second, first = table.select("word", "log_frequency"), table.select(F.col("word").alias("prev_word"), "_of")
+    common = table.where(F.col("_step") >= least)
+    known = (counts.join(F.broadcast(common.select(*second.columns)), "word", "left")
+             .join(F.broadcast(common.select(F.col("word").alias("prev_word"), "_of")), "prev_word", "left"))
+    there = F.col("log_frequency").isNotNull() & F.col("_of").isNotNull()
+    rare = known.where(~there).drop("log_frequency", "_of").join(second, "word").join(first, "prev_word")
+    score = -F.log2((F.col("c") + F.lit(float(k))) / F.col("_of"))
+    return known.where(there).unionByName(rare).withColumns({"word_length": F.length("word").cast("double"), "surprisal": score}).drop("_of")
 
 
 def score(regions: DataFrame, k: float = 0.5, keys=("item",), finish=lambda c: c) -> DataFrame:

@@ -124,10 +124,13 @@ def fold_column(hash_: Column, cuts: list[str]) -> Column:
     return total
 
 
-def _edges(n: int, folds: int) -> tuple[np.ndarray, np.ndarray]:
-    """First 64 bits of the hashes between which each boundary of ``folds`` folds of ``n`` rows surely lies: ``SPREAD`` deviations of a uniform order."""
+def boundary_edges(n: int, folds: int, starts: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First 64 bits of the hashes between which each boundary of ``folds`` folds of ``n`` rows surely lies: ``SPREAD`` deviations of a uniform order.
+
+    ``starts`` may name other ranks than those of balanced folds.
+    """
     bits = lambda share: np.uint64(min(int(min(max(share, 0.0), 1.0) * 2 ** 53) << 11, 2 ** 64 - 1))       # noqa: E731
-    shares = [r / n for r in fold_starts(n, folds)]
+    shares = [r / n for r in starts or fold_starts(n, folds)]
     half = [SPREAD * math.sqrt(p * (1 - p) / n) + 1 / n for p in shares]
     return np.array([bits(p - w) for p, w in zip(shares, half)]), np.array([bits(p + w) for p, w in zip(shares, half)])
 
@@ -146,7 +149,7 @@ def dealt(df: DataFrame, shuffles: list[Shuffle], sizes: dict[str, int]) -> tupl
     all is searched among all rows.
     """
     columns, most = df.columns, max(s.folds for s in shuffles)
-    edges = [_edges(sizes[s.name], s.folds) for s in shuffles]
+    edges = [boundary_edges(sizes[s.name], s.folds) for s in shuffles]
     nibble = np.zeros(256, np.uint64)
     nibble[np.frombuffer(b"0123456789abcdef", np.uint8)] = np.arange(16, dtype=np.uint64)
 
