@@ -139,6 +139,16 @@ def test_shards_follow_the_mixture(spark):
     assert dict(zip(found.doc_id, found.mix_slot)) == slots
 
 
+def test_mixing_stage_writes_the_order_of_the_mixture(spark, tmp_path):
+    """The schedule decides where rows stand: files hold runs of slots, though the sources come one after the other."""
+    rows = [(i, f"t{i}", "en", f"s{i // 1500}", 1) for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    slots = {r["doc"]["doc_id"]: r["slot"] for r in corpus_pipeline.scheduled(docs).collect()}
+    corpus_pipeline.mix_sources(spark, docs, SF).write.parquet(str(tmp_path / "mixed"))
+    files = [[slots[r["doc_id"]] for r in spark.read.parquet(str(f)).collect()] for f in sorted((tmp_path / "mixed").glob("*.parquet"))]
+    assert [s for f in files for s in f] == sorted(slots.values())
+
+
 def test_mixture_and_shards_are_ranked_without_texts(spark, monkeypatch):
     """No text is written on the way to the ranks, and repeated rows all come through."""
     written = []
