@@ -21,6 +21,7 @@ RANGES = 128        # ranges of hashes; a text's signature holds four bits of it
 SIGNS = RANGES // 16    # longs of a signature
 SIGMAS = 5          # deviations granted to texts with more k-mers than ranges; shorter ones are never refused wrongly
 TURNS = 3           # pivots of each bucket before the pairs that are still apart are listed
+FEW_EDITS = 40      # texts of a hundred times as many words are first tried for a hundredth of edits
 SIMILARITY = 0.8    # 1 - word edits / words of the longer text
 
 _U = np.uint64
@@ -193,6 +194,55 @@ _BASE = _U(0x2545F4914F6CDD1D)
 def word_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Word edits (insert, delete, replace) that turn ``a`` into ``b``; ``most + 1`` if more than ``most``.
 
+    Equal words at both ends are taken off. Long texts with few edits are aligned along diagonals, all others column by column.
+    """
+    n, m = len(a), len(b)
+    if abs(n - m) > most:
+        return most + 1
+    short = min(n, m)
+    differ = np.flatnonzero(a[:short] != b[:short])
+    begin = int(differ[0]) if len(differ) else short
+    differ = np.flatnonzero(a[n - short + begin:][::-1] != b[m - short + begin:][::-1])
+    end = int(differ[0]) if len(differ) else short - begin
+    a, b = a[begin:n - end], b[begin:m - end]
+    few = max(len(a), len(b)) // 100
+    if few >= FEW_EDITS:
+        edits = diagonal_edits(a, b, min(most, few))
+        if edits <= few or most <= few:
+            return edits
+    return column_edits(a, b, most)
+
+
+def column_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """``word_edits`` by Myers' bit vectors (Hyyrö's form): a whole number holds the differences down a column, a bit for each word of the shorter text.
+
+    It ends as soon as the words left cannot bring the edits down to ``most``.
+    """
+    down, along = sorted((a.tolist(), b.tolist()), key=len)
+    if not down:
+        return min(len(along), most + 1)
+    places = {}
+    for i, word in enumerate(down):
+        places[word] = places.get(word, 0) | 1 << i
+    full, last = (1 << len(down)) - 1, 1 << (len(down) - 1)
+    more, less, edits, left = full, 0, len(down), len(along)
+    for word in along:
+        same = places.get(word, 0) | less
+        straight = (((same & more) + more) ^ more) | same
+        up, right = more & straight, (less | ~(more | straight)) & full
+        edits += bool(right & last) - bool(up & last)
+        left -= 1
+        if edits - left > most:
+            return most + 1
+        right = right << 1 | 1
+        less = right & straight
+        more = (up << 1 | ~(right | straight)) & full
+    return edits
+
+
+def diagonal_edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
+    """``word_edits`` along diagonals: its work grows with the edits rather than the words.
+
     Only diagonals within ``most`` of the main one are aligned. For each number of edits the furthest reach on every
     diagonal of the band is kept; agreeing stretches are jumped over.
     """
